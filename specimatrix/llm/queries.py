@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specimatrix.llm import identity, markers, names, survivor
+from specimatrix.llm import identity, markers, mixing, names, packing, subjects, survivor
 from specimatrix.session import table
 
 
@@ -43,5 +43,30 @@ def p6_identities(spark: SparkSession, base: str) -> DataFrame:
     return identity.collapsed(table(spark, base, "final"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p6_identities": p6_identities}
+def p7_containers(spark: SparkSession, base: str) -> DataFrame:
+    """Each text's place in containers of each capacity."""
+    return packing.fill_containers(table(spark, base, "documents"), table(spark, base, "container_size"))
+
+
+def p7_filling(spark: SparkSession, base: str) -> DataFrame:
+    """How well the containers of each kind are filled."""
+    return packing.filling(p7_containers(spark, base), table(spark, base, "container_size"))
+
+
+def p8_mix(spark: SparkSession, base: str) -> DataFrame:
+    """The documents of the mix with their copies."""
+    return mixing.mix(table(spark, base, "documents"), table(spark, base, "source_target"))
+
+
+def p8_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    return mixing.shares(p8_mix(spark, base), table(spark, base, "source_target"))
+
+
+def p9_found(spark: SparkSession, base: str) -> DataFrame:
+    """The subjects of each document."""
+    return subjects.assign_subjects(table(spark, base, "documents"), table(spark, base, "subject_labels"), table(spark, base, "subject_list"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p6_identities": p6_identities, "p7_containers": p7_containers, "p7_filling": p7_filling, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
