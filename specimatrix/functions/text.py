@@ -16,6 +16,11 @@ _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 
+def missing_value(c: Column) -> Column:
+    """Null where the text is one that a CSV reader takes as missing."""
+    return F.when(~c.isin(*NA_TEXTS), c)
+
+
 def narrow(c: Column) -> Column:
     """Full-width ASCII forms become plain ones (the part of NFKC that occurs in codes)."""
     return F.translate(c, _WIDE, _PLAIN)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specimatrix.plans import training
+from specimatrix.plans import reference, training
 
-QUERIES = dict(training.QUERIES)
-ORACLES = dict(training.ORACLES)
+QUERIES = reference.QUERIES | training.QUERIES
+ORACLES = reference.ORACLES | training.ORACLES
