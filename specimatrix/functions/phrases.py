@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import csv
 import re
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specimatrix.functions.text import quote_regex
@@ -43,6 +44,25 @@ def phrase_pattern(phrase: str) -> str:
     return left + quote_regex(low) + right
 
 
+def telling(phrases) -> list[str]:
+    """The distinct phrases, lower case, without those that contain another one as whole words: they tell nothing more."""
+    unique = list(dict.fromkeys(p.lower() for p in phrases if p))
+    inside = lambda a, b: a != b and re.search(phrase_pattern(a).replace(r"(?<=\s|^)", r"(?:(?<=\s)|^)"), b)
+    return [p for p in unique if not any(inside(o, p) for o in unique)]
+
+
+def has_any(text: Column, phrases) -> Column:
+    """True if the lower case text has one of the phrases.
+
+    Plain substring tests come first, which are many times faster; word boundaries are looked at where one succeeds.
+    """
+    needed = telling(phrases)
+    if not needed:
+        return F.lit(False)
+    found = reduce(lambda a, b: a | b, [text.contains(p) for p in needed])
+    return F.when(found, text.rlike(any_pattern(needed))).otherwise(False)
+
+
 def any_pattern(phrases) -> str:
     """One pattern for all phrases of a marker; one that never matches if there are none."""
     unique = list(dict.fromkeys(p.lower() for p in phrases if p))

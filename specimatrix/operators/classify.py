@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specimatrix.functions.phrases import DICTIONARY, MITOCHONDRIAL, NUCLEAR, any_pattern
+from specimatrix.functions.phrases import DICTIONARY, MITOCHONDRIAL, NUCLEAR, has_any
 from specimatrix.functions.text import strip
+from specimatrix.session import computed
 
 #: What a classified record gains, in this order before its own columns.
 DIAGNOSTICS = ("gene_type", "match_source", "original_match", "has_conflict", "conflict_reason", "assignment_reason")
@@ -101,21 +102,12 @@ def _text(n: Column, before: str, after: str = "") -> Column:
     return F.concat(F.lit(before), n.cast("string"), F.lit(after))
 
 
-def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """``df`` with columns that are evaluated once.
-
-    The optimizer merges projections and would repeat these expressions wherever later ones use them, until the code is
-    too large to be compiled; a generator of one row is not merged.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def prepared(df: DataFrame, rules: Rules) -> DataFrame:
     """``df`` with what both rounds look at: text, length, group and the markers whose phrases occur."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     primers = F.coalesce(F.col(rules.primers), F.lit("")) if rules.primers in df.columns else F.lit("")
     df = computed(df, {"_def": strip(low(rules.definition)), "_n": F.coalesce(length_of(F.col(rules.length)), F.lit(0)), "_org": strip(low(rules.organelle)), "_mol": strip(low(rules.molecule)), "_top": strip(low(rules.topology)), "_pcr": strip(primers)})
-    hits = {f"_hit_{g}": F.col("_def").rlike(any_pattern(p)) for g, p in rules.dictionary.items()}
+    hits = {f"_hit_{g}": has_any(F.col("_def"), p) for g, p in rules.dictionary.items()}
     return computed(df, hits | {"_mito": F.col("_org").contains("mitochondrion")})
 
 

@@ -413,10 +413,10 @@ def q_geo_format(spark, base):
     return _final(spark, base).select("row_id", E.geo_name(F.col("country"), F.col("host"), F.col("altitude")).alias("place"))
 
 
-@query("SELECT s_suppkey, printf('%.4f %s %.4f %s', abs(s_acctbal / 200), CASE WHEN s_acctbal >= 0 THEN 'N' ELSE 'S' END, abs(s_nationkey - 12.0), CASE WHEN s_nationkey - 12.0 >= 0 THEN 'E' ELSE 'W' END) AS position FROM supplier")
+@query("SELECT s_suppkey, printf('%.4f %s %.4f %s', abs(s_acctbal / 100), CASE WHEN s_acctbal >= 0 THEN 'N' ELSE 'S' END, abs(s_nationkey - 12.0), CASE WHEN s_nationkey - 12.0 >= 0 THEN 'E' ELSE 'W' END) AS position FROM supplier")
 def q_lat_lon_format(spark, base):
     s = table(spark, base, "supplier")
-    return s.select("s_suppkey", E.lat_lon(F.col("s_acctbal") / 200, F.col("s_nationkey") - 12.0).alias("position"))
+    return s.select("s_suppkey", E.lat_lon(F.col("s_acctbal") / 100, F.col("s_nationkey") - 12.0).alias("position"))
 
 
 @query(r"""SELECT row_id, CASE WHEN t IN ('', 'nan') OR lower(t) = 'no voucher' THEN '' WHEN t LIKE '%:%' THEN t WHEN regexp_matches(t, '^[A-Za-z]+ +[^ ]') THEN regexp_replace(t, '^([A-Za-z]+) +', '\1:') ELSE t END AS voucher FROM (SELECT row_id, coalesce(trim(specimen_voucher), '') AS t FROM final WHERE NOT regexp_matches(coalesce(specimen_voucher, ''), '[^ -~]'))""")
@@ -552,7 +552,10 @@ def q_title_case(spark, base):
     return _final(spark, base).where("mol_type is not null").select("row_id", python_title(F.col("mol_type")).alias("title"))
 
 
-@query()
+_FLAT = lambda c: f"coalesce(trim(regexp_replace({c}, '[\\s\\x{{a0}}\\x{{3000}}]+', ' ', 'g')), '') AS {c}"
+
+
+@query(f"SELECT locusid, accession, coalesce({R.LENGTH}, 0) || ' bp' AS length, {', '.join(map(_FLAT, ('definition', 'organism', 'taxonid', 'isolate', 'specimen_voucher')))} FROM final")
 def q_flatfile_roundtrip(spark, base):
     """Records written as flat files and parsed again: what comes back must be what went in."""
     from specimatrix.plans.roundtrip import roundtrip

@@ -15,8 +15,8 @@ from specimatrix.sources.flatfile import flat_view, parse_records, read_records,
 def roundtrip(final: DataFrame) -> DataFrame:
     """(locusid, accession, length, definition, organism, taxonid) of all records, written as flat files and parsed."""
     spark = final.sparkSession
-    path = f"{shared_dir(spark)}/specimatrix-scratch/{uuid.uuid4().hex}.gb"
+    path = f"{shared_dir(spark)}/specimatrix-scratch/{uuid.uuid4().hex}"
     write_flat(final.withColumn("n", F.coalesce(length_of(F.col("seq_length")), F.lit(0))), path)
-    parsed = parse_records(read_records(spark, path))
+    parsed = parse_records(read_records(spark, path, r"\.txt$"))
     flat = flat_view(parsed, extra=[])
     return flat.select(F.col("LocusID").alias("locusid"), F.col("ACCESSION").alias("accession"), F.col("Length").alias("length"), F.col("Definition").alias("definition"), F.col("organism"), F.col("TaxonID").alias("taxonid"), F.col("isolate"), F.col("specimen_voucher"))

@@ -26,15 +26,15 @@ def flat_files(spark: SparkSession, path: str) -> DataFrame:
     return found.where(F.col("file_path").rlike(PATTERN))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, at, text) of every record; ``at`` orders the records of a file.
+def read_records(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFrame:
+    """(file_path, at, text) of every record in files whose path matches; ``at`` orders the records of a file.
 
     The order comes from a record's place in the file's splits, so that 'first' means first in the file.
     """
     lines = spark.read.option("lineSep", "\n//").option("recursiveFileLookup", "true").text(path)
     rows = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value"))
     text = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^\n+|(?<=\n)//\s*$", "")
-    rows = rows.where(F.col("file_path").rlike(PATTERN)).withColumn("text", text).where(F.trim(F.translate("text", "\n\t", "  ")) != "")
+    rows = rows.where(F.col("file_path").rlike(pattern)).withColumn("text", text).where(F.trim(F.translate("text", "\n\t", "  ")) != "")
     return rows.select("file_path", F.struct("_block", "_id").alias("at"), "text")
 
 
@@ -60,10 +60,10 @@ def parse_records(records: DataFrame) -> DataFrame:
     kind = F.regexp_extract("_locus", r"\d+\s+(?:bp|aa)\s+(\S+)", 1)
     seq = F.regexp_extract(t, r"(?s)\nORIGIN[^\n]*\n(.*)", 1)
     source = F.regexp_extract(t, r"(?m)^ {5}source {2,}\S+((?:\n {21}.*)*)", 1)
-    # Spark's regexp_extract_all has no flags argument: patterns carry their own.
     quals = F.regexp_extract_all(F.col("_source"), F.lit(r'(?s)\n {21}(/[^\s=/]+(?:="(?:[^"]|"")*"|=[^\n"]*)?)'), 1)
     name = lambda q: F.regexp_extract(q, r"^/([^=]+)", 1)
-    value = lambda q: F.when(q.contains("="), F.replace(F.regexp_replace(squeeze(F.regexp_replace(F.substring_index(q, "=", -1) if False else F.regexp_replace(q, r"^/[^=]+=", ""), r"\n {21}", " ")), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise("")
+    bare = lambda q: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(q, r"^/[^=]+=", "")), '^"|"$', ""), r"\n {21}", " ")
+    value = lambda q: F.when(q.contains("="), squeeze(F.replace(bare(q), F.lit('""'), F.lit('"')))).otherwise("")
     r = r.withColumn("_source", source).withColumn("_q", F.transform(quals, lambda q: F.struct(name(q).alias("k"), value(q).alias("v"))))
     names = F.array_distinct(F.transform("_q", lambda q: q["k"]))
     joined = F.transform(F.filter(names, lambda k: k != "db_xref"), lambda k: F.struct(k.alias("key"), F.array_join(F.transform(F.filter("_q", lambda q: q["k"] == k), lambda q: q["v"]), "; ").alias("value")))

@@ -12,8 +12,15 @@ from specimatrix.session import shared_dir
 
 
 def classified_stream(spark: SparkSession, folder: str, schema, rules: Rules = Rules()) -> DataFrame:
-    """A stream of classified records: the batch expressions hold no state, so they are the same."""
-    return round_one(overall_length(spark.readStream.schema(schema).parquet(folder), rules), rules)
+    """A stream of classified records: the batch expressions hold no state, so they are the same.
+
+    ``folder`` may also be one file; the stream then watches its folder for that name.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    source = spark.readStream.schema(schema)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        source, folder = source.option("pathGlobFilter", at.getName()), at.getParent().toString()
+    return round_one(overall_length(source.parquet(folder), rules), rules)
 
 
 def start(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
