@@ -28,6 +28,8 @@ TOKEN = re.compile(rf"""{_BLANK}(?:"(?P<q>(?:[^"]|"")*)"|'(?P<s>(?:[^']|'')*)'){
 #: A value contains at most this many atoms, and so one delimiter fewer.
 SPAN = 6
 ITERATIONS = 2
+#: How likely a delimiter delimits before anything is learned.
+UNTOLD = 0.9
 _CHAR, _END = math.log(1 / 48), math.log(0.1)
 
 
@@ -83,7 +85,7 @@ def base(text: str, delims: int) -> float:
 
 def scores(n: int, gaps: list[list[str]], spans: list[tuple[int, int, str]], seen: list[float], total: float, fresh: float, splits: dict[str, float]) -> list[float]:
     """Log-weight of each span; ``seen`` has how often its text occurs in other cells, ``fresh`` the share of new values."""
-    cutting = [max((splits.get(d, 0.9) for d in g), default=0.9) for g in gaps]
+    cutting = [max((splits.get(d, UNTOLD) for d in g), default=UNTOLD) for g in gaps]
     on = [math.log(p) for p in cutting]
     off = [math.log(1 - p) for p in cutting]
     out = []

@@ -53,10 +53,7 @@ def extract(spark: SparkSession, path: str, taxonomy: DataFrame | None = None) -
     flat = FF.with_assembly(FF.flat_view(parsed, taxonomy), FF.assemblies(parsed))
     names = [c for c in flat.columns if c not in ("file_path", "at")]
     texts = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(RENAMES.get(c, c)) for c in names]
-    # Files and splits in order: the block's start and the row's number within the scan make a unique, ordered id.
-    order = F.struct("file_path", "at")
-    ranked = flat.select(F.xxhash64("file_path").alias("_f"), order.alias("_o"), *texts)
-    return ranked.withColumn("row_id", F.col("_o.at._id")).drop("_f", "_o")
+    return flat.select(F.col("at._id").alias("row_id"), *texts)  # unique, and in order within a file
 
 
 def voucher(classified: DataFrame, rules: K.VoucherRules = K.VoucherRules()) -> DataFrame:
