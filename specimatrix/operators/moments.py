@@ -242,7 +242,8 @@ def _batches(frames):
         for mask, rows in masks.groupby(masks, sort=False).indices.items():
             result[rows] = read_mask(mask, texts[rows], zones[rows])
         f = pd.DataFrame({"row_id": f["row_id"], "moment": result})
-        yield f[f["moment"].notna()]
+        if (read := f["moment"].notna()).any():
+            yield f[read]
 
 
 def cleaned(c: Column) -> Column:

@@ -181,7 +181,8 @@ def _rounds(totals: dict[str, tuple[float, float]], splits: dict[str, dict[str,
                             c[1] += 1
                     rows += [(field, cell, k, _key(field, s[2]), x, None, None, None) for k, (s, x) in enumerate(zip(spans, p))]
                     rows += [(field, None, None, None, None, d, a, b) for d, (a, b) in cuts.items()]
-            yield pd.DataFrame(rows, columns=["field_name", "cell", "items"] if last else ["field_name", "cell", "k", "key", "mine", "delim", "cuts", "of"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["field_name", "cell", "items"] if last else ["field_name", "cell", "k", "key", "mine", "delim", "cuts", "of"])
 
     return step
 

@@ -72,7 +72,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     ref = lambda x, k: _one_line(F.regexp_replace(F.regexp_extract(x, rf"\n {{2,3}}{k} +(.*(?:\n {{12}}.*)*)", 1), r"\n {12}", " "))
     organism = F.regexp_extract(t, r"(?m)^ {2}ORGANISM +(.*)((?:\n {12}.*)*)", 1)
     lineage = F.regexp_extract(t, r"(?m)^ {2}ORGANISM +(.*)((?:\n {12}.*)*)", 2)
-    listed = lambda c: F.filter(F.transform(F.split(F.regexp_replace(_one_line(c), r"\.$", ""), ";"), F.trim), lambda x: x != "")
+    listed = lambda c: F.filter(F.transform(F.split(F.regexp_replace(_one_line(c), r"\.$", ""), ";"), lambda x: F.trim(x)), lambda x: x != "")
     comment = _section(t, "COMMENT")
     blocks = F.regexp_extract_all(F.coalesce(comment, F.lit("")), F.lit(r"(?s)##([^#\n]+)-START##(.*?)##[^#\n]+-END##"), 0)
     pairs = lambda b: F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^([^\n:#]+?)\s*::\s*(.*(?:\n(?!.*::|##).*)*)"), 0), lambda p: F.struct(F.trim(F.substring_index(p, "::", 1)).alias("key"), squeeze(F.regexp_replace(p, r"(?s)^.*?::", "")).alias("value")))
@@ -86,7 +86,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     letters = F.length(F.regexp_replace(seq, r"[^A-Za-z]", ""))
     topology = F.lower(F.regexp_extract("_locus", r"\b(linear|circular)\b", 1))
     definition = F.regexp_replace(_one_line(_section(t, "DEFINITION")), r"\.$", "")
-    entries = F.filter(F.transform(F.split(F.regexp_replace(_one_line(_section(t, "KEYWORDS")), r"\.$", ""), ";"), F.trim), lambda x: x != "")
+    entries = F.filter(F.transform(F.split(F.regexp_replace(_one_line(_section(t, "KEYWORDS")), r"\.$", ""), ";"), lambda x: F.trim(x)), lambda x: x != "")
     return r.select(
         "file_path",
         "at",
