@@ -64,7 +64,8 @@ def _confirm(frames):
             for _, members in groups:
                 first, n = min(m[2] for m in members), sum(m[3] for m in members)
                 out += [(root, m[0], first, n) for m in members]
-        yield pd.DataFrame(out, columns=["root", "form", "first_row_id", "n_rows"])
+        if out:
+            yield pd.DataFrame(out, columns=["root", "form", "first_row_id", "n_rows"])
 
 
 def identities(df: DataFrame, row_id: str = "row_id", fields: tuple[str, str] = ("specimen_voucher", "isolate")) -> tuple[DataFrame, DataFrame]:

@@ -142,7 +142,8 @@ def _parsed(frames):
             if p := parse(name):
                 one, two = p.get("open") or (None, None)
                 rows.append((name, n, p["kind"], p.get("surname"), p.get("given"), bool(p.get("short")), p.get("inits") or "", p.get("nick"), one, two))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")])
+        if rows:
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")])
 
 
 #: A spelling written in this many forms is a name of its own unless a neighbour has three times as many.

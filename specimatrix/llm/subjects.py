@@ -297,6 +297,7 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subject_list: DataF
                 sure = share.max(axis=1) > model.sure
                 np.add.at(counts, (doc[sure], share.argmax(axis=1)[sure]), 1)
             at, which = np.nonzero(decide(counts))
-            yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()[at], "subject": [subjects[s] for s in which]})
+            if len(at):
+                yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()[at], "subject": [subjects[s] for s in which]})
 
     return docs.select("doc_id", "bag").mapInPandas(found, "doc_id bigint, subject string")
