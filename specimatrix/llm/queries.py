@@ -69,4 +69,26 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p4_found": p4_found, "p4_canonical": p4_canonical, "p6_found": p6_found, "p6_identities": p6_identities, "p7_containers": p7_containers, "p7_filling": p7_filling, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
-ORACLES: dict[str, str] = {}
+_NAMES = "list_filter(list_transform(string_split_regex(geo_loc_name, '[:,;]'), lambda x: trim(x)), lambda x: x <> '' AND lower(x) NOT IN ('missing', 'unknown', 'not applicable', 'not provided', 'n/a', 'na', '-', '?'))"
+_PART = r"([{h}])?([+-]?[0-9]+(?:\.[0-9]+)?)°?(?:([0-9]+(?:\.[0-9]+)?)'')?(?:([0-9]+(?:\.[0-9]+)?)\")?([{h}])?"
+_WHOLE = "^" + _PART.format(h="NS") + ",?" + _PART.format(h="EW") + "$"
+_SQUEEZED = "regexp_replace(regexp_replace(upper(trim(lat_lon)), '([0-9]) +([0-9-])', '\\1,\\2', 'g'), ' +', '', 'g')"
+_NUM = lambda i: f"coalesce(TRY_CAST(p[{i}] AS DOUBLE), 0)"
+_DEC = lambda i: f"(CASE WHEN contains(p[{i}], '.') THEN length(split_part(p[{i}], '.', 2)) ELSE 0 END)"
+_SIDE = lambda i, most: f"abs({_NUM(i + 1)}) + {_NUM(i + 2)} / 60 + {_NUM(i + 3)} / 3600 <= {most} AND {_NUM(i + 2)} < 60 AND {_NUM(i + 3)} < 60"
+_UNIT = lambda i: f"CASE WHEN p[{i + 3}] <> '' THEN 3.5 + {_DEC(i + 3)} WHEN p[{i + 2}] <> '' THEN 1.5 + {_DEC(i + 2)} ELSE {_DEC(i + 1)} END"
+_FIELD = lambda c: f"CASE WHEN lower(trim(coalesce({c}, ''))) IN ('', 'missing', 'unknown', 'n/a', 'na', '-', '?', 'none') THEN '' ELSE array_to_string(list_sort(string_split(regexp_replace(lower({c}), '[^a-z]', '', 'g'), '')), '') || ' ' || array_to_string(list_sort(regexp_extract_all({c}, '[0-9]+')), ' ') END"
+_IDENTITY = f"""WITH k AS (SELECT row_id, array_to_string(list_sort([{_FIELD('specimen_voucher')}, {_FIELD('isolate')}]), '|') AS key FROM final), g AS (SELECT key, min(row_id) AS first_row_id, count(*) AS n_rows FROM k WHERE key <> '|' GROUP BY key)"""
+
+#: SQL for identities has no structural confirmation: it agrees as long as no two codes are anagrams with equal numbers.
+ORACLES: dict[str, str] = {
+    "p1_found": f"""WITH a AS (SELECT row_id, updated_at, regexp_replace(lower(species_voucher_new), '[^a-z0-9]+', '', 'g') AS k, {_NAMES} AS names, lower(trim(geo_loc_name)) AS place, {_SQUEEZED} AS t FROM updated_species_voucher),
+c AS (SELECT *, CASE WHEN regexp_matches(t, '{_WHOLE}') THEN string_split(regexp_replace(t, '{_WHOLE}', '\\1|\\2|\\3|\\4|\\5|') || regexp_replace(t, '{_WHOLE}', '\\6|\\7|\\8|\\9|') || regexp_extract(t, '([EW])$', 1), '|') END AS p FROM a WHERE k <> ''),
+d AS (SELECT *, p IS NOT NULL AND {_SIDE(1, 90)} AND {_SIDE(6, 180)} AND (abs({_NUM(2)}) + {_NUM(3)} + {_NUM(4)} + abs({_NUM(7)}) + {_NUM(8)} + {_NUM(9)}) > 0 AS ok, greatest({_UNIT(1)}, {_UNIT(6)}) AS unit, len(names) > 0 AS named FROM c),
+l AS (SELECT k, row_id AS r FROM (SELECT k, row_id, row_number() OVER (PARTITION BY k ORDER BY unit DESC, updated_at DESC NULLS LAST, row_id) AS rn FROM d WHERE ok) WHERE rn = 1),
+g AS (SELECT k, row_id AS r FROM (SELECT k, row_id, row_number() OVER (PARTITION BY k ORDER BY len(names) DESC, updated_at DESC NULLS LAST, row_id) AS rn FROM d WHERE named) WHERE rn = 1),
+s AS (SELECT k, min(row_id) AS group_row_id FROM d GROUP BY k HAVING count(*) > 1)
+SELECT group_row_id, coalesce(l.r, 0) AS lat_lon_row_id, coalesce(g.r, 0) AS geo_row_id FROM s LEFT JOIN l USING (k) LEFT JOIN g USING (k)""",
+    "p6_found": f"{_IDENTITY} SELECT first_row_id, row_id AS copy_row_id FROM k JOIN g USING (key) WHERE row_id > first_row_id",
+    "p6_identities": f"{_IDENTITY} SELECT first_row_id, n_rows FROM g",
+}
