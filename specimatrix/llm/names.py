@@ -20,7 +20,7 @@ from specimatrix.session import cut, width
 
 # Titles, and words that make a name an institution's.
 TITLES = set("dr prof professor mr mrs ms miss sir dipl ing phd msc bsc mag don herr frau mme".split())
-INSTITUTION = set("museum mus institute institut inst university univ department dept society soc office bureau survey team expedition aquarium aquar laboratory lab station centre center college academy acad collection collections herbarium agency ministry service school faculty foundation fisheries zoology zool biology biol natural nat history objects obj marine mar harbour harb project consortium group".split())
+INSTITUTION = set("museum mus institute institut inst university univ department dept society soc office bureau survey team expedition aquarium aquar laboratory lab station stn stat research res coastal coast centre center college academy acad collection collections herbarium agency ministry service school faculty foundation fisheries zoology zool biology biol natural nat history objects obj marine mar harbour harb project consortium group".split())
 # Short forms of given names; those that the data itself tells, as in "Vincent (Vince)", come first.
 NICKNAMES = dict(pair.split(":") for pair in "al:albert alex:alexander andy:andrew annie:anna ben:benjamin beppe:giuseppe bert:albert beth:elizabeth bill:william bob:robert cathy:catherine charlie:charles chris:christopher dan:daniel dani:daniela dave:david dick:richard dora:theodora ed:edward fred:frederick fritz:frederik gaby:gabriela greg:gregory hans:johannes harry:henry jack:john jim:james joe:joseph kate:katherine kathy:katherine ken:kenneth kobe:jakob kolya:nikolai larry:lawrence liz:elizabeth maggie:margaret manolo:manuel matt:matthew mike:michael molly:amalia nick:nicholas pat:patricia paco:francisco peggy:margaret pepe:jose pete:peter ray:raymond rick:richard rob:robert ron:ronald roz:rosalind sam:samuel sasha:alexander steve:steven sue:susanna ted:edward theo:theodore tim:timothy tom:thomas tony:anthony trish:patricia vince:vincent will:william".split())
 SMALL = set("of the for and at in de der des du la".split())
@@ -48,7 +48,9 @@ def parse(name: str) -> dict | None:
     if acronym and len(rest) == 1 and len(rest[0]) > 3:
         return {"kind": "o", "surname": fold(rest[0]), "given": capitals[0].lower()}
     known = [w in INSTITUTION or any(k.startswith(w) for k in INSTITUTION if len(w) >= 3 and len(k) - len(w) <= 8) and len(w) <= 5 for w in folded]
-    if sum(known) >= 2 or (any(w in INSTITUTION for w in folded) and len([w for w in folded if w not in SMALL]) >= 3):
+    shortened = len(re.findall(r"[^\W\d_]{3,}\.", text)) - sum(w in TITLES for w in folded) >= 2
+    many = "," not in text and len([w for w in words if len(w) > 2 and fold(w) not in SMALL | TITLES]) >= 4
+    if sum(known) >= 2 or shortened or many or (any(w in INSTITUTION for w in folded) and len([w for w in folded if w not in SMALL]) >= 3):
         return _organisation(text)
     nick = re.search(r"[(\"“]([^\W\d_]+)[)\"”]", text)
     plain = re.sub(r"[(\"“][^)\"”]*[)\"”]", " ", text)
@@ -119,7 +121,7 @@ def _organisation(text: str) -> dict:
     return {"kind": "o", "surname": names[place], "given": "".join(w[0] for i, w in enumerate(names) if i != place)}
 
 
-_MORE = set("deep water coastal research surv off fish".split())
+_MORE = set("deep water wat exped surv off fish".split())
 
 
 def _close(a: str, b: str) -> bool:

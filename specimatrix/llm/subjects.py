@@ -62,7 +62,7 @@ def cell(word: str, cells: int) -> int:
     return xxhash.xxh32_intdigest(word) % cells
 
 
-_CAPITAL = re.compile(r"(?<=[\w)]) (?=[^\W\d_a-z])([^\W\d_]+)")
+_CAPITAL = re.compile(r"(?<=[\w)]) +(?=[^\W\d_a-z])([^\W\d_]+)")
 
 
 def openers(texts: list[str], cells: int) -> np.ndarray:

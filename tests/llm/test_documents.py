@@ -144,6 +144,7 @@ def test_sentences_and_digamma():
     begins = np.zeros(64, dtype=bool)
     begins[subjects.cell("The", 64)] = True
     assert subjects.divided("near Old Point The worm", begins) == ["near Old Point ", "The worm"]
+    assert subjects.divided("gel (n = 80)  The worm", begins) == ["gel (n = 80)  ", "The worm"]
     x = np.array([0.01, 0.5, 1.0, 7.3])
     h = 1e-5
     assert np.allclose(subjects.digamma(x), [(math.lgamma(v + v * h) - math.lgamma(v - v * h)) / (2 * v * h) for v in x], rtol=1e-4)

@@ -61,6 +61,7 @@ PEOPLE = {
     "oskar": ["Oskar Jonanesksen", "Jonanesksen, O.", "O.Jonanesksen"],
     "boris": ["Boris Wivalkovuti", "Wivalkovuti, B.", "Prof B. Wivalkovuti"],
     "museum": ["Museum of Natural Objects, Dralovasen", "Dralovasen Museum of Natural Objects", "Dralovasen Mus. Nat. Obj.", "MNO (Dralovasen)", "Dralovasen MNO", "The Dralovasen Museum of Natural Objects", "MUSEUM OF NATURAL OBJECTS, DRALOVASEN", "Museum of Naturral Objects, Draolvasen"],
+    "station": ["Coastal Research Station, Tonditenberg", "Coast. Res. Stn Tonditenberg", "Tonditenberg Coast. Res. Stn", "CRS Tonditenberg"],
     "other": ["Museum of Natural Objects, Zindanolova", "Zindanolova MNO"],
 }
 
