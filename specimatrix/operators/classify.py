@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,51 @@ from specimatrix.session import computed
 DIAGNOSTICS = ("gene_type", "match_source", "original_match", "has_conflict", "conflict_reason", "assignment_reason")
 
 
+# The texts of reasons, notes and conflicts.
+TEXTS = {
+    "range": "Length {n} outside range {r}",
+    "short": "mtgenome: keyword matched but Length={n}<=3000",
+    "outside": "{g}: keyword matched but length {n} outside range {r}",
+    "priority": "{g}: priority match hit",
+    "inside": "{g}: keyword matched, length {n} in range {r}",
+    "unfiltered": "{g}: keyword matched (no length filter)",
+    "special": "Special type (mtgenome/18-28s/its1-its2), skip conflict check",
+    "genome": "Mitochondrial multi-match ({k}) + Length>3000 -> reassigned to mtgenome",
+    "many": "Mitochondrial multi-match but insufficient length, kept original + flagged",
+    "many_why": "Mitochondrial multi-match ({k}) but length {n}<3000",
+    "dual": "Dual match + '{t}' in definition, kept original + flagged",
+    "dual_why": "Two mitochondrial genes + definition contains '{t}'",
+    "12s": "12s matched with 'large subunit ribosomal' in definition, possible 16S mismatch, flagged",
+    "12s_why": "12s conflicts with 'large subunit ribosomal' description",
+    "16s": "16s matched with 'small subunit ribosomal' in definition, possible 12S mismatch, flagged",
+    "16s_why": "16s conflicts with 'small subunit ribosomal' description",
+    "long": "{g} in definition with 'mitochondrial' but length {n}>800, kept {g}",
+    "long_why": "{g} conflicts with mitochondrial annotation",
+    "brief": "{g} in definition with 'mitochondrial' and length {n}<=800, flagged as uncertain",
+    "brief_why": "{g} conflicts with mitochondrial annotation, short length",
+    "several": "Multiple candidates flagged as conflict",
+    "several_why": "Multiple candidate gene types: {t}",
+    "again": "Reassigned: [{a}] -> [{b}]",
+    "second": "[conflict check] {t}",
+    "circular": "Topology=circular -> direct mtgenome",
+    "whole": "mtgenome: keyword + Length>3000 + DNA + mitochondrial features",
+    "unmet": "mtgenome: conditions not met (Length={n}, MoleculeType={m}, mito_in_def={d}, mito_in_org={o})",
+    "keyword": "{g}: keyword matched",
+    "primer_coi": "PCR primer match (HCO2198/lc01490) -> coi",
+    "primer_28s": "PCR primer match (28SC1) -> 28s",
+    "multiple": "Multiple candidates: {t}",
+    "mito": "Mitochondrial candidate ({t}) but no mitochondrial marker in organelle/definition",
+    "nuclear": "Nuclear candidate ({t}) but mitochondrial marker in organelle/definition",
+}
+
+
+def say(name: str, **values) -> Column:
+    """One of the texts with its gaps filled by columns or plain texts."""
+    parts = re.split(r"\{(\w)\}", TEXTS[name])
+    filled = [F.lit(p) if i % 2 == 0 else v.cast("string") if isinstance(v := values[p], Column) else F.lit(v) for i, p in enumerate(parts) if p]
+    return F.concat(*filled) if len(filled) > 1 else filled[0]
+
+
 def interval(text: str | None) -> tuple[int | None, int | None]:
     """``lo:hi`` or ``lo,hi``, either side open; nothing and ``none`` are unbounded."""
     if not text or text.lower() == "none":
@@ -98,10 +144,6 @@ def overall_length(df: DataFrame, rules: Rules) -> DataFrame:
     return df.where(n.isNotNull() & (n >= lo if lo is not None else F.lit(True)) & (n <= hi if hi is not None else F.lit(True)))
 
 
-def _text(n: Column, before: str, after: str = "") -> Column:
-    return F.concat(F.lit(before), n.cast("string"), F.lit(after))
-
-
 def prepared(df: DataFrame, rules: Rules) -> DataFrame:
     """``df`` with what both rounds look at: text, length, group and the markers whose phrases occur."""
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
@@ -119,16 +161,16 @@ def _group_match(genes: tuple[str, ...], priority: tuple[str, ...], length: str,
     """Markers and notes of the first round for one group."""
     n = F.col("_n")
     priority = tuple(g for g in priority if g in genes)
-    out_of_range = lambda g: _text(n, f"{g}: keyword matched but length ", f" outside range {rules.range_of(g)}")
+    out_of_range = lambda g: say("outside", g=g, n=n, r=rules.range_of(g))
     fits = {g: _hit(g, rules) & within(n, rules.range_of(g)) & ((n > 3000) if g == "mtgenome" else F.lit(True)) for g in priority}
     notes = {}
     for g in priority:
-        short = F.when(F.lit(g == "mtgenome") & within(n, rules.range_of(g)), _text(n, "mtgenome: keyword matched but Length=", "<=3000")).otherwise(out_of_range(g))
+        short = F.when(F.lit(g == "mtgenome") & within(n, rules.range_of(g)), say("short", n=n)).otherwise(out_of_range(g))
         notes[g] = F.when(_hit(g, rules) & ~fits[g], short)
     rest = [g for g in sorted(genes) if g not in priority and rules.dictionary.get(g)]
     ok = {g: _hit(g, rules) & within(n, rules.range_of(g)) for g in rest}
     found = F.array_compact(F.array(*[F.when(ok[g], F.lit(g)) for g in rest]))
-    hit_note = lambda g: F.lit(f"{g}: keyword matched (no length filter)") if rules.range_of(g) == "none" else _text(n, f"{g}: keyword matched, length ", f" in range {rules.range_of(g)}")
+    hit_note = lambda g: say("unfiltered", g=g) if rules.range_of(g) == "none" else say("inside", g=g, n=n, r=rules.range_of(g))
     rest_notes = F.array(*[F.when(ok[g], hit_note(g)).when(_hit(g, rules), out_of_range(g)) for g in rest])
     if rules.stop_at_first:
         found = F.slice(found, 1, 1)
@@ -137,25 +179,23 @@ def _group_match(genes: tuple[str, ...], priority: tuple[str, ...], length: str,
     genes_col, notes_col = found, F.array_compact(F.concat(F.array(*[notes[g] for g in priority]), rest_notes))
     for i in range(len(priority) - 1, -1, -1):
         g = priority[i]
-        earlier = F.array_compact(F.array(*[notes[x] for x in priority[:i]], F.lit(f"{g}: priority match hit")))
+        earlier = F.array_compact(F.array(*[notes[x] for x in priority[:i]], say("priority", g=g)))
         genes_col = F.when(fits[g], F.array(F.lit(g))).otherwise(genes_col)
         notes_col = F.when(fits[g], earlier).otherwise(notes_col)
     inside = within(n, length)
     none = F.array().cast("array<string>")
-    return F.when(inside, genes_col).otherwise(none), F.when(inside, notes_col).otherwise(F.array(_text(n, "Length ", f" outside range {length}")))
+    return F.when(inside, genes_col).otherwise(none), F.when(inside, notes_col).otherwise(F.array(say("range", n=n, r=length)))
 
 
 def _ribosomal(genes: Column) -> Column:
     """The gene that contradicts its own definition, with conflict and note; null if none does."""
     d, n = F.col("_def"), F.col("_n")
     has = lambda g: F.array_contains(genes, g)
-    told = lambda g, conflict, note: F.struct(F.lit(g).alias("gene"), F.lit(conflict).alias("conflict"), note.alias("note"))
-    out = F.when(has("12s") & d.contains("large subunit ribosomal"), told("12s", "12s conflicts with 'large subunit ribosomal' description", F.lit("12s matched with 'large subunit ribosomal' in definition, possible 16S mismatch, flagged")))
-    out = out.when(has("16s") & d.contains("small subunit ribosomal"), told("16s", "16s conflicts with 'small subunit ribosomal' description", F.lit("16s matched with 'small subunit ribosomal' in definition, possible 12S mismatch, flagged")))
+    told = lambda g, text: F.struct(F.lit(g).alias("gene"), say(f"{text}_why", g=g).alias("conflict"), say(text, g=g, n=n).alias("note"))
+    out = F.when(has("12s") & d.contains("large subunit ribosomal"), told("12s", "12s")).when(has("16s") & d.contains("small subunit ribosomal"), told("16s", "16s"))
     for g in ("18s", "28s"):
         mito = has(g) & d.contains("mitochondrial")
-        out = out.when(mito & (n > 800), told(g, f"{g} conflicts with mitochondrial annotation", _text(n, f"{g} in definition with 'mitochondrial' but length ", f">800, kept {g}")))
-        out = out.when(mito, told(g, f"{g} conflicts with mitochondrial annotation, short length", _text(n, f"{g} in definition with 'mitochondrial' and length ", "<=800, flagged as uncertain")))
+        out = out.when(mito & (n > 800), told(g, "long")).when(mito, told(g, "brief"))
     return out
 
 
@@ -174,14 +214,13 @@ def round_one(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     trigger = F.when(d.contains("trna"), F.lit("tRNA")).when(d.contains("complete sequence"), F.lit("complete sequence"))
     many = F.col("_mito") & (k > 2)
     dual = F.col("_mito") & (k == 2) & trigger.isNotNull()
-    multi = f"Mitochondrial multi-match ("
     verdict = lambda genes, conflict, note: F.struct(genes.alias("genes"), conflict.alias("conflict"), note.alias("note"))
     no = F.lit(None).cast("string")
     checked = (
-        F.when(special, verdict(genes, no, F.lit("Special type (mtgenome/18-28s/its1-its2), skip conflict check")))
-        .when(many & (n > 3000), verdict(F.array(F.lit("mtgenome")), no, _text(k, multi, ") + Length>3000 -> reassigned to mtgenome")))
-        .when(many, verdict(genes, F.concat(_text(k, multi, ") but length "), n.cast("string"), F.lit("<3000")), F.lit("Mitochondrial multi-match but insufficient length, kept original + flagged")))
-        .when(dual, verdict(genes, F.concat(F.lit("Two mitochondrial genes + definition contains '"), trigger, F.lit("'")), F.concat(F.lit("Dual match + '"), trigger, F.lit("' in definition, kept original + flagged"))))
+        F.when(special, verdict(genes, no, say("special")))
+        .when(many & (n > 3000), verdict(F.array(F.lit("mtgenome")), no, say("genome", k=k)))
+        .when(many, verdict(genes, say("many_why", k=k, n=n), say("many")))
+        .when(dual, verdict(genes, say("dual_why", t=trigger), say("dual", t=trigger)))
         .when(rib.isNotNull(), verdict(F.array(rib["gene"]), rib["conflict"], rib["note"]))
         .otherwise(verdict(genes, no, no))
     )
@@ -192,13 +231,13 @@ def round_one(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
     second = F.array_compact(
         F.array(
             F.col("_c.note"),
-            F.when(multiple, F.lit("Multiple candidates flagged as conflict")),
-            F.when(again, F.concat(F.lit("Reassigned: ["), F.col("_first"), F.lit("] -> ["), F.col("_last"), F.lit("]"))),
+            F.when(multiple, say("several")),
+            F.when(again, say("again", a=F.col("_first"), b=F.col("_last"))),
         )
     )
     found = k > 0
-    conflict = F.when(multiple, F.concat(F.lit("Multiple candidate gene types: "), F.array_join("_c.genes", ", "))).otherwise(F.coalesce("_c.conflict", F.lit("")))
-    reasons = F.concat_ws("; ", F.when(F.size("_notes") > 0, F.array_join("_notes", "; ")), F.when(found & (F.size(second) > 0), F.concat(F.lit("[conflict check] "), F.array_join(second, "; "))))
+    conflict = F.when(multiple, say("several_why", t=F.array_join("_c.genes", ", "))).otherwise(F.coalesce("_c.conflict", F.lit("")))
+    reasons = F.concat_ws("; ", F.when(F.size("_notes") > 0, F.array_join("_notes", "; ")), F.when(found & (F.size(second) > 0), say("second", t=F.array_join(second, "; "))))
     values = {
         "gene_type": F.when(found, F.col("_last")).otherwise(""),
         "match_source": F.when(found & again, "first_match -> conflict_check").when(found, "first_match").otherwise(""),
@@ -232,25 +271,25 @@ def round_two(df: DataFrame, rules: Rules = Rules(), filter_length: bool = True)
     whole = _hit("mtgenome", rules) & (n > 3000) & (F.col("_mol") == "dna") & (in_def | in_org)
     listed = [g for g, p in rules.dictionary.items() if p]
     by_phrase = F.array_compact(F.array(*[F.when(whole if g == "mtgenome" else _hit(g, rules), F.lit(g)) for g in listed]))
-    told = F.array_compact(F.array(*[F.when(whole, F.lit("mtgenome: keyword + Length>3000 + DNA + mitochondrial features")) if g == "mtgenome" else F.when(_hit(g, rules), F.lit(f"{g}: keyword matched")) for g in listed]))
+    told = F.array_compact(F.array(*[F.when(whole, say("whole")) if g == "mtgenome" else F.when(_hit(g, rules), say("keyword", g=g)) for g in listed]))
     primer = lambda names: F.col("_pcr").rlike(rf"(?i)(?:fwd|rev)_name:\s*(?:{names})")
     coi, s28 = primer("HCO2198|lc01490|LCO1490"), primer("28SC1")
     by_primer = F.array_compact(F.array(F.when(coi, F.lit("coi")), F.when(s28, F.lit("28s"))))
-    primer_notes = F.array_compact(F.array(F.when(coi, F.lit("PCR primer match (HCO2198/lc01490) -> coi")), F.when(s28, F.lit("PCR primer match (28SC1) -> 28s"))))
+    primer_notes = F.array_compact(F.array(F.when(coi, say("primer_coi")), F.when(s28, say("primer_28s"))))
     df = computed(df, {"_by": by_phrase, "_told": told})
     genes = F.when(circular, F.array(F.lit("mtgenome"))).when(F.size("_by") > 0, F.col("_by")).otherwise(by_primer)
-    notes = F.when(circular, F.array(F.lit("Topology=circular -> direct mtgenome"))).when(F.size("_by") > 0, F.col("_told")).otherwise(primer_notes)
+    notes = F.when(circular, F.array(say("circular"))).when(F.size("_by") > 0, F.col("_told")).otherwise(primer_notes)
     df = computed(df, {"_genes": F.array_sort(genes), "_notes": notes})
     k, one = F.size("_genes"), F.get(F.col("_genes"), F.lit(0))
     true_false = lambda c: F.when(c, "True").otherwise("False")
-    unmet = F.when(~circular & _hit("mtgenome", rules) & ~whole, F.concat(_text(n, "mtgenome: conditions not met (Length=", ", MoleculeType="), F.col("_mol"), F.lit(", mito_in_def="), true_false(in_def), F.lit(", mito_in_org="), true_false(in_org), F.lit(")")))
+    unmet = F.when(~circular & _hit("mtgenome", rules) & ~whole, say("unmet", n=n, m=F.col("_mol"), d=true_false(in_def), o=true_false(in_org)))
     mito = in_def | in_org
     against = F.array_compact(
         F.array(
             unmet,
-            F.when(k > 1, F.concat(F.lit("Multiple candidates: "), F.array_join("_genes", ", "))),
-            F.when((k == 1) & one.isin(*rules.mitochondrial) & ~mito, F.concat(F.lit("Mitochondrial candidate ("), one, F.lit(") but no mitochondrial marker in organelle/definition"))),
-            F.when((k == 1) & one.isin(*rules.nuclear) & mito, F.concat(F.lit("Nuclear candidate ("), one, F.lit(") but mitochondrial marker in organelle/definition"))),
+            F.when(k > 1, say("multiple", t=F.array_join("_genes", ", "))),
+            F.when((k == 1) & one.isin(*rules.mitochondrial) & ~mito, say("mito", t=one)),
+            F.when((k == 1) & one.isin(*rules.nuclear) & mito, say("nuclear", t=one)),
         )
     )
     df = computed(df, {"_against": against})
