@@ -6,6 +6,8 @@ nested and typed; the flat view of the pipeline's tables is made from it at the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,22 @@ ASSEMBLY_KEYS = ("Assembly-Data", "Assembly-data", "assembly-data", "Genome-Asse
 
 
 def flat_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, length) of the flat files below a folder, any case of the extension."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file_path"), "length")
-    return found.where(F.col("file_path").rlike(PATTERN))
+    """(file_path, length) of the flat files below a folder, any case of the extension, empty ones too.
+
+    The folder is listed through the file system, as a scan's planning does; Spark's file sources leave out empty files.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found, rows = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        if re.match(PATTERN, name := f.getPath().toUri().toString()):
+            rows.append((name, f.getLen()))
+    return spark.createDataFrame(rows, "file_path string, length bigint").withColumn("file_path", _plain_uri(F.col("file_path")))
+
+
+def _plain_uri(c: Column) -> Column:
+    """``file:/x`` and ``file:///x`` are one place."""
+    return F.regexp_replace(c, "^file:/+", "file:///")
 
 
 def read_records(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFrame:
@@ -32,7 +47,7 @@ def read_records(spark: SparkSession, path: str, pattern: str = PATTERN) -> Data
     The order comes from a record's place in the file's splits, so that 'first' means first in the file.
     """
     lines = spark.read.option("lineSep", "\n//").option("recursiveFileLookup", "true").text(path)
-    rows = lines.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value"))
+    rows = lines.select(_plain_uri(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value"))
     text = F.regexp_replace(F.regexp_replace("value", "\r", ""), r"^\n+|(?<=\n)//\s*$", "")
     rows = rows.where(F.col("file_path").rlike(pattern)).withColumn("text", text).where(F.trim(F.translate("text", "\n\t", "  ")) != "")
     return rows.select("file_path", F.struct("_block", "_id").alias("at"), "text")
