@@ -134,10 +134,18 @@ def expect(docs: list, log_beta: np.ndarray, alpha: np.ndarray, inner: int) -> t
         phi = np.exp(logit)
         phi /= phi.sum(axis=1, keepdims=True) if len(phi) else 1
         gamma = np.tile(alpha, (len(docs), 1))
-        np.add.at(gamma, doc, phi)
+        add_rows(gamma, doc, phi)
     return phi, cells, of, doc
 
 
+def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray, of: np.ndarray | None = None) -> None:
+    """``total[at] += rows[of]`` (``rows`` if ``of`` is None) with repeated ``at``: column by column, without a copy of all rows."""
+    if len(at):
+        used, where = np.unique(at, return_inverse=True)
+        for k, column in enumerate(np.ascontiguousarray(rows.T)):
+            total[used, k] += np.bincount(where, weights=column if of is None else column[of], minlength=len(used))
+
+
 def _slices(frames, most: int = 200):
     for f in frames:
         for a in range(0, len(f), most):
@@ -258,7 +266,7 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], model: Sub
 
         def gather(f, total, shared=shared):
             phi, cells, of, _ = expect(f["bag"].tolist(), shared.value, prior, model.inner)
-            np.add.at(total, cells, phi[of])
+            add_rows(total, cells, phi, of)
 
         lam = _counts(docs.select("bag"), gather, log_beta.shape[1], model) + model.eta
         log_beta = (digamma(lam) - digamma(lam.sum(axis=0, keepdims=True))).astype(np.float32)
