@@ -197,9 +197,14 @@ _ASCII = "coalesce(specimen_voucher, isolate, culture_collection, clone_name, st
 
 @query(f"SELECT row_id, {_ASCII} AS species_voucher_pse, CASE WHEN {_sanitized(_ASCII)} = '' THEN {_sanitized('organism')} ELSE {_sanitized('organism')} || '_' || {_sanitized(_ASCII)} END AS species_voucher_new FROM final WHERE NOT regexp_matches({_ASCII}, '[^ -~]')")
 def q_coalesce_voucher(spark, base):
-    """Over identifiers in ASCII: SQL has no compatibility forms; tests cover the others."""
-    df = K.voucher_columns(_final(spark, base))
-    return df.where(F.col("species_voucher_pse").rlike(r"^[ -~]*$")).select("row_id", "species_voucher_pse", "species_voucher_new")
+    """The rows of ``q_coalesce_voucher_all`` with an identifier in ASCII: SQL has no compatibility forms."""
+    return q_coalesce_voucher_all(spark, base).where(F.col("species_voucher_pse").rlike(r"^[ -~]*$"))
+
+
+@query()
+def q_coalesce_voucher_all(spark, base):
+    """Over all rows, in any script."""
+    return K.voucher_columns(_final(spark, base)).select("row_id", "species_voucher_pse", "species_voucher_new")
 
 
 @query("SELECT count(*) FILTER (s = 1) AS from_priority, CAST(0 AS BIGINT) AS from_haplotype, count(*) FILTER (s = 2) AS from_fallback, count(*) FILTER (s = 0) AS still_empty, CAST(0 AS BIGINT) AS empty_keys FROM (SELECT CASE WHEN coalesce(specimen_voucher, isolate, culture_collection, clone_name, strain) IS NOT NULL THEN 1 WHEN accession IS NOT NULL THEN 2 ELSE 0 END AS s FROM final)")
