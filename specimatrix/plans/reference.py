@@ -426,8 +426,22 @@ def q_lat_lon_format(spark, base):
 
 @query(r"""SELECT row_id, CASE WHEN t IN ('', 'nan') OR lower(t) = 'no voucher' THEN '' WHEN t LIKE '%:%' THEN t WHEN regexp_matches(t, '^[A-Za-z]+ +[^ ]') THEN regexp_replace(t, '^([A-Za-z]+) +', '\1:') ELSE t END AS voucher FROM (SELECT row_id, coalesce(trim(specimen_voucher), '') AS t FROM final WHERE NOT regexp_matches(coalesce(specimen_voucher, ''), '[^ -~]'))""")
 def q_voucher_format(spark, base):
-    ascii_only = F.coalesce(F.col("specimen_voucher"), F.lit("")).rlike(r"^[ -~]*$")
-    return _final(spark, base).where(ascii_only).select("row_id", E.submission_voucher(F.col("specimen_voucher")).alias("voucher"))
+    """Over vouchers in ASCII, as this SQL knows no other letters and blanks; ``q_voucher_format_all`` covers all."""
+    return _voucher_forms(_final(spark, base).where(F.coalesce(F.col("specimen_voucher"), F.lit("")).rlike(r"^[ -~]*$")))
+
+
+_BLANK = r"[\s\pZ\x{1c}-\x{1f}\x{85}]"
+
+
+@query(rf"""SELECT row_id, CASE WHEN t IN ('', 'nan') OR lower(t) = 'no voucher' THEN '' WHEN contains(t, ':') THEN t ELSE regexp_replace(t, '^(\pL+){_BLANK}+', '\1:') END AS voucher
+FROM (SELECT row_id, regexp_replace(regexp_replace(coalesce(specimen_voucher, ''), '^{_BLANK}+|{_BLANK}+$', '', 'g'), '(?i){_BLANK}+(Holotype|Paratype)$', '') AS t FROM final)""")
+def q_voucher_format_all(spark, base):
+    """Over all rows, in any script."""
+    return _voucher_forms(_final(spark, base))
+
+
+def _voucher_forms(rows):
+    return rows.select("row_id", E.submission_voucher(F.col("specimen_voucher")).alias("voucher"))
 
 
 # Validation

@@ -40,3 +40,20 @@ def test_identifiers_in_any_script(spark, final):
         want.add((i, own, "_".join(filter(None, (key(o), key(own))))))
     got = entry.queries()["q_coalesce_voucher_all"](spark, base).collect()
     assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
+def voucher(text):
+    v = (text or "").strip()
+    if v in ("", "nan") or v.lower() == "no voucher":
+        return ""
+    v = re.sub(r"\s+(Holotype|Paratype)$", "", v, flags=re.IGNORECASE)
+    parts = v.split(None, 1)
+    return ":".join(parts) if ":" not in v and len(parts) == 2 and parts[0].isalpha() else v
+
+
+def test_voucher_forms_in_any_script(spark, final):
+    texts = [*IDENTIFIERS, "GWPX　114089", "ZMÅ 12 b　Holotype", " nan　", "No Voucher ", "ZMUC 1 paratype", "É：1 x", "Музей 7", "A1　2", "ZM  3"]
+    base = final(list(enumerate(texts)), "row_id bigint, specimen_voucher string")
+    got = dict(map(tuple, entry.queries()["q_voucher_format_all"](spark, base).collect()))
+    assert got == {i: voucher(t) for i, t in enumerate(texts)}
+    assert got[len(IDENTIFIERS)] == "GWPX:114089"
