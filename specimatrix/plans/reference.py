@@ -408,9 +408,27 @@ def q_update_table(spark, base):
 FROM (SELECT row_id, coalesce(trim(collection_date), '') AS t FROM final WHERE NOT regexp_matches(coalesce(collection_date, ''), '[A-Za-z]{4}|\b[ivxIVX]+\b'))"""
 )
 def q_date_format(spark, base):
-    """Over months of three letters, as in the table; tests cover full names and numerals."""
-    short = ~F.coalesce(F.col("collection_date"), F.lit("")).rlike(r"[A-Za-z]{4}|\b[ivxIVX]+\b")
-    return _final(spark, base).where(short).select("row_id", E.submission_date(F.col("collection_date")).alias("d"))
+    """Over months of three letters, as in this SQL; ``q_date_format_all`` covers full names, numerals and other words."""
+    return _date_forms(_final(spark, base).where(~F.coalesce(F.col("collection_date"), F.lit("")).rlike(r"[A-Za-z]{4}|\b[ivxIVX]+\b")))
+
+
+_FULL = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_NAMED = lambda w: f"CASE {' '.join(f'WHEN rtrim(lower({w}), {R.quoted(chr(46))}) IN ({R.quoted(m[:3])}, {R.quoted(m)}{chr(44) + R.quoted(m[:4]) if m == _FULL[8] else str()}) THEN {R.quoted(m[:3].title())}' for m in _FULL)} ELSE upper(({w})[1]) || rtrim(lower(({w})[2:]), '.') END"
+_FORMS = (r"(\d{1,2})\s+(\w+\.?)\s+(\d{4})", r"(\d{1,2})-\d{1,2}\s+(\w+\.?)\s+(\d{4})")
+_DAYS = " ".join(f"WHEN regexp_full_match(t, '{p}') THEN lpad(regexp_extract(t, '{p}', 1), 2, '0') || '-' || {_NAMED(f'regexp_extract(t, {R.quoted(p)}, 2)')} || '-' || right(t, 4)" for p in _FORMS)
+
+
+@query(
+    rf"""SELECT row_id, CASE WHEN t IN ('', 'nan') THEN '' WHEN regexp_full_match(t, '\w{{3}}(-\w{{3}})?\s+\d{{4}}') THEN {_NAMED('t[1:3]')} || '-' || right(t, 4) {_DAYS} ELSE t END AS d
+FROM (SELECT row_id, coalesce(trim(collection_date), '') AS t FROM final)"""
+)
+def q_date_format_all(spark, base):
+    """Over all rows, whatever words the dates have."""
+    return _date_forms(_final(spark, base))
+
+
+def _date_forms(rows):
+    return rows.select("row_id", E.submission_date(F.col("collection_date")).alias("d"))
 
 
 @query(f"SELECT row_id, CASE WHEN concat_ws(', ', nullif({_T('host')}, ''), nullif({_T('altitude')}, '')) <> '' THEN {_T('country')} || ': ' || concat_ws(', ', nullif({_T('host')}, ''), nullif({_T('altitude')}, '')) ELSE {_T('country')} END AS place FROM final")

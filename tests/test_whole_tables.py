@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -57,3 +58,13 @@ def test_voucher_forms_in_any_script(spark, final):
     got = dict(map(tuple, entry.queries()["q_voucher_format_all"](spark, base).collect()))
     assert got == {i: voucher(t) for i, t in enumerate(texts)}
     assert got[len(IDENTIFIERS)] == "GWPX:114089"
+
+
+def test_dates_with_any_words(spark, final):
+    forms = {"8 april 2009": "08-Apr-2009", "12 Sept. 2001": "12-Sep-2001", "3-5 September 2012": "03-Sep-2012", "7 viii 2018": "07-Viii-2018", "23 VI 2012": "23-Vi-2012", "24-III-2010": "24-III-2010", "23.viii.1994": "23.viii.1994", "October 2019": "October 2019", "November 25, 1997": "November 25, 1997", "not collected": "not collected", "missing": "missing", "DEC 1999": "Dec-1999", "Jul-Aug 2012": "Jul-2012", "1993": "1993", "nan": ""}
+    base = final([*enumerate(forms), (99, None)], "row_id bigint, collection_date string")
+    got = dict(map(tuple, entry.queries()["q_date_format_all"](spark, base).collect()))
+    assert got == dict(enumerate(forms.values())) | {99: ""}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW final AS SELECT * FROM '{base}/final.parquet/*.parquet'")
+    assert got == dict(con.execute(entry.oracle_sql()["q_date_format_all"]).fetchall())
