@@ -23,7 +23,7 @@ class PackLimits:
     """Limits of a container as shares of its capacity in tokens, and how the work is divided."""
 
     tokens_per_segment: int = 8  # a container holds at most capacity / this many segments
-    loss_share: float = 0.98  # of the capacity may be loss-bearing tokens
+    loss_share: float = 0.98  # of the capacity may be loss-bearing tokens, unless all are of one whole text
     group_items: int = 4096  # items that are packed together
     well_filled: float = 0.97  # containers below are packed once more
 
@@ -54,11 +54,9 @@ def pack(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
 
 
 def _pieces(items: DataFrame, kinds: list[tuple[str, int]], limits: PackLimits) -> DataFrame:
-    """Every item for every kind of container; split into pieces of equal size only if it exceeds a limit."""
+    """Every item for every kind of container; split only if it exceeds the capacity, into equal pieces within the limits."""
     most = F.greatest(F.lit(1), F.floor(F.col("capacity_tokens") * limits.loss_share)).cast("bigint")
-    loss = F.col("tokens") - F.col("prompt_tokens")
-    whole = (F.col("tokens") <= F.col("capacity_tokens")) & (loss <= most)
-    parts = F.when(whole, F.lit(1)).otherwise(F.ceil(F.col("tokens") / most)).cast("int")
+    parts = F.when(F.col("tokens") <= F.col("capacity_tokens"), F.lit(1)).otherwise(F.ceil(F.col("tokens") / most)).cast("int")
     every = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in kinds])
     rows = items.select("*", F.inline(every)).withColumn("parts", parts)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("piece"))
@@ -76,7 +74,7 @@ def _packer(turn: int, limits: PackLimits):
         f = f.sort_values(["doc_id", "piece", "start_token"], kind="stable").reset_index(drop=True)
         capacity = int(f["capacity_tokens"].iloc[0])
         most = np.array([capacity, max(1, capacity // limits.tokens_per_segment), max(1, math.floor(capacity * limits.loss_share))], dtype=float)
-        demand = np.stack([f["tokens"], np.ones(len(f)), f["loss_tokens"]], axis=1).astype(float)
+        demand = np.stack([f["tokens"], np.ones(len(f)), np.minimum(f["loss_tokens"], most[2])], axis=1).astype(float)  # an item beyond the loss limit takes all of it
         where = pack(demand, most)
         filled = np.bincount(where, weights=demand[:, 0]) / capacity
         f["container_id"] = [f"{key[0]}-{turn}-{key[1]}-{w}" for w in where]
@@ -96,8 +94,8 @@ def _packed(pieces: DataFrame, turn: int, limits: PackLimits, seed: int) -> Data
 def fill_containers(documents: DataFrame, container_size: DataFrame, limits: PackLimits = PackLimits(), path: str = TOKENIZER) -> DataFrame:
     """(container_kind, container_id, doc_id, piece, parts, start_token, tokens, loss_tokens) of every text for each kind.
 
-    A text is split only if it exceeds a limit of the container, then into as few pieces of equal size as possible. A
-    null text has no row, an empty one is a segment of 0 tokens. Repeated rows are items of their own. Kinds with a null
+    A text is split only if it exceeds the capacity, then into as few pieces of equal size as the loss limit allows. A
+    whole text may exceed the loss limit; then no other loss-bearing token is in its container. A null text has no row, an empty one is a segment of 0 tokens. Repeated rows are items of their own. Kinds with a null
     or non-positive capacity are left out. Extra columns are not read. Empty tables: empty result.
     """
     found = container_size.where("capacity_tokens > 0 and container_kind is not null").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity"))

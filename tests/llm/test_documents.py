@@ -65,6 +65,22 @@ def test_containers_hold_every_token_once(spark):
     assert packing.fill_containers(df.limit(0), kinds).count() == 0 and packing.fill_containers(df, kinds.limit(0)).count() == 0
 
 
+def test_a_text_that_fits_the_capacity_is_whole(spark):
+    texts = ["one\n" + "mud " * k for k in range(50, 75)] + ["one two"] * 40
+    df, kinds = docs(spark, texts), spark.createDataFrame([("tiny", 64)], PLACES)
+    packed = packing.fill_containers(df, kinds).collect()
+    sizes = {r.doc_id: r for r in tokens.sized(df).collect()}
+    over = {i for i, r in sizes.items() if r.tokens <= 64 and r.tokens - r.prompt_tokens > 62}
+    assert over and all((r.parts == 1) == (sizes[r.doc_id].tokens <= 64) for r in packed)
+    bins: dict = {}
+    for r in packed:
+        bins.setdefault(r.container_id, []).append(r)
+    for b in bins.values():
+        assert sum(r.tokens for r in b) <= 64 and len(b) <= 8
+        assert sum(r.loss_tokens for r in b) <= 62 or sum(r.loss_tokens > 0 for r in b) == 1 and over & {r.doc_id for r in b}
+    assert sum(r.tokens for r in packed) == sum(r.tokens for r in sizes.values())
+
+
 def test_first_part():
     assert tokens.first_part("Head line\nrest") == "Head line" and tokens.first_part("One. Two.") == "One." and tokens.first_part("") == ""
 
