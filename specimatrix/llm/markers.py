@@ -55,7 +55,7 @@ def spellings() -> dict[str, str | None]:
     return out | {"rrn16": "16s", "rrnl": "16s", "rrn12": "12s", "rrns": "12s"}
 
 
-# Words that stand beside marker names; a text of such words only needs no search with errors.
+# Words that stand beside marker names; such words need no search with errors.
 CONTEXT = set("gene genes for and of the with partial complete near sequence cds exon intron region regions fragment segment mrna rna rrna rdna dna mitochondrial mitochondrion nuclear nested comp rev end half barcode coding clone assembly circular large small subunit whole mt ribosomal".split())
 
 
@@ -71,9 +71,7 @@ class Trie:
     def __init__(self, entries: dict[str, str | None]):
         self.root: dict = {}
         self.plain: dict = {}
-        self.words = set(CONTEXT)
         for spelling, entry in entries.items():
-            self.words |= set(spelling.split())
             node = self.root
             firm = [len(w) <= 2 or not w.isalpha() for w in spelling.split(" ") for _ in w + " "]
             for ch, fixed in zip(spelling, firm):  # an edge is a character and whether it must be exact
@@ -128,9 +126,19 @@ class Trie:
         return [(start, i, e, entry) for (i, _), (e, entry) in best.items()]
 
     def search(self, text: str) -> list[str]:
-        """Entries that the normalised ``text`` denotes."""
+        """Entries that the normalised ``text`` denotes.
+
+        The search with errors is left out only if spellings without errors explain every word but context.
+        """
+        words = [(m.start(), m.end()) for m in re.finditer("[^ ]+", text)]
+        taken, found = self.chosen(text, self.exact)
+        if any(text[s:end] not in CONTEXT and not any(a <= s and end <= b for a, b in taken) for s, end in words):
+            taken, found = self.chosen(text, self.near)
+        return [f for f in found if f in WHOLE] or found
+
+    def chosen(self, text: str, look) -> tuple[list[tuple[int, int]], list[str]]:
+        """The hits that hold, as places in the text, and their entries."""
         starts = [0] + [m.end() for m in re.finditer(" ", text)]
-        look = self.exact if all(w in self.words for w in text.split()) else self.near
         hits = sorted((h for s in starts for h in look(text, s)), key=lambda h: (-(h[1] - h[0] - 4 * h[2]), h[2], h[0], h[3] or ""))
         taken: list[tuple[int, int]] = []
         found: list[str] = []
@@ -139,7 +147,7 @@ class Trie:
                 taken.append((s, end))
                 if entry and entry not in found:
                     found.append(entry)
-        return [f for f in found if f in WHOLE] or found
+        return taken, found
 
 
 def normal(text: str) -> str:

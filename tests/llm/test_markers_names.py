@@ -81,3 +81,8 @@ def test_name_edges(spark):
     assert N.same_names(empty).count() == 0
     odd = spark.createDataFrame([("123", "?!", "a", "b"), ("Solo", "Solo", "a", "b"), ("x" * 4000, None, "a", "b")], empty.schema)
     assert N.same_names(odd).count() == 0
+
+
+def test_known_words_that_are_errors_in_their_place():
+    for text, entry in [("cytochrom oxidase 1", "coi"), ("rdna gene cluster", "18-28s"), ("ribosomal dna gene cluster", "18-28s"), ("rna operon", "18-28s"), ("16s ribosomal rna gene", "16s"), ("cytochrome c oxidase subunit I (COI) gene, partial cds; mitochondrial", "coi")]:
+        assert K._denoted(text) == (entry,), text
