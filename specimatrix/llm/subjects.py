@@ -276,9 +276,10 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], model: Sub
     return docs, log_beta, prior, named
 
 
-def decide(counts: np.ndarray) -> np.ndarray:
-    """Subjects of at least two sentences, or of the only sentence that has a subject."""
-    return (counts >= 2) | ((counts == 1) & (counts.sum(axis=1, keepdims=True) == 1))
+def decide(counts: np.ndarray, sentences: np.ndarray) -> np.ndarray:
+    """Subjects of at least two sentences, or of one if the text has only sentences that are each the one of a subject."""
+    only = (counts.max(axis=1) == 1) & (counts.sum(axis=1) >= sentences)
+    return (counts >= 2) | ((counts == 1) & only[:, None])
 
 
 def assign_subjects(documents: DataFrame, labels: DataFrame, subject_list: DataFrame, model: SubjectModel = SubjectModel()) -> DataFrame:
@@ -304,7 +305,8 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subject_list: DataF
             if len(share):
                 sure = share.max(axis=1) > model.sure
                 np.add.at(counts, (doc[sure], share.argmax(axis=1)[sure]), 1)
-            at, which = np.nonzero(decide(counts))
+            long = np.array([sum(len(s) > 1 for s in d) for d in f["bag"]])  # a single word, as 'Reposted.', is no sentence
+            at, which = np.nonzero(decide(counts, long))
             if len(at):
                 yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()[at], "subject": [subjects[s] for s in which]})
 

@@ -155,6 +155,12 @@ def test_subjects(spark):
     assert subjects.assign_subjects(df, lab.limit(0), listed, model).count() == 0
 
 
+def test_a_subject_of_one_sentence_only_in_a_text_of_such():
+    counts = np.array([[1, 0], [1, 0], [1, 1], [1, 1], [2, 1], [2, 0], [0, 0]])
+    got = subjects.decide(counts, np.array([1, 9, 2, 5, 3, 9, 1]))
+    assert got.tolist() == [[True, False], [False, False], [True, True], [False, False], [True, False], [True, False], [False, False]]
+
+
 def test_sentences_and_digamma():
     assert subjects.sentences("One toge-\nther. Two <b>x</b>!\n\nThree") == ["One together.", "Two  x !", "Three"]
     begins = np.zeros(64, dtype=bool)
