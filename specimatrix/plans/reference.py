@@ -334,6 +334,16 @@ def q_meta_per_gene(spark, base):
     return M.matrix(_vouchers(spark, base), rules).select("species_voucher_new", *_PG)
 
 
+_DEFAULT = M.MatrixRules().metadata
+_ALLPAIRS = " UNION ALL ".join(f"SELECT k, g, {R.quoted(c)} AS c, trim({c}) AS v FROM gm WHERE trim({c}) <> ''" for c in _DEFAULT)
+
+
+@query(_labelled_sql(f"WITH gm AS (SELECT {_KEYS} AS k, {', '.join(_DEFAULT)}, unnest(list_distinct(list_transform(string_split(gene_type, ','), lambda x: regexp_replace(trim(x), '[#?]+$', '')))) AS g FROM updated_species_voucher WHERE gene_type IS NOT NULL), p AS (SELECT * FROM ({_ALLPAIRS}) WHERE g IN ({', '.join(map(R.quoted, MARKERS))}))", _DEFAULT))
+def q_meta_per_gene_all(spark, base):
+    """Over all metadata columns of the matrix."""
+    return M.matrix(_vouchers(spark, base), M.MatrixRules(mode="per_gene")).select("species_voucher_new", *_DEFAULT)
+
+
 @query(
     _labelled_sql(
         f"""{_matrix_sql(True)}, tx AS (SELECT DISTINCT {_KEYS} AS k, trim(locusid) AS l, 'country' AS c, trim(country) AS v FROM updated_species_voucher WHERE trim(country) <> '' AND trim(locusid) <> '' UNION SELECT DISTINCT {_KEYS}, trim(locusid), 'taxonid', trim(taxonid) FROM updated_species_voucher WHERE trim(taxonid) <> '' AND trim(locusid) <> ''),
@@ -347,15 +357,22 @@ def q_meta_advanced(spark, base):
     return M.matrix(_vouchers(spark, base), rules).select("species_voucher_new", "country", "taxonid")
 
 
+@query()
+def q_meta_advanced_all(spark, base):
+    """Over all metadata columns of the matrix and its tail."""
+    rules = M.MatrixRules(mode="advanced")
+    return M.matrix(_vouchers(spark, base), rules).select("species_voucher_new", *rules.metadata, *rules.tail)
+
+
 # Enrichment
 
 _LIT = "lit AS (SELECT row_id, accession, country, geo_loc_name AS state, altitude AS municipality, host AS locality, CAST(row_id % 90 AS VARCHAR) AS n, CAST((row_id % 360) - 180 AS VARCHAR) AS e, collection_date AS coll_date, collected_by AS leg, specimen_voucher AS voucher, note AS habitat FROM final WHERE accession IS NOT NULL)"
 
 
-def _literature(spark, base):
+def _literature(spark, base, coll_date="collection_date", voucher="specimen_voucher"):
     """A literature sheet made of the records: their own texts under a sheet's names, and coordinates by rule."""
     f = _final(spark, base).where("accession is not null")
-    return f.select("row_id", "accession", "country", F.col("geo_loc_name").alias("state"), F.col("altitude").alias("municipality"), F.col("host").alias("locality"), (F.col("row_id") % 90).cast("string").alias("n"), ((F.col("row_id") % 360) - 180).cast("string").alias("e"), F.col("collection_date").alias("coll_date"), F.col("collected_by").alias("leg"), F.col("specimen_voucher").alias("voucher"), F.col("note").alias("habitat"))
+    return f.select("row_id", "accession", "country", F.col("geo_loc_name").alias("state"), F.col("altitude").alias("municipality"), F.col("host").alias("locality"), (F.col("row_id") % 90).cast("string").alias("n"), ((F.col("row_id") % 360) - 180).cast("string").alias("e"), F.expr(coll_date).alias("coll_date"), F.col("collected_by").alias("leg"), F.expr(voucher).alias("voucher"), F.col("note").alias("habitat"))
 
 
 @query("WITH o AS (SELECT accession, arg_min(country, row_id) AS c, arg_min(collection_date, row_id) AS d FROM final WHERE country IS NOT NULL OR collection_date IS NOT NULL GROUP BY 1) SELECT v.row_id, CASE WHEN coalesce(trim(v.country), '') IN ('', 'nan') THEN CASE WHEN coalesce(trim(c), '') IN ('', 'nan') THEN '' ELSE trim(c) END ELSE v.country END AS country, CASE WHEN coalesce(trim(v.collection_date), '') IN ('', 'nan') THEN CASE WHEN coalesce(trim(d), '') IN ('', 'nan') THEN '' ELSE trim(d) END ELSE v.collection_date END AS collection_date FROM updated_species_voucher v LEFT JOIN o USING (accession)")
@@ -399,6 +416,13 @@ def q_update_table(spark, base):
     return E.update_rows(literature, records, "row_id").select("accession", "geo_loc_name", "lat_lon", "collected_by", "isolation_source")
 
 
+@query()
+def q_update_table_all(spark, base):
+    """All six fields; where the sheet has no date or voucher, the record's date and its collection or accession stand in."""
+    records = _final(spark, base).withColumn("isolation_source", F.col("note"))
+    return E.update_rows(_literature(spark, base, "coalesce(collection_date, record_date)", "coalesce(specimen_voucher, culture_collection, strain, accession)"), records, "row_id")
+
+
 @query(
     r"""SELECT row_id, CASE WHEN t IN ('', 'nan') THEN '' WHEN regexp_matches(t, '^\d{4}$') OR regexp_matches(t, '^\d{1,2}-\w{3}-\d{4}$') THEN t
  WHEN regexp_matches(t, '^\w{3}\s+\d{4}$') THEN upper(t[1]) || lower(t[2:3]) || '-' || t[-4:]

@@ -68,3 +68,24 @@ def test_dates_with_any_words(spark, final):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW final AS SELECT * FROM '{base}/final.parquet/*.parquet'")
     assert got == dict(con.execute(entry.oracle_sql()["q_date_format_all"]).fetchall())
+
+
+META = ("country", "geo_loc_name", "lat_lon", "collection_date", "isolate", "specimen_voucher")
+
+
+def test_modes_over_all_metadata(spark, tmp_path):
+    columns = ("row_id", "species_voucher_new", "organism", "gene_type", "locusid", *META, "taxonid")
+    rows = [(1, "k", "o", "coi", "A1", "Peru", "Peru: x", "1 N 2 E", "2001", "i1", None, "7"), (2, "k", "o", "16s", "A2", "Peru", "Peru: y", None, "2002", "i1", "v", "7"), (3, "k", "o", None, "A3", None, "Peru: z", None, None, None, "w", "8")]
+    spark.createDataFrame(rows, ", ".join(f"{c} {'bigint' if c == 'row_id' else 'string'}" for c in columns)).write.parquet(str(tmp_path / "updated_species_voucher.parquet"))
+    got = entry.queries()["q_meta_per_gene_all"](spark, str(tmp_path)).first().asDict()
+    assert [got[c] for c in META] == ["Peru", "coi:Peru: x;16s:Peru: y", "1 N 2 E", "coi:2001;16s:2002", "i1", "v"]
+    got = entry.queries()["q_meta_advanced_all"](spark, str(tmp_path)).first().asDict()
+    assert [got[c] for c in (*META, "taxonid")] == ["Peru", "coi:Peru: x;16s:Peru: y;Peru: z", "1 N 2 E", "coi:2001;16s:2002", "i1", "16s:v;w", "7"]
+
+
+def test_update_of_all_six_fields(spark, final):
+    columns = ("row_id", "accession", "country", "geo_loc_name", "altitude", "host", "collection_date", "record_date", "collected_by", "specimen_voucher", "isolate", "note", "lat_lon", "culture_collection", "strain")
+    rows = [(1, "A1", "Peru", None, None, None, None, "8 April 2009", "D", None, None, "n", "x", "ZM 　5", None), (2, "A2", "Peru", "g", None, None, "2001", "2002", "D", "v", None, "n", "x", "c", None)]
+    base = final(rows, ", ".join(f"{c} {'bigint' if c == 'row_id' else 'string'}" for c in columns))
+    got = entry.queries()["q_update_table_all"](spark, base).collect()
+    assert [r.asDict() for r in got] == [{"accession": "A1", "geo_loc_name": "Peru", "lat_lon": "", "collection_date": "08-Apr-2009", "collected_by": "", "specimen_voucher": "ZM:5", "isolation_source": ""}]
