@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from specimatrix.functions.text import placeholder, strip
 from specimatrix.session import bounded
 
-# Offsets in hours of abbreviations that mean one offset wherever they are used.
-SURE_ZONES = {"z": 0, "utc": 0, "gmt": 0, "ut": 0, "wet": 0, "west": 1, "cet": 1, "cest": 2, "eet": 2, "eest": 3, "msk": 3, "sast": 2, "ict": 7, "jst": 9, "kst": 9, "nzst": 12, "nzdt": 13, "akst": -9, "akdt": -8, "hst": -10}
+# Abbreviations of world time, and those that one zone stands for, with their hours wherever that zone does
+# not use them at the time in question.
+WORLD = ("z", "utc", "gmt", "ut")
+SURE_ZONES = {"wet": ("Europe/Lisbon", 0), "west": ("Europe/Lisbon", 1), "cet": ("Europe/Berlin", 1), "cest": ("Europe/Berlin", 2), "eet": ("Europe/Helsinki", 2), "eest": ("Europe/Helsinki", 3), "msk": ("Europe/Moscow", 3), "sast": ("Africa/Johannesburg", 2), "ict": ("Asia/Bangkok", 7), "jst": ("Asia/Tokyo", 9), "kst": ("Asia/Seoul", 9), "nzst": ("Pacific/Auckland", 12), "nzdt": ("Pacific/Auckland", 13), "akst": ("America/Anchorage", -9), "akdt": ("America/Anchorage", -8), "hst": ("Pacific/Honolulu", -10)}
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 ROMAN = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii")
@@ -47,15 +49,21 @@ GRAMMARS = [
 ]
 
 
-@lru_cache(maxsize=65536)
 def grammar(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
-    """How values of this shape are read: the kind and the position of each part."""
+    """How values of this shape are read: the kind and the position of each part. Long masks are not remembered."""
+    return _remembered(mask) if len(mask) <= 200 else _grammar(mask)
+
+
+def _grammar(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     for kind, pattern in GRAMMARS:
         if hit := re.fullmatch(pattern, mask):
             return kind, {k: hit.span(k) for k, v in hit.groupdict().items() if v is not None and k != "sep"}
     return None
 
 
+_remembered = lru_cache(maxsize=65536)(_grammar)
+
+
 def table_version() -> str:
     """Version of the time zone database behind the transition tables."""
     try:
@@ -67,8 +75,8 @@ def table_version() -> str:
 
 
 @lru_cache(maxsize=1024)
-def transitions(zone: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]] | None:
-    """UTC seconds at which the offset of ``zone`` changes (1900 to 2100), the offsets between, and its abbreviations."""
+def transitions(zone: str) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """UTC seconds at which ``zone`` changes its offset or name (1900 to 2100), the offsets between, and the names."""
     from datetime import datetime, timedelta, timezone
     from zoneinfo import ZoneInfo
 
@@ -83,8 +91,8 @@ def transitions(zone: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]] | No
         return int(t.utcoffset().total_seconds()), t.tzname()
 
     step, first, last = 10 * 86400, -2208988800, 4102444800
-    when, offsets, names = [], [at(first)[0]], {}
     before = at(first)
+    when, offsets, names = [], [before[0]], [before[1].lower()]
     for s in range(first + step, last, step):
         now = at(s)
         if now != before:
@@ -92,13 +100,41 @@ def transitions(zone: str) -> tuple[np.ndarray, np.ndarray, dict[str, int]] | No
             while high - low > 1:
                 mid = (low + high) // 2
                 low, high = (mid, high) if at(mid) == before else (low, mid)
-            if now[0] != before[0]:
-                when.append(high)
-                offsets.append(now[0])
-        if s > 0:
-            names.setdefault(now[1].lower(), now[0])
+            when.append(high)
+            offsets.append(now[0])
+            names.append(now[1].lower())
         before = now
-    return np.array(when, dtype=np.int64), np.array(offsets, dtype=np.int64), names
+    return np.array(when, dtype=np.int64), np.array(offsets, dtype=np.int64), np.array(names, dtype=object)
+
+
+def named_utc(local: np.ndarray, zone: str | None, name: str, hours: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """UTC seconds of local ones that carry an abbreviation of ``zone``, and which have exactly one.
+
+    The abbreviation means what it meant at that time (since 1970). Where it was not in use then, as winter time in
+    summer, it means ``hours``, or what it meant in the zone last before, else first; unknown ones have no reading.
+    """
+    table = transitions(zone) if zone is not None else None
+    none = np.zeros(len(local), dtype=bool)
+    if table is None:
+        return (local, none) if hours is None else (local - hours * 3600, ~none)
+    when, offsets, names = table
+    used = (names == name) & (np.r_[when, np.iinfo(np.int64).max] > 0)
+    if not used.any():
+        return (local, none) if hours is None else (local - hours * 3600, ~none)
+    found, result = np.zeros(len(local), dtype=np.int64), np.zeros(len(local), dtype=np.int64)
+    for o in np.unique(offsets[used]):
+        at = np.searchsorted(when, local - o, side="right")
+        fits = used[at] & (offsets[at] == o)
+        found += fits
+        result = np.where(fits, local - o, result)
+    if hours is None:
+        segments = np.flatnonzero(used)
+        starts = np.r_[np.iinfo(np.int64).min, when][segments]
+        last = np.maximum(np.searchsorted(starts, local - offsets[segments[0]], side="right") - 1, 0)
+        usual = offsets[segments[last]]
+    else:
+        usual = hours * 3600
+    return np.where(found == 0, local - usual, result), found <= 1
 
 
 def to_utc(local: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray]:
@@ -204,14 +240,16 @@ def read_mask(mask: str, texts: np.ndarray, zones: np.ndarray) -> np.ndarray:
             if "/" in w:
                 u[here], ok = to_utc(local[here], _zone_name(w))
                 good[here] &= ok
+            elif w in WORLD:
+                u[here] = local[here]
             elif w in SURE_ZONES:
-                u[here] = local[here] - SURE_ZONES[w] * 3600
+                u[here], ok = named_utc(local[here], SURE_ZONES[w][0], w, SURE_ZONES[w][1])
+                good[here] &= ok
             else:  # the country decides which of the zones with this abbreviation is meant
                 for z in pd.unique(zones[here]):
                     both = here & (zones == z) if z is not None else here & pd.isna(zones)
-                    names = transitions(z)[2] if z is not None and transitions(z) else {}
-                    good[both] &= w in names
-                    u[both] = local[both] - names.get(w, 0)
+                    u[both], ok = named_utc(local[both], z, w)
+                    good[both] &= ok
     else:
         good &= ~pd.isna(zones)
         for z in {z for z in zones if z is not None}:
@@ -262,13 +300,15 @@ def normalise_moments(df: DataFrame, country_zone: DataFrame, row_id: str = "row
     ``moment`` is YYYY, YYYY-MM or YYYY-MM-DD as precise as the value, or the UTC moment YYYY-MM-DDTHH:MM:SSZ. Times
     without zone are local in the zone of ``country``, else of the country before the colon of ``place``. Null, blank,
     placeholder, impossible and ambiguous values (day or month first, a local time that clocks repeat or skip) give no
-    row. Repeated rows each give theirs; other columns of ``df`` are not used, so clashing names do no harm. A very long
-    text has a mask that no grammar covers and gives no row. An empty table gives an empty result.
+    row. Repeated rows each give theirs; other columns of ``df`` are not used, so clashing names do no harm. Texts of any
+    length are read if a grammar covers their mask. An empty table gives an empty result. The version of the zone tables
+    stands in the column's metadata.
     """
     named = lambda c: F.lower(strip(c))
     zone = bounded(country_zone.select(named(F.col("country")).alias("_country"), F.col("zone_name").alias("_zone")).dropna().dropDuplicates(["_country"]))
     own = F.when(~placeholder(F.col(country)), named(F.col(country)))
     there = named(F.substring_index(F.col(place), ":", 1))
     shaped = df.where(~placeholder(F.col(value))).select(F.col(row_id).alias("row_id"), cleaned(F.col(value)).alias("_text"), F.coalesce(own, there).alias("_country"))
-    shaped = shaped.withColumn("_mask", mask(F.col("_text"))).where(F.length("_mask") <= 64)
-    return shaped.join(zone, "_country", "left").select("row_id", "_text", "_mask", "_zone").mapInPandas(_batches, "row_id bigint, moment string")
+    shaped = shaped.withColumn("_mask", mask(F.col("_text")))
+    found = shaped.join(zone, "_country", "left").select("row_id", "_text", "_mask", "_zone").mapInPandas(_batches, "row_id bigint, moment string")
+    return found.select("row_id", F.col("moment").alias("moment", metadata={"zone_tables": table_version()}))

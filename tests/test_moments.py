@@ -23,7 +23,8 @@ CASES = [
     ("26 Mar 2016 11:34:32pm", "Japan", "2016-03-26T14:34:32Z"), ("9 Sep 2013 12:57:26 PM", "Japan", "2013-09-09T03:57:26Z"), ("1 Apr 2010 12:40:56am", "Iceland", "2010-04-01T00:40:56Z"), ("31 Oct 2021 3:12:18 a.m.", "Iceland", "2021-10-31T03:12:18Z"),
     ("2016-10-30 02:47:25", "Italy", None), ("2016-03-27 02:30:00", "Italy", None), ("2016-10-30T02:47:25[Europe/Rome]", None, None), ("2015-03-02T07:10:55[Africa/Johannesburg]", None, "2015-03-02T05:10:55Z"), ("2010-09-26 08:47:25 Asia/Tokyo", None, "2010-09-25T23:47:25Z"),
     ("2 Mar 2021 03:24:07 CET", None, "2021-03-02T02:24:07Z"), ("28-Sep-2019 15:28 GMT", None, "2019-09-28T15:28:00Z"), ("2013-08-01 10:00:00 IST", "India", "2013-08-01T04:30:00Z"), ("2013-08-01 10:00:00 IST", None, None), ("2013-08-01 10:00:00 BST", "United Kingdom", "2013-08-01T09:00:00Z"),
-    ("2020-01-01 24:00", "Iceland", None), ("13 Jan 2010 13:00:00 PM", "Iceland", None), ("missing", None, None), ("n/a", None, None), ("", None, None), (None, "Italy", None), ("x" * 50_000, None, None),
+    ("2020-01-01 24:00", "Iceland", None), ("13 Jan 2010 13:00:00 PM", "Iceland", None), ("Monday, 14 September 2020, 10:10:10.123 America/Argentina/Buenos_Aires", None, "2020-09-14T13:10:10Z"), ("2012-07-01 12:00 MSK", None, "2012-07-01T08:00:00Z"), ("2010-01-15 12:00 MSK", None, "2010-01-15T09:00:00Z"), ("2014-10-26 01:30 MSK", None, None), ("2013-08-01 10:00 CET", None, "2013-08-01T09:00:00Z"), ("2013-08-01 10:00 ICT", None, "2013-08-01T03:00:00Z"),
+    ("2013-01-01 10:00:00 BST", "United Kingdom", "2013-01-01T09:00:00Z"), ("2014-10-07T13:26:01." + "9" * 400 + "Z", None, "2014-10-07T13:26:01Z"), ("missing", None, None), ("n/a", None, None), ("", None, None), (None, "Italy", None), ("x" * 50_000, None, None),
 ]
 ZONES = [("Iceland", "Atlantic/Reykjavik"), ("Greece", "Europe/Athens"), ("Japan", "Asia/Tokyo"), ("Italy", "Europe/Rome"), ("India", "Asia/Kolkata"), ("United Kingdom", "Europe/London")]
 
