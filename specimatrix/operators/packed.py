@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specimatrix.session import cut, width
+from specimatrix.session import cut, hot_keys, spread_join, width
 
 # What may stand between two values.
 DELIMITERS = ("::", ",", ";", "/", "|", "+", "&", "\t", "\n", "\r")
@@ -25,7 +25,7 @@ _CHARS = re.escape("".join(d for d in DELIMITERS if len(d) == 1))
 _BLANK = "[  　]*"
 TOKEN = re.compile(rf"""{_BLANK}(?:"(?P<q>(?:[^"]|"")*)"|'(?P<s>(?:[^']|'')*)'){_BLANK}(?={_DELIM}|$)|(?P<d>{_DELIM})|(?P<t>(?:(?!::)[^{_CHARS}])+|:)""", re.S)
 
-#: A value contains at most this many atoms, and so one delimiter fewer.
+#: Values of up to this many atoms are candidates wherever they stand; longer ones where their text occurs elsewhere too.
 SPAN = 6
 ITERATIONS = 2
 #: How likely a delimiter delimits before anything is learned.
@@ -59,14 +59,19 @@ def atoms(cell: str) -> tuple[list[tuple[str, int, int, bool]], list[tuple[str,
     return found, between
 
 
-def lattice(cell: str) -> tuple[list[tuple[str, int, int, bool]], list[list[str]], list[tuple[int, int, str]]]:
-    """Atoms, the delimiters in each gap between neighbours, and the candidate spans (first, last, text)."""
+def text_of(cell: str, found: list[tuple[str, int, int, bool]], i: int, j: int) -> str:
+    """The value from atom ``i`` to atom ``j`` as written."""
+    return found[i][0] if i == j else cell[found[i][1] : found[j][2]].strip()
+
+
+def lattice(cell: str, longer: list[tuple[int, int]] = ()) -> tuple[list[tuple[str, int, int, bool]], list[list[str]], list[tuple[int, int, str]]]:
+    """Atoms, the delimiters in each gap between neighbours, and the candidate spans (first, last, text), sorted."""
     found, between = atoms(cell)
     gaps: list[list[str]] = [[] for _ in range(max(0, len(found) - 1))]
     for d, k in between:
         if 0 < k < len(found):
             gaps[k - 1].append(d)
-    spans = []
+    spans = [(i, j, cell[found[i][1] : found[j][2]].strip()) for i, j in longer]
     for i, a in enumerate(found):
         spans.append((i, i, a[0]))
         if a[3]:
@@ -75,7 +80,7 @@ def lattice(cell: str) -> tuple[list[tuple[str, int, int, bool]], list[list[str]
             if found[j][3]:
                 break
             spans.append((i, j, cell[a[1] : found[j][2]].strip()))
-    return found, gaps, spans
+    return found, gaps, sorted(spans) if longer else spans
 
 
 def base(text: str, delims: int) -> float:
@@ -129,7 +134,7 @@ def viterbi(n: int, spans: list[tuple[int, int, str]], w: list[float]) -> list[i
     return path[::-1]
 
 
-_SPANS = "field_name string, cell string, k int, key bigint, mine double"
+_SPANS = "field_name string, cell string, i int, j int, key bigint, mine double"
 
 
 def _key(field: str, text: str) -> int:
@@ -138,33 +143,105 @@ def _key(field: str, text: str) -> int:
     return xxhash.xxh64_intdigest(f"{field}\0{text.lower()}") - (1 << 63)
 
 
+def runs(cell: str) -> list[tuple[str, list[tuple[str, int, int, bool]], int]]:
+    """Neighbouring unquoted atoms of a cell, and those within its quoted spans: (text, atoms, index of the first or -1)."""
+    found, out, start = atoms(cell)[0], [], 0
+    for k in range(len(found) + 1):
+        if k == len(found) or found[k][3]:
+            if k > start:
+                out.append((cell, found[start:k], start))
+            if k < len(found):
+                inner = [a for a in atoms(found[k][0])[0] if not a[3]]
+                out.append((found[k][0], inner, -1))
+            start = k + 1
+    return out
+
+
+_GRAMS = "field_name string, cell string, i int, j int, key bigint, whole boolean"
+
+
+def _grams(size: int, most: int):
+    """Spans of more than ``size`` atoms, up to ``most``, whose first and last ``size`` atoms are known to recur.
+
+    With ``most`` = ``size``, all spans of that length. Spans within quotes have no place (-1): they only vouch for others.
+    """
+    first_turn = size == most
+
+    def step(batches):
+        for b in batches:
+            fields, cells = b.column("field_name").to_pylist(), b.column("cell").to_pylist()
+            known = [()] * len(cells) if first_turn else b.column("known").to_pylist()
+            rows: list[tuple] = []
+            for field, cell, keys in zip(fields, cells, known):
+                keys = set(keys)
+                for text, part, first in runs(cell):
+                    starts = range(len(part) - size + 1)
+                    recurs = [first_turn or _key(field, text_of(text, part, i, i + size - 1)) in keys for i in starts]
+                    for i in starts:
+                        lasts = (i + size - 1,) if first_turn else range(i + size, min(len(part), i + most)) if recurs[i] else ()
+                        for j in lasts:
+                            if recurs[j - size + 1]:
+                                place = (first + i, first + j) if first >= 0 else (-1, -1)
+                                rows.append((field, cell, *place, _key(field, text_of(text, part, i, j)), j - i + 1 == most))
+            names = ("field_name", "cell", "i", "j", "key", "whole")
+            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+            columns = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
+
+    return step
+
+
+def longer_spans(cells: DataFrame) -> DataFrame | None:
+    """(field_name, cell, longer) with the spans (i, j) of more than ``SPAN`` atoms whose text recurs; None if there is none.
+
+    A text can only recur if its beginning and its end do. So lengths are doubled from ``SPAN`` on, each turn looks only
+    where both recur, and it ends when nothing does: no length is ruled out.
+    """
+    delims = F.length(F.regexp_replace(F.replace("cell", F.lit("::"), F.lit("|")), f"[^{_CHARS}]", ""))
+    size, found = SPAN, None
+    grams = cut(cells.where(delims >= SPAN).select("field_name", "cell").mapInArrow(_grams(SPAN, SPAN), _GRAMS))
+    while not grams.isEmpty():
+        known = grams.groupBy("field_name", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("field_name", "key")
+        kept = cut(grams.join(known, ["field_name", "key"], "left_semi"))
+        if size > SPAN:
+            here = kept.where("i >= 0").select("field_name", "cell", F.struct("i", "j").alias("span"))
+            found = here if found is None else found.unionAll(here)
+        have = kept.where("whole").groupBy("field_name", "cell").agg(F.collect_set("key").alias("known"))
+        grams = cut(have.mapInArrow(_grams(size, 2 * size), _GRAMS))
+        size *= 2
+    return None if found is None else found.groupBy("field_name", "cell").agg(F.collect_set("span").alias("longer"))
+
+
 def _first(batches):
     """Spans of each distinct cell with their probability before anything is learned."""
     for b in batches:
         fields, cells = b.column("field_name").to_pylist(), b.column("cell").to_pylist()
-        out: dict[str, list] = {"field_name": [], "cell": [], "k": [], "key": [], "mine": []}
-        for field, cell in zip(fields, cells):
-            found, gaps, spans = lattice(cell)
+        longer = b.column("longer").to_pylist() if "longer" in b.schema.names else [None] * len(cells)
+        out: dict[str, list] = {"field_name": [], "cell": [], "i": [], "j": [], "key": [], "mine": []}
+        for field, cell, more in zip(fields, cells, longer):
+            found, gaps, spans = lattice(cell, [(x["i"], x["j"]) for x in more or ()])
             if not found:
                 continue
             p = posteriors(len(found), spans, scores(len(found), gaps, spans, [0.0] * len(spans), 1.0, 0.5, {}))
-            for k, (s, x) in enumerate(zip(spans, p)):
+            for s, x in zip(spans, p):
                 out["field_name"].append(field)
                 out["cell"].append(cell if len(found) > 1 else None)
-                out["k"].append(k)
+                out["i"].append(s[0])
+                out["j"].append(s[1])
                 out["key"].append(_key(field, s[2]))
                 out["mine"].append(x)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("field_name", pa.string()), ("cell", pa.string()), ("k", pa.int32()), ("key", pa.int64()), ("mine", pa.float64())]))
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("field_name", pa.string()), ("cell", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("key", pa.int64()), ("mine", pa.float64())]))
 
 
 def _rounds(totals: dict[str, tuple[float, float]], splits: dict[str, dict[str, float]], last: bool):
     def step(frames):
         for f in frames:
             rows: list[tuple] = []
-            for field, cell, ks, seen, mine in zip(f["field_name"], f["cell"], f["k"], f["seen"], f["mine"]):
-                found, gaps, spans = lattice(cell)
-                order = sorted(range(len(ks)), key=lambda x: ks[x])
-                others = [max(0.0, seen[x] - mine[x]) for x in order]
+            for field, cell, known in zip(f["field_name"], f["cell"], f["spans"]):
+                found, gaps, _ = lattice(cell)
+                known = sorted((x["i"], x["j"], x["seen"], x["mine"]) for x in known)
+                spans = [(i, j, text_of(cell, found, i, j)) for i, j, _, _ in known]
+                others = [max(0.0, seen - mine) for _, _, seen, mine in known]
                 w = scores(len(found), gaps, spans, others, *totals[field], splits.get(field, {}))
                 if last:
                     items = [spans[k][2] for k in viterbi(len(found), spans, w)]
@@ -179,10 +256,10 @@ def _rounds(totals: dict[str, tuple[float, float]], splits: dict[str, dict[str,
                             c = cuts.setdefault(d, [0.0, 0.0])
                             c[0] += 1 - kept
                             c[1] += 1
-                    rows += [(field, cell, k, _key(field, s[2]), x, None, None, None) for k, (s, x) in enumerate(zip(spans, p))]
-                    rows += [(field, None, None, None, None, d, a, b) for d, (a, b) in cuts.items()]
+                    rows += [(field, cell, i, j, _key(field, t), x, None, None, None) for (i, j, t), x in zip(spans, p)]
+                    rows += [(field, None, None, None, None, None, d, a, b) for d, (a, b) in cuts.items()]
             if rows:
-                yield pd.DataFrame(rows, columns=["field_name", "cell", "items"] if last else ["field_name", "cell", "k", "key", "mine", "delim", "cuts", "of"])
+                yield pd.DataFrame(rows, columns=["field_name", "cell", "items"] if last else ["field_name", "cell", "i", "j", "key", "mine", "delim", "cuts", "of"])
 
     return step
 
@@ -192,32 +269,41 @@ def split_values(cells: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
 
     ``pos`` counts the non-empty values from 1; ``item`` is the value trimmed, without enclosing quotes and with doubled
     quotes single. Null, blank and single-valued cells give no rows; values repeated within a cell and repeated rows all
-    come out. Of equally likely segmentations the one with more values holds. A value spans at most ``SPAN`` atoms, so
-    very long texts give a lattice in proportion to their length. Other columns are not used. Empty table: empty result.
+    come out. Of equally likely segmentations the one with more values holds. A value of any number of atoms is found:
+    up to ``SPAN`` atoms anywhere, longer ones if the column has them elsewhere too, as nothing else speaks for them. Very
+    long texts give a lattice in proportion to their length. Other columns are not used. Empty table: empty result.
     """
     spark = cells.sparkSession
     n = width(spark)
     cells = cells.select("row_id", "field_name", "cell")
     packed = F.col("cell").rlike(f"[{_CHARS}]|::")
-    spans = cut(cells.where(F.trim("cell") != "").select("field_name", "cell").distinct().repartition(n).mapInArrow(_first, _SPANS))
-    alone = spans.where("cell is null").groupBy("field_name", "key").agg(F.sum("mine").alias("alone"))
+    counted = cut(cells.where(F.trim("cell") != "").groupBy("field_name", "cell").agg(F.count(F.lit(1)).alias("n")))
+    distinct = counted.select("field_name", "cell")
+    if (longer := longer_spans(distinct)) is not None:
+        distinct = distinct.join(longer, ["field_name", "cell"], "left")
+    spans = cut(distinct.repartition(n).mapInArrow(_first, _SPANS))
+    alone = cut(spans.where("cell is null").groupBy("field_name", "key").agg(F.sum("mine").alias("mine")))
     spans = spans.where("cell is not null")
     splits: dict[str, dict[str, float]] = {}
     for turn in range(iterations + 1):
-        counts = spans.groupBy("field_name", "key").agg(F.sum("mine").alias("inside"))
-        counts = counts.join(alone, ["field_name", "key"], "full").select("field_name", "key", (F.coalesce("inside", F.lit(0.0)) + F.coalesce("alone", F.lit(0.0))).alias("seen"))
+        both = spans.select("field_name", "key", "mine", F.lit(1).alias("in")).unionAll(alone.select("field_name", "key", "mine", F.lit(0)))
+        counts = cut(both.groupBy("field_name", "key").agg(F.sum("mine").alias("seen"), F.sum("in").alias("n")))
         once = F.sum(F.when(F.col("seen") < 1.5, F.col("seen")).otherwise(0.0))
-        totals = {r[0]: (r[1], (r[2] + 1) / (r[1] + 2)) for r in counts.groupBy("field_name").agg(F.sum("seen"), once).collect()}  # a row for each field
-        whole = spans.join(counts, ["field_name", "key"]).groupBy("field_name", "cell").agg(F.collect_list("k").alias("k"), F.collect_list("seen").alias("seen"), F.collect_list("mine").alias("mine"))
-        whole = whole.repartition(n, "field_name", "cell")
+        sums = counts.groupBy("field_name").agg(F.sum("seen"), once, F.sum("n")).collect()  # a row for each field
+        totals = {r[0]: (r[1], (r[2] + 1) / (r[1] + 2)) for r in sums}
+        hot = hot_keys(counts, ["field_name", "key"], sum(r[3] for r in sums))
+        known = spread_join(spans, counts.where("n > 0").drop("n"), ["field_name", "key"], hot, F.xxhash64("cell", "i", "j"))
+        whole = known.repartition(n, "field_name", "cell").groupBy("field_name", "cell").agg(F.collect_list(F.struct("i", "j", "seen", "mine")).alias("spans"))
         if turn == iterations:
             done = whole.mapInPandas(_rounds(totals, splits, True), "field_name string, cell string, items array<string>")
-            return cells.where(packed).join(done, ["field_name", "cell"]).select("row_id", "field_name", F.posexplode("items").alias("pos", "item")).select("row_id", "field_name", (F.col("pos") + 1).cast("int").alias("pos"), "item")
+            hot = hot_keys(counted, ["field_name", "cell"], counted.agg(F.sum("n")).first()[0] or 0)
+            rows = spread_join(cells.where(packed), done, ["field_name", "cell"], hot, F.xxhash64("row_id"))
+            return rows.select("row_id", "field_name", F.posexplode("items").alias("pos", "item")).select("row_id", "field_name", (F.col("pos") + 1).cast("int").alias("pos"), "item")
         both = cut(whole.mapInPandas(_rounds(totals, splits, False), _SPANS + ", delim string, cuts double, of double"))
         splits = {}
         for r in both.where("delim is not null").groupBy("field_name", "delim").agg(F.sum("cuts").alias("cuts"), F.sum("of").alias("of")).collect():  # a row for each delimiter
             splits.setdefault(r[0], {})[r[1]] = min(1 - 1e-9, (r.cuts + 0.99) / (r.of + 1))
-        spans = both.where("cell is not null").select("field_name", "cell", "k", "key", "mine")
+        spans = both.where("cell is not null").select("field_name", "cell", "i", "j", "key", "mine")
 
 
 def packed_cells(assigned: DataFrame, final: DataFrame) -> DataFrame:

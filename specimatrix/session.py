@@ -64,6 +64,25 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def hot_keys(counted: DataFrame, keys: list[str], total: int, parts: int = 64) -> DataFrame:
+    """The keys of ``counted`` whose ``n`` is more than one part of ``total``: by that, fewer than ``parts`` rows."""
+    return counted.where(F.col("n") * parts > total).select(*keys)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: Column, parts: int = 64) -> DataFrame:
+    """Inner join on ``keys``, where the rows of ``left`` with a key of ``hot`` are spread over ``parts`` tasks.
+
+    ``right`` has one row for a key, ``hot`` at most ``parts`` rows (``hot_keys``), so it may be broadcast; ``by`` is a hash
+    of the left row, so that a task that runs again deals its rows alike.
+    """
+    hot = F.broadcast(hot.limit(parts).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(by, F.lit(parts)).cast("int")).otherwise(0)
+    dealt = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with columns that are evaluated once.
 
@@ -77,6 +96,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share; set here only if the session has none (tests, one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="specimatrix-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

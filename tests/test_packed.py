@@ -8,7 +8,7 @@ import math
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from specimatrix.operators.packed import DELIMITERS, atoms, lattice, posteriors, scores, split_values, viterbi
+from specimatrix.operators.packed import DELIMITERS, SPAN, atoms, lattice, longer_spans, posteriors, runs, scores, split_values, text_of, viterbi
 
 SCHEMA = "row_id bigint, field_name string, cell string"
 
@@ -78,3 +78,38 @@ def test_edges(spark):
     assert split_values(df).count() == 4  # repeated rows; an extra column of the result's name
     long = ",".join(f"v{i}" for i in range(3000))
     assert len(split(spark, [long])[0]) == 3000
+
+
+def test_a_value_of_many_atoms(spark):
+    """Values are not bounded in length: one that the column has elsewhere stays whole."""
+    names = [f"N{i}" for i in range(30)]
+    longs = ("A/B/C/D/E/F", "G/H/I/J/K/L/M", "/".join(f"P{i}" for i in range(40)))
+    cells = [f'"{long}";{n}' for long in longs for n in names] + [f"{long};{names[0]}" for long in longs]
+    cells += [f"{a};{b}" for a, b in itertools.combinations(names[:12], 2)] + ["A/B;N1;C/D;N2;E/F;N3;G/H"]
+    got = split(spark, cells)
+    for k, long in enumerate(longs):
+        assert got[90 + k] == [long, "N0"] and all(got[30 * k + i] == [long, n] for i, n in enumerate(names))
+
+
+def test_longer_spans_against_brute_force(spark):
+    import random
+
+    rng, cells = random.Random(6), set()
+    while len(cells) < 60:
+        part = rng.choice(["a,b,c,d,e,f,g,h,i,j,k,l,m,n", "q,r,s,t,u,v,w,x", "a,b,c,d,e,f,g"])
+        cells.add(rng.choice(["{}", "z,{}", '"{}";y', "{},{}", "o,{};1,2,3"]).format(part, part) + f";{rng.randint(0, 30)}")
+    df = spark.createDataFrame([("f", c) for c in cells], "field_name string, cell string")
+    got = {(r.cell, x.i, x.j) for r in longer_spans(df).collect() for x in r.longer}
+    seen: dict = {}
+    for c in cells:
+        for text, part, first in runs(c):
+            for i in range(len(part)):
+                for j in range(i + SPAN, len(part)):
+                    seen.setdefault(text_of(text, part, i, j), []).append((c, first + i, first + j) if first >= 0 else None)
+    assert got == {x for places in seen.values() if len(places) > 1 for x in places if x} and len(got) > 100
+
+
+def test_hot_cell_and_key(spark):
+    cells = ["coi, 16s"] * 300 + [f"coi, m{i}" for i in range(40)] + ["12s"]
+    got = split(spark, cells)
+    assert len(got) == 340 and got[0] == ["coi", "16s"] and got[299] == ["coi", "16s"] and got[305] == ["coi", "m5"]
