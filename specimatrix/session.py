@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a dimension may be broadcast; larger ones take the ordinary join.
@@ -64,6 +64,14 @@ def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def fixed_rows(df: DataFrame, what: str, most: int = 1000) -> list[Row]:
+    """The rows of a table that is fixed and small by its nature; a larger one is refused, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"More than {most} {what}")
+    return rows
+
+
 def hot_keys(counted: DataFrame, keys: list[str], total: int, parts: int = 64) -> DataFrame:
     """The keys of ``counted`` whose ``n`` is more than one part of ``total``: by that, fewer than ``parts`` rows."""
     return counted.where(F.col("n") * parts > total).select(*keys)

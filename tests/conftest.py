@@ -12,6 +12,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from specimatrix.session import build  # noqa: E402
 
 
+def pytest_configure(config):
+    """Numeric warnings of the library are errors."""
+    config.addinivalue_line("filterwarnings", "error::RuntimeWarning:specimatrix")
+
+
 @pytest.fixture(scope="session")
 def spark():
     return build("tests", cores=4, shuffle=4, **{"spark.driver.memory": "4g", "spark.sql.ansi.enabled": "true"})
