@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specimatrix.session import cut, width
+from specimatrix.session import cut, fixed_rows, width
 
 
 @dataclass(frozen=True)
@@ -24,8 +24,8 @@ class SubjectModel:
     """Parameters. ``labelled`` bounds the labelled documents that seed topics and name them (the lowest ids are taken)."""
 
     cells: int = 1 << 15
-    languages: int = 12  # the most frequent ones that `lang` names; texts in others share their topics
-    language_share: float = 0.005
+    languages: int = 12  # the most frequent ones that `lang` names have topics of their own; all others share theirs
+    language_share: float = 0.005  # of the documents, for topics of its own
     free_topics: int = 2  # for each language
     iterations: int = 4
     inner: int = 4
@@ -154,7 +154,7 @@ def _slices(frames, most: int = 200):
 
 def _language(lang) -> str:
     code = (lang or "").lower().split("-")[0]
-    return code if len(code) == 2 and code not in ("xx", "zz") else ""
+    return code if len(code) == 2 and code.isascii() and code.isalpha() and code not in ("xx", "zz") else ""
 
 
 def count_openers(documents: DataFrame, model: SubjectModel) -> np.ndarray:
@@ -196,11 +196,19 @@ def name_topics(beta: np.ndarray, profiles: np.ndarray, frequency: np.ndarray, t
     """The subject (column of ``profiles``) of each topic (column of ``beta``), -1 for none, by its top terms.
 
     Top terms are those that add most to the divergence of the topic from the corpus. Each speaks for a subject by how
-    much more frequent it is in the documents that readers gave that subject than in all labelled documents.
+    much more frequent it is in the documents that readers gave that subject than in those of other subjects.
     """
+    told = profiles.sum(axis=0) > 0  # a subject without labelled words names no topic
+    if not told.any():
+        return np.full(beta.shape[1], -1)
     every = profiles.sum(axis=1, keepdims=True)
-    expected = profiles.sum(axis=0) / max(profiles.sum(), 1e-9)
-    lift = np.log((profiles + 2 * expected) / (every + 2) / np.maximum(expected, 1e-9))
+    expected = profiles.sum(axis=0) / profiles.sum()
+    lift = np.zeros(profiles.shape)
+    if told.sum() > 1:  # odds, so that a subject that most labels give is told as well as a rare one
+        own = (profiles + 2 * expected)[:, told]
+        lift[:, told] = np.log(own / (every + 2 - own)) - np.log(expected[told] / (1 - expected[told]))
+    else:
+        lift[:, told] = 1.0
     p = (frequency + 0.5) / (frequency + 0.5).sum()
     named = np.full(beta.shape[1], -1)
     for k in range(beta.shape[1]):
@@ -208,7 +216,7 @@ def name_topics(beta: np.ndarray, profiles: np.ndarray, frequency: np.ndarray, t
         top = np.argsort(-adds)[:top_terms]
         weight = np.maximum(adds[top], 0)
         if weight.sum() > 0:
-            speaks = weight @ lift[top] / weight.sum()
+            speaks = np.where(told, weight @ lift[top] / weight.sum(), -np.inf)
             first, second = np.sort(speaks)[::-1][:2] if len(speaks) > 1 else (speaks[0], -1.0)
             if first > 0.5 and first > second + 0.25:
                 named[k] = speaks.argmax()
@@ -225,29 +233,38 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], model: Sub
             yield pd.DataFrame({"doc_id": f["doc_id"], "lang": [_language(x) for x in f["lang"]], "bag": bags(f["text"].tolist(), model.cells, begins.value)})
 
     docs = cut(documents.select("doc_id", "text", "lang").where("text is not null").repartition(width(spark)).mapInPandas(bag, "doc_id bigint, lang string, bag array<array<int>>"))
-    n = docs.count()
-    top = docs.where("lang != ''").groupBy("lang").count().where(F.col("count") >= model.language_share * n).orderBy(F.desc("count"), "lang").limit(model.languages).collect()
-    langs = [r.lang for r in top] or [""]
+    spoken = sorted(((-r["count"], r.lang) for r in docs.groupBy("lang").count().collect()))  # a row for each code of two letters
+    n = -sum(c for c, _ in spoken)
+    langs = [lang for c, lang in spoken if lang and -c >= model.language_share * n][: model.languages]
+    if len(langs) < sum(lang != "" for _, lang in spoken) or not langs:
+        langs.append("")  # the further languages together
     read = labels.where(F.col("subject").isin(*subjects)).groupBy("doc_id", "subject").agg(F.countDistinct("reader").alias("votes"))
     seeds = read.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "votes")).alias("votes")).orderBy("doc_id").limit(model.labelled)
     seeds = docs.join(seeds, "doc_id").select("lang", "bag", "votes")
 
     def frequency(f, total):
         for lang, b in zip(f["lang"], f["bag"]):
-            column = langs.index(lang) if lang in langs else len(langs)
+            column = len(langs) if not lang else langs.index(lang) if lang in langs else len(langs) - 1
             for s in b:
                 total[s, column] += 1
 
+    seen = _counts(docs.select("lang", "bag"), frequency, len(langs) + 1, model)
+    typical = np.log((seen[:, : len(langs)] + 0.5) / (seen[:, : len(langs)] + 0.5).sum(axis=0))
+
+    def group(lang, b) -> int:
+        """The language whose topics a labelled document shapes; where none is stated, the likeliest by its words."""
+        if lang:
+            return langs.index(lang) if lang in langs else len(langs) - 1
+        return int(sum((typical[s].sum(axis=0) for s in b), np.zeros(len(langs))).argmax())
+
     def profile(f, total):
         for lang, b, votes in zip(f["lang"], f["bag"], f["votes"]):
-            if lang not in langs:
-                continue
+            first = group(lang, b) * ns
             for v in votes:
-                column = langs.index(lang) * ns + subjects.index(v["subject"])
+                column = first + subjects.index(v["subject"])
                 for s in b:
                     total[s, column] += v["votes"] / sum(x["votes"] for x in votes)
 
-    seen = _counts(docs.select("lang", "bag"), frequency, len(langs) + 1, model)
     profiles = _counts(seeds, profile, len(langs) * ns, model)
     each = ns + model.free_topics
     rng = np.random.default_rng(17)
@@ -287,10 +304,11 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subject_list: DataF
 
     Null, empty and wordless texts have none. Repeated texts are treated alike, repeated rows each give theirs. A sentence
     counts for the subject that holds more than ``sure`` of its probability. Labels of unknown subjects or documents,
-    and further labels of one reader, change nothing; without any label no topic can be named and the result is empty.
-    Whole texts are read. Extra columns are not read.
+    and further labels of one reader, change nothing; a subject without labelled words names no topic, so that without any
+    label the result is empty. Languages that are rare or beyond ``languages`` share one set of topics. Whole texts are read. Extra columns are not read.
     """
-    subjects = [r.subject for r in subject_list.select("subject", "subject_id").where("subject is not null").orderBy("subject_id").limit(1000).collect()]  # a fixed list
+    listed = fixed_rows(subject_list.where("subject is not null").groupBy("subject").agg(F.min("subject_id").alias("at")), "subjects")
+    subjects = [r.subject for r in sorted(listed, key=lambda r: (r["at"] is None, r["at"], r.subject))]
     if not subjects:
         return documents.select("doc_id", F.lit("").alias("subject")).limit(0)
     docs, log_beta, prior, named = fit(documents, labels, subjects, model)

@@ -151,10 +151,32 @@ def test_subjects(spark):
     right = sum(got.get(i, set()) == t for i, t in truth.items())
     assert right / len(truth) > 0.9 and got.get(902) == {"law"} and not {900, 901, 903} & set(got)
     assert subjects.assign_subjects(df, lab, listed.limit(0), model).count() == 0
+    more = listed.unionAll(spark.createDataFrame([(4, "sport"), (4, "law"), (None, None)], listed.schema))  # without labels; listed twice
+    assert {(r.doc_id, r.subject) for r in subjects.assign_subjects(df, lab, more, model).collect()} == {(i, s) for i, g in got.items() for s in g}
     assert subjects.assign_subjects(df.limit(0), lab, listed, model).count() == 0
     assert subjects.assign_subjects(df, lab.limit(0), listed, model).count() == 0
 
 
+def test_subjects_of_rare_languages(spark):
+    """Documents of languages beyond the most frequent one are fitted and assigned too."""
+    turned = str.maketrans("abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")
+    rng, rows, labels, truth = random.Random(4), [], [], {}
+    for i in range(300):
+        s = rng.choice(sorted(TEXT))
+        lines = rng.sample(TEXT[s].rstrip(".").format(rng.choice(["old", "new"])).split(". "), 3)
+        rare = i % 5 == 0
+        rows.append((i, ". ".join(x.lower().translate(turned).capitalize() if rare else x for x in lines) + ".", "s", ("de" if i % 2 else "fr") if rare else rng.choice(["en", None]), 0))
+        truth[i] = s
+        labels += [(i, s, "r1")] if rng.random() < 0.4 else []
+    listed = spark.createDataFrame([(1, "law"), (2, "software"), (3, "health")], "subject_id int, subject string")
+    model = subjects.SubjectModel(cells=4096, iterations=3, free_topics=1, smooth=20.0, languages=1)
+    lab = spark.createDataFrame(labels, "doc_id bigint, subject string, reader string")
+    got: dict = {}
+    for r in subjects.assign_subjects(spark.createDataFrame(rows, DOCS), lab, listed, model).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert sum(got.get(i) == {s} for i, s in truth.items() if i % 5 == 0) > 50 and sum(got.get(i) == {s} for i, s in truth.items()) > 280
+
+
 def test_a_subject_of_one_sentence_only_in_a_text_of_such():
     counts = np.array([[1, 0], [1, 0], [1, 1], [1, 1], [2, 1], [2, 0], [0, 0]])
     got = subjects.decide(counts, np.array([1, 9, 2, 5, 3, 9, 1]))
