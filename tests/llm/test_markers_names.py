@@ -7,6 +7,9 @@ import random
 from specimatrix.llm import markers as K
 from specimatrix.llm import names as N
 
+FULL = {"mtgenome": "complete or near-complete mitochondrial genome", "coi": "cytochrome c oxidase subunit I", "16s": "16S ribosomal RNA, mitochondrial large subunit", "12s": "12S ribosomal RNA, mitochondrial small subunit", "cob": "cytochrome b", "cox2": "cytochrome c oxidase subunit II", "cox3": "cytochrome c oxidase subunit III", "18s": "18S ribosomal RNA, nuclear small subunit", "28s": "28S ribosomal RNA, nuclear large subunit", "its1-its2": "internal transcribed spacers 1 and 2 with 5.8S", "18-28s": "whole nuclear ribosomal cluster running from 18S through 28S", "ef-1": "elongation factor 1 alpha", "h3": "histone H3"}
+TRIE = K.Trie(K.spellings(sorted(FULL.items())))
+LISTED = "marker_id int, marker string, full_name string"
 FINAL = "row_id bigint, definition string, organism string"
 ASSIGNED = "row_id bigint, gene_type string"
 
@@ -17,7 +20,7 @@ def test_spellings():
         ("gene for subunit I of cytochrome c oxidase", ["coi"]), ("nuclear rDNA operon (18S-ITS1-5.8S-ITS2-28S)", ["18-28s"]), ("mitochondrial gene for 16S rRNA; mitochondrial", ["16s"]), ("COI and 16S rRNA", ["coi", "16s"]),
         ("cytochrome c gene", []), ("elongation factor 2", []), ("histone H4", []), ("cox4", []), ("cyt P450", []), ("12 kDa binding protein", []), ("", []), ("???", []), ("word " * 3000 + "coi", ["coi"]),
     ]:
-        assert sorted(K._denoted(text)) == sorted(found), text
+        assert sorted(K.denoted(TRIE, text)) == sorted(found), text
 
 
 def distance(a, b):
@@ -31,8 +34,8 @@ def distance(a, b):
 
 
 def test_automaton_finds_every_single_error_in_long_words():
-    rng, trie = random.Random(4), K.trie()
-    long = sorted(s for s in K.spellings() if K.within(s) == 1 and all(w.isalpha() and len(w) > 2 for w in s.split()))
+    rng, trie, known = random.Random(4), TRIE, K.spellings(sorted(FULL.items()))
+    long = sorted(s for s in known if K.within(s) == 1 and all(w.isalpha() and len(w) > 2 for w in s.split()))
     for _ in range(150):
         s = rng.choice(long)
         i = rng.choice([k for k in range(1, len(s) - 1) if s[k - 1 : k + 2].isalpha()])
@@ -40,11 +43,11 @@ def test_automaton_finds_every_single_error_in_long_words():
         hits = {(h[1], h[3]): h[2] for h in trie.near(bad, 0)}
         assert any(end == len(bad) and e <= 1 for (end, _), e in hits.items()), (s, bad)
         for start, end, e, _ in trie.near(bad, 0):
-            assert min(distance(x, bad[start:end]) for x in K.spellings()) <= e
+            assert min(distance(x, bad[start:end]) for x in known) <= e
 
 
 def test_map_markers(spark, rows):
-    listed = spark.createDataFrame([(i, m) for i, m in enumerate(("mtgenome", "coi", "16s", "12s", "cob", "cox2", "cox3", "18s", "28s", "its1-its2", "18-28s", "ef-1", "h3"))], "marker_id int, marker string")
+    listed = spark.createDataFrame([(i, m, f) for i, (m, f) in enumerate(FULL.items())] + [(99, None, "x"), (1, "coi", None)], LISTED)
     final = spark.createDataFrame([(1, "Aus bus isolate 18S-586 COI gene", "Aus bus"), (2, "Aus bus voucher H3:12 actin", "Aus cf. bus"), (3, None, None), (4, "", None), (5, "coi", None)], FINAL + "")
     assigned = spark.createDataFrame([(1, 'coi; "16s, partial" ; actin'), (2, "mtgenome,coi"), (3, None), (4, " "), (5, "COI / CO1")], ASSIGNED)
     expected = [(1, "definition", "coi"), (1, "gene_type", "16s"), (1, "gene_type", "coi"), (1, "gene_type", "unmatched"), (2, "definition", "unmatched"), (2, "gene_type", "coi"), (2, "gene_type", "mtgenome"), (4, "definition", "unmatched"), (5, "definition", "coi"), (5, "gene_type", "coi")]
@@ -56,6 +59,42 @@ def test_map_markers(spark, rows):
     assert K.map_markers(twice.unionAll(twice), assigned.limit(0), listed).count() == 2
 
 
+def test_entries_come_from_the_list(spark, rows):
+    """Entries that nothing in the library knows are found by name, by full name and with an error, and by given aliases."""
+    listed = spark.createDataFrame([(1, "nad5", "NADH dehydrogenase subunit 5"), (2, "coi", None), (3, "h4", "histone H4"), (4, "h4b", "histone H4")], LISTED)
+    cells = ["nad5", "nad 5", "NADH dehydrogenase subunit 5", "NADH dehydrogenase subunit V", "NADH dehydrogenas subunti 5 gene", "nadh dehydrogenase subunit 6", "coi", "CO1", "cytb", "histone H4", "trnK gene"]
+    assigned = spark.createDataFrame(list(enumerate(cells)), ASSIGNED)
+    got = rows(K.map_markers(spark.createDataFrame([], FINAL), assigned, listed), "row_id", "marker")
+    want = {0: ["nad5"], 1: ["nad5"], 2: ["nad5"], 3: ["nad5"], 4: ["nad5"], 6: ["coi"], 7: ["coi"], 9: ["h4", "h4b"]}
+    assert got == sorted(((i, m) for i in range(len(cells)) for m in want.get(i, ["unmatched"])), key=str)
+    given = K.map_markers(spark.createDataFrame([], FINAL), assigned, listed, {"trnk gene": "nad5"})
+    assert {(r.row_id, r.marker) for r in given.collect()} >= {(10, "nad5"), (7, "unmatched"), (2, "nad5")}
+
+
+def test_every_spelling_within_its_distance_is_returned():
+    """The automaton's hits against edit distances of all spellings to all beginnings that end at a word's end."""
+    rng = random.Random(12)
+    words = ["annel", "setal", "gill", "nerve", "chaeta", "elong"]
+    known = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))): (str(i),) for i in range(25)}
+    trie = K.Trie(known)
+    for _ in range(60):
+        text = rng.choice(sorted(known))
+        for _ in range(rng.randint(0, 2)):
+            i = rng.choice([k for k in range(1, len(text) - 1) if text[k - 1 : k + 2].isalpha()])
+            text = rng.choice([text[:i] + text[i + 1 :], text[:i] + "q" + text[i:], text[:i] + "q" + text[i + 1 :]])
+        text += " tail"
+        ends = [i for i in range(1, len(text) + 1) if i == len(text) or text[i] == " "]
+        want = {}
+        for s, entry in known.items():
+            for end in ends:
+                if s.count(" ") == text[:end].count(" ") and s[0] == text[0]:
+                    e = sum(distance(a, b) for a, b in zip(s.split(" "), text[:end].split(" ")))
+                    if e <= K.within(s) and all(a[0] == b[0] for a, b in zip(s.split(" "), text[:end].split(" "))):
+                        want[end, entry] = e
+        got = {(end, entry): e for _, end, e, entry in trie.near(text, 0)}
+        assert all(got.get(k, 9) <= e for k, e in want.items()), (text, want, got)
+
+
 PEOPLE = {
     "margaret": ["Margaret Jonanesksen", "Jonanesksen, Margaret C.", "M. Jonanesksen", "Jonanesksen MC", "M. C. Jonanesksen", "margaret jonanesksen", "Margaret (Peggy) Jonanesksen", "Peggy Jonanesksen", "JONANESKSEN, Margaret", "Dr. Margaret Jonanesksen", "Margaret Jonánesksen", "Mar. Jonanesksen", "Jonanesksen Margaret", "M. Jnanesksen", "Margaret Jonaneskesn", "Margaert Jonanesksen"],
     "oskar": ["Oskar Jonanesksen", "Jonanesksen, O.", "O.Jonanesksen"],
@@ -85,4 +124,4 @@ def test_name_edges(spark):
 
 def test_known_words_that_are_errors_in_their_place():
     for text, entry in [("cytochrom oxidase 1", "coi"), ("rdna gene cluster", "18-28s"), ("ribosomal dna gene cluster", "18-28s"), ("rna operon", "18-28s"), ("16s ribosomal rna gene", "16s"), ("cytochrome c oxidase subunit I (COI) gene, partial cds; mitochondrial", "coi")]:
-        assert K._denoted(text) == (entry,), text
+        assert K.denoted(TRIE, text) == (entry,), text
