@@ -81,14 +81,19 @@ _FIELD = lambda c: f"CASE WHEN lower(trim(coalesce({c}, ''))) IN ('', 'missing',
 _IDENTITY = f"""WITH k AS (SELECT row_id, array_to_string(list_sort([{_FIELD('specimen_voucher')}, {_FIELD('isolate')}]), '|') AS key FROM final), g AS (SELECT key, min(row_id) AS first_row_id, count(*) AS n_rows FROM k WHERE key <> '|' GROUP BY key)"""
 
 #: SQL for identities has no structural confirmation: it agrees as long as no two codes are anagrams with equal numbers.
-ORACLES: dict[str, str] = {
-    "p1_found": f"""WITH a AS (SELECT row_id, updated_at, regexp_replace(lower(species_voucher_new), '[^a-z0-9]+', '', 'g') AS k, {_NAMES} AS names, lower(trim(geo_loc_name)) AS place, {_SQUEEZED} AS t FROM updated_species_voucher),
+_BEST = f"""WITH a AS (SELECT row_id, updated_at, regexp_replace(lower(species_voucher_new), '[^a-z0-9]+', '', 'g') AS k, {_NAMES} AS names, lower(trim(geo_loc_name)) AS place, {_SQUEEZED} AS t FROM updated_species_voucher),
 c AS (SELECT *, CASE WHEN regexp_matches(t, '{_WHOLE}') THEN string_split(regexp_replace(t, '{_WHOLE}', '\\1|\\2|\\3|\\4|\\5|') || regexp_replace(t, '{_WHOLE}', '\\6|\\7|\\8|\\9|') || regexp_extract(t, '([EW])$', 1), '|') END AS p FROM a WHERE k <> ''),
 d AS (SELECT *, p IS NOT NULL AND {_SIDE(1, 90)} AND {_SIDE(6, 180)} AND (abs({_NUM(2)}) + {_NUM(3)} + {_NUM(4)} + abs({_NUM(7)}) + {_NUM(8)} + {_NUM(9)}) > 0 AS ok, greatest({_UNIT(1)}, {_UNIT(6)}) AS unit, len(names) > 0 AS named FROM c),
 l AS (SELECT k, row_id AS r FROM (SELECT k, row_id, row_number() OVER (PARTITION BY k ORDER BY unit DESC, updated_at DESC NULLS LAST, row_id) AS rn FROM d WHERE ok) WHERE rn = 1),
-g AS (SELECT k, row_id AS r FROM (SELECT k, row_id, row_number() OVER (PARTITION BY k ORDER BY len(names) DESC, updated_at DESC NULLS LAST, row_id) AS rn FROM d WHERE named) WHERE rn = 1),
-s AS (SELECT k, min(row_id) AS group_row_id FROM d GROUP BY k HAVING count(*) > 1)
-SELECT group_row_id, coalesce(l.r, 0) AS lat_lon_row_id, coalesce(g.r, 0) AS geo_row_id FROM s LEFT JOIN l USING (k) LEFT JOIN g USING (k)""",
+g AS (SELECT k, row_id AS r, names FROM (SELECT k, row_id, names, row_number() OVER (PARTITION BY k ORDER BY len(names) DESC, updated_at DESC NULLS LAST, row_id) AS rn FROM d WHERE named) WHERE rn = 1),
+s AS (SELECT k, min(row_id) AS group_row_id, count(*) AS n_rows FROM d GROUP BY k)
+"""
+ORACLES: dict[str, str] = {
+    "p1_found": f"{_BEST} SELECT group_row_id, coalesce(l.r, 0) AS lat_lon_row_id, coalesce(g.r, 0) AS geo_row_id FROM s LEFT JOIN l USING (k) LEFT JOIN g USING (k) WHERE n_rows > 1",
+    "p1_records": f"""{_BEST}, v AS (SELECT d.k, d.row_id, d.updated_at, u.country FROM d JOIN updated_species_voucher u USING (row_id) WHERE lower(trim(coalesce(u.country, ''))) NOT IN ('', 'missing', 'unknown', 'not applicable', 'not provided', 'n/a', 'na', '-', '?')),
+o AS (SELECT v.*, row_number() OVER (PARTITION BY v.k ORDER BY v.updated_at DESC NULLS LAST, v.row_id) AS rn FROM v LEFT JOIN g USING (k) WHERE g.r IS NULL OR lower(trim(v.country)) = lower(g.names[1]))
+SELECT s.group_row_id, s.n_rows, l.r AS lat_lon_row_id, g.r AS geo_row_id, o.row_id AS country_row_id, (SELECT lat_lon FROM updated_species_voucher u WHERE u.row_id = l.r) AS lat_lon, (SELECT geo_loc_name FROM updated_species_voucher u WHERE u.row_id = g.r) AS geo_loc_name, coalesce(o.country, g.names[1]) AS country
+FROM s LEFT JOIN l USING (k) LEFT JOIN g USING (k) LEFT JOIN o ON o.k = s.k AND o.rn = 1""",
     "p6_found": f"{_IDENTITY} SELECT first_row_id, row_id AS copy_row_id FROM k JOIN g USING (key) WHERE row_id > first_row_id",
     "p6_identities": f"{_IDENTITY} SELECT first_row_id, n_rows FROM g",
 }

@@ -48,27 +48,73 @@ def test_best_rows(spark, rows):
     assert S.best_rows(df.limit(0)).count() == 0
 
 
+def test_search_against_all_choices():
+    """Three bundles under two dependencies, on random groups."""
+    rng = random.Random(11)
+    for _ in range(400):
+        levels = [rng.choice([0, 0, 1]) for _ in range(3)]
+        scores = [[rng.choice([0.25, 0.5, 1.0, 2.0]) for _ in range(rng.randint(0, 4))] for _ in range(3)]
+        claims = [[[rng.choice(["x", "y", "z", None]), rng.choice(["u", "v", None])] for _ in s] for s in scores]
+        best = None
+        for choice in itertools.product(*[range(-1, len(s)) for s in scores]):
+            held = [claims[b][k] for b, k in enumerate(choice) if k >= 0]
+            if any(len({h[i] for h in held} - {None}) > 1 for i in range(2)):
+                continue
+            value = []
+            for level in sorted(set(levels)):
+                mine = [b for b in range(3) if levels[b] == level]
+                value += [sum(scores[b][choice[b]] for b in mine if choice[b] >= 0), *[-(choice[b] if choice[b] >= 0 else len(scores[b])) for b in mine]]
+            if best is None or tuple(value) > best[0]:
+                best = tuple(value), list(choice)
+        assert S.search(scores, claims, levels) == best[1]
+
+
+def test_search_prunes():
+    """Without a bound this tree would have 3 ** 40 leaves."""
+    n = 40
+    got = S.search([[1.0, 0.5]] * n, [[["x"], ["y"]]] * n, [0] * n)
+    assert got == [0] * n
+
+
 def test_place_and_country_agree_as_brute_force_says(spark):
     rng = random.Random(11)
     data = []
     for i in range(240):
         c = rng.choice(["Peru", "Chile", None])
         data.append((i, f"s{i % 60}", None, rng.choice([None, "Peru", "Peru: a", "Chile: a, b", "Chile"]), c, rng.randint(1, 28)))
-    got = {r.group_row_id: r for r in S.survivors(table(spark, data)).collect()}
+    df = table(spark, data)
+    got = {r.group_row_id: r for r in S.survivors(df.withColumn("places", F.lit(1)).withColumn("named", F.lit("x"))).collect()}
     for k in range(60):
         group = [d for d in data if d[1] == f"s{k}"]
-        place = [(d[3].count(",") + d[3].count(":") + 1, d[5], -d[0], d[3].split(":")[0].lower(), d) for d in group if d[3]] or [None]
-        state = [(d[5], -d[0], d[4].lower(), d) for d in group if d[4]] or [None]
-        best = None
-        for p, s in itertools.product([*place, None], [*state, None]):
-            if p and s and p[3] != s[2]:
-                continue
-            total = (min(1, p[0] / 8) if p else 0) + (0.5 if s else 0)
-            best = max(best or 0, total)
+        place = max([(d[3].count(",") + d[3].count(":"), d[5], -d[0], d) for d in group if d[3]], default=None)
+        own = place and place[3][3].split(":")[0]
+        state = max([(d[5], -d[0], d) for d in group if d[4] and (not own or own == d[4])], default=None)
         r = got[min(d[0] for d in group)]
-        total = (min(1, (r.geo_loc_name.count(",") + r.geo_loc_name.count(":") + 1) / 8) if r.geo_loc_name else 0) + (0.5 if r.country else 0)
-        assert abs(total - best) < 1e-9
-        assert not (r.geo_loc_name and r.country) or r.geo_loc_name.split(":")[0] == r.country
+        assert (r.n_rows, r.geo_row_id, r.geo_loc_name) == (4, place and place[3][0], place and place[3][3])
+        assert (r.country_row_id, r.country) == (state and state[2][0], state[2][4] if state else own)
+
+
+def test_bundles_under_two_dependencies(spark):
+    """Groups of rows with three bundles, two attributes and equal levels, against all choices of rows."""
+    rng = random.Random(5)
+    data = [(i, i % 40, *[rng.choice([None, 1, 2, 3]) for _ in range(3)], rng.choice([None, "x", "y"]), rng.choice(["u", "v", None])) for i in range(200)]
+    df = spark.createDataFrame(data, "id bigint, k bigint, a int, b int, c int, p string, q string")
+    col = F.col
+    bundles = [S.Bundle("one", col("a").isNotNull(), (col("a"),), col("a") * 1.0, {"p": col("p")}), S.Bundle("two", col("b").isNotNull(), (col("b"),), col("b") * 1.0, {"p": col("p"), "q": col("q")}, {"b": col("b")}), S.Bundle("three", col("c").isNotNull(), (col("c"),), col("c") * 1.0, {"q": col("q")})]
+    got = {r.group_row_id: r for r in S.choose_bundles(df, col("k").cast("string"), "id", bundles).collect()}
+    assert len(got) == 40
+    for k in range(40):
+        rows_of = [d for d in data if d[1] == k]
+        best = 0
+        for x, y, z in itertools.product(*[[None, *[d for d in rows_of if d[f] is not None]] for f in (2, 3, 4)]):
+            ps, qs = {d[5] for d in (x, y) if d} - {None}, {d[6] for d in (y, z) if d} - {None}
+            if len(ps) < 2 and len(qs) < 2:
+                best = max(best, sum(d[f] for d, f in ((x, 2), (y, 3), (z, 4)) if d))
+        r = got[min(d[0] for d in rows_of)]
+        by = {d[0]: d for d in rows_of}
+        chosen = [(by[i], f) for i, f in ((r.one_row_id, 2), (r.two_row_id, 3), (r.three_row_id, 4)) if i is not None]
+        assert sum(d[f] for d, f in chosen) == best and r.b == (by[r.two_row_id][3] if r.two_row_id is not None else None)
+        assert len({d[5] for d, f in chosen if f in (2, 3)} - {None}) < 2 and len({d[6] for d, f in chosen if f in (3, 4)} - {None}) < 2
 
 
 def forms(code, rng):
