@@ -143,6 +143,21 @@ def test_identities_of_random_forms(spark):
     assert {tuple(r) for r in I.collapsed(df.repartition(7)).collect()} == {(g[0], len(g)) for g in truth.values()}
 
 
+def test_identity_does_not_depend_on_other_rows(spark, rows):
+    schema = "row_id bigint, specimen_voucher string, isolate string"
+    two = [(1, "AB C 12", None), (2, "A BC 12", None)]
+    assert rows(I.copies(spark.createDataFrame(two, schema))) == [(1, 2)]
+    assert rows(I.copies(spark.createDataFrame([*two, (3, "A B C 12", None)], schema))) == [(1, 2), (1, 3)]
+    for order in itertools.permutations([("ab c", "abc"), ("a bc", "abc"), ("c ab", "cab"), ("a c b", "acb"), ("cba", "cba"), ("d", "d")]):
+        got: dict = {}
+        for form, c in zip(order, I.classes(list(order))):
+            got.setdefault(c, set()).add(form)
+        assert sorted(map(len, got.values())) == [1, 5]
+    assert not I.glued(["a"] * 200 + ["b"], ["a" * 199 + "bb"]) and I.glued(["a"] * 200 + ["b"], ["a" * 100 + "b" + "a" * 100])
+    three = spark.createDataFrame([(1, "a 1", "b", "c"), (2, "C.", "1-A", "B"), (3, "c", "a1", None)], "row_id bigint, x string, y string, z string")
+    assert rows(I.copies(three, fields=("x", "y", "z"))) == [(1, 2)]
+
+
 def test_identity_edges(spark, rows):
     schema = "row_id bigint, specimen_voucher string, isolate string, root string, form string"
     df = spark.createDataFrame([(1, None, None, "r", "f"), (2, "", " ", "r", "f"), (3, "K.L.Q.N. 5", None, "r", "f"), (4, None, "klqn5", "r", "f"), (5, "KLQN 5", "HT 1", "r", "f"), (6, "x" * 30000 + "1", None, "r", "f"), (7, "X" * 30000 + " 1", None, "r", "f")], schema)
