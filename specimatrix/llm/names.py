@@ -1,15 +1,17 @@
 """Variant spellings of persons and organisations, linked by noisy-channel attribution.
 
 Frequent spellings are candidate canonical forms. A variant is attached to the one of highest posterior: how often and in
-how many forms the candidate is written, times how likely it is to be distorted into the variant by one typing error,
-an abbreviation, a nickname or reordered parts. Candidates are found by joins on shared one-letter deletions, on
+how many forms the candidate is written, times how likely it is to be distorted into the variant by one or two typing errors,
+an abbreviation, a nickname or reordered parts. Candidates are found by joins on shared deletions, on
 surnames and on initials, never by comparing all pairs.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -55,7 +57,7 @@ def parse(name: str) -> dict | None:
     nick = re.search(r"[(\"“]([^\W\d_]+)[)\"”]", text)
     plain = re.sub(r"[(\"“][^)\"”]*[)\"”]", " ", text)
     head, comma, tail = plain.partition(",")
-    parts = [_tokens(head), _tokens(tail)] if comma and tail.strip() else [_tokens(plain.replace(",", " "))]
+    parts = [_tokens(head), _tokens(tail)] if comma and tail.strip() else [_tokens(plain.replace(",", " "), True)]
     out: dict = {"kind": "p", "nick": fold(nick[1]) if nick else None}
     if len(parts) == 2:
         full = [fold(t) for t, k in parts[0] if k == "w"]
@@ -65,7 +67,7 @@ def parse(name: str) -> dict | None:
         full = [t for t, k in parts[0] if k == "w"]
         given = [(t, k) for t, k in parts[0] if k != "w"]
         kinds = "".join(k for _, k in parts[0])
-        titled = fold(plain.split()[0].strip(".")) in TITLES
+        titled = len(parts[0]) < len(re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", plain)) and fold(plain.split()[0].strip(".")) in TITLES
         if len(full) >= 2 and (nick or titled or re.search("wi+w", kinds)):
             out |= {"surname": fold(full[-1]), "given": fold(full[0]), "short": False, "inits": "".join(t for t, k in given if k == "i")}
             return out
@@ -85,14 +87,17 @@ def parse(name: str) -> dict | None:
     return out
 
 
-def _tokens(text: str) -> list[tuple[str, str]]:
-    """Words (w), abbreviated words (a) and initials (i), titles left out."""
+def _tokens(text: str, alone: bool = False) -> list[tuple[str, str]]:
+    """Words (w), abbreviated words (a) and initials (i), titles left out; ``alone`` if this is all there is of a name."""
     found = re.findall(r"([^\W\d_]+(?:['’-][^\W\d_]+)*)(\.?)", text)
     longest = max((len(w) for w, _ in found), default=0)
+    title = [k for k, (w, _) in enumerate(found) if fold(w) in TITLES]
+    if alone and len(found) - len(title) < 2:  # 'Ing. Aus' and 'Aus DR': beside a surname only, it is the given name
+        title = []
     out: list[tuple[str, str]] = []
-    for w, dot in found:
+    for k, (w, dot) in enumerate(found):
         low = fold(w)
-        if low in TITLES:
+        if k in title:
             continue
         if len(w) == 1:
             out.append((low, "i"))
@@ -148,8 +153,53 @@ def _parsed(frames):
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARSED.split(", ")])
 
 
-#: A spelling written in this many forms is a name of its own unless a neighbour has three times as many.
-ESTABLISHED = 4
+@dataclass(frozen=True)
+class Channel:
+    """How likely errors are, as logarithms: what people do (leave out, double, swap letters) and what they rarely do.
+
+    ``second`` is added for a second error in a word, ``head`` for one in its first letter. A spelling in fewer than
+    ``established`` forms is a name of its own with probability exp(``novel``); two errors are looked for in words of
+    ``long`` letters or more.
+    """
+
+    usual: float = -1.05
+    rare: float = -2.6
+    second: float = -1.0
+    head: float = -1.0
+    novel: float = -3.2
+    established: int = 4
+    long: int = 9
+
+
+#: For names in one pool, where many people share each of them and every error recurs.
+POOLED = Channel(usual=-4.0, rare=-6.0, novel=0.0)
+
+
+def distortion(true: str, typed: str, channel: Channel = Channel()) -> float:
+    """Log-likelihood that ``true`` is typed as ``typed`` with one or two errors; minus infinity beyond."""
+    best: dict[tuple[int, int, int], float] = {(0, 0, 0): 0.0}
+    for i in range(len(true) + 1):
+        for j in range(max(0, i - 2), min(len(typed), i + 2) + 1):
+            for e in range(3):
+                if (here := best.get((i, j, e))) is None:
+                    continue
+                steps = []
+                if i < len(true) and j < len(typed) and true[i] == typed[j]:
+                    steps.append((i + 1, j + 1, e, 0.0))
+                if e < 2:
+                    price = (channel.head if min(i, j) == 0 else 0.0) + (channel.second if e else 0.0)
+                    if i < len(true):
+                        steps.append((i + 1, j, e + 1, price + channel.usual))
+                    if j < len(typed):
+                        doubled = (j > 0 and typed[j - 1] == typed[j]) or typed[j : j + 1] == typed[j + 1 : j + 2]
+                        steps.append((i, j + 1, e + 1, price + (channel.usual if doubled else channel.rare)))
+                    if i < len(true) and j < len(typed):
+                        steps.append((i + 1, j + 1, e + 1, price + channel.rare))
+                    if true[i : i + 2] == typed[j : j + 2][::-1] and len(true[i : i + 2]) == 2:
+                        steps.append((i + 2, j + 2, e + 1, price + channel.usual))
+                for x, y, f, p in steps:
+                    best[x, y, f] = max(best.get((x, y, f), -math.inf), here + p)
+    return max(best.get((len(true), len(typed), e), -math.inf) for e in (0, 1, 2))
 
 
 def _deletions(word: Column) -> Column:
@@ -157,23 +207,44 @@ def _deletions(word: Column) -> Column:
     return F.array_distinct(F.array_append(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word)))), word))
 
 
-def attach(words: DataFrame, least: int) -> DataFrame:
+def _merge(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join: tables that grow with the data are not broadcast because they are small yet."""
+    return df.hint("merge")
+
+
+def attach(words: DataFrame, least: int, channel: Channel = Channel()) -> DataFrame:
     """(block, word, forms, n) -> (block, word, root): each spelling with its canonical one in the same block.
 
-    Spellings of fewer than ``least`` letters stay as they are. A spelling goes to the neighbour, one error away, of
-    highest posterior, and on to that one's own canonical form.
+    A spelling goes to the candidate of highest posterior: the logarithm of the forms it is written in plus that of the
+    distortion; to none if it is likelier to be a name of its own. What it goes to may go on, until nothing does.
+    Spellings of fewer than ``least`` letters stay as they are; candidates share what is left after one or, in long words,
+    two deletions.
     """
-    sides = words.where(F.length("word") >= least).select("block", "word", "forms", "n", F.explode(_deletions(F.col("word"))).alias("key"))
-    a, b = sides.alias("a"), sides.alias("b")
+    once = _deletions(F.col("word"))
+    keys = F.when(F.length("word") >= channel.long, F.array_distinct(F.flatten(F.transform(once, _deletions)))).otherwise(once)
+    sides = words.where(F.length("word") >= least).select("block", "word", "forms", "n", F.explode(keys).alias("key"))
+    a, b = sides.alias("a"), _merge(sides.alias("b"))
     rank = lambda x: F.struct(F.col(f"{x}.forms"), F.col(f"{x}.n"), F.col(f"{x}.word"))
-    loose = (F.col("a.forms") < ESTABLISHED) | (F.col("b.forms") >= 3 * F.col("a.forms"))
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key")) & (rank("b") > rank("a")) & loose)
-    step = pairs.groupBy(F.col("a.block").alias("block"), F.col("a.word").alias("word")).agg(F.max(rank("b")).alias("to")).select("block", "word", F.col("to.word").alias("root"))
-    step = cut(words.select("block", "word").join(step, ["block", "word"], "left").select("block", "word", F.coalesce("root", "word").alias("root")))
-    for _ in range(3):  # doubling: chains of up to eight steps
+    near = F.abs(F.length("a.word") - F.length("b.word")) <= 2
+    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.key") == F.col("b.key")) & (rank("b") > rank("a")) & near & (F.levenshtein("a.word", "b.word", 4) >= 0))
+    pairs = pairs.select(F.col("a.block").alias("block"), F.col("a.word").alias("word"), F.col("a.forms").alias("forms"), F.col("b.word").alias("to"), F.col("b.forms").alias("to_forms"), F.col("b.n").alias("to_n")).distinct()
+
+    @F.pandas_udf("double")
+    def likely(true: pd.Series, typed: pd.Series) -> pd.Series:
+        return pd.Series([distortion(x, y, channel) for x, y in zip(true, typed)], dtype=float)
+
+    posterior = F.log(F.col("to_forms")) + likely("to", "word")
+    own = F.log(F.col("forms")) + F.when(F.col("forms") < channel.established, channel.novel).otherwise(0.0)
+    scored = pairs.select("block", "word", "to", "to_forms", "to_n", posterior.alias("p"), own.alias("own")).where("p > own")
+    best = F.max(F.struct("p", "to_forms", "to_n", "to"))
+    step = cut(scored.groupBy("block", "word").agg(best.alias("best")).select("block", "word", F.col("best.to").alias("root")))
+    while True:  # each turn doubles the length of the ways that are followed; ranks grow on them, so they end
         on = step.select("block", F.col("word").alias("root"), F.col("root").alias("next"))
-        step = step.join(on, ["block", "root"]).select("block", "word", F.col("next").alias("root"))
-    return step
+        onward = step.join(_merge(on), ["block", "root"])
+        if onward.isEmpty():
+            break
+        step = cut(step.join(_merge(on), ["block", "root"], "left").select("block", "word", F.coalesce("next", "root").alias("root")))
+    return words.select("block", "word").join(_merge(step), ["block", "word"], "left").select("block", "word", F.coalesce("root", "word").alias("root"))
 
 
 def link_names(names: DataFrame) -> DataFrame:
@@ -191,22 +262,25 @@ def link_names(names: DataFrame) -> DataFrame:
     roles = words.groupBy("word").agg(F.log((F.sum("g") + 0.1) / (F.sum("s") + 0.1)).alias("lean"))
     asked = parsed.where("kind = 'p' and surname is null").select("name", "n", "one", "two", "inits")
     for side in ("one", "two"):
-        asked = asked.join(roles.select(F.col("word").alias(side), F.col("lean").alias(f"lean_{side}")), side, "left")
+        asked = asked.join(_merge(roles.select(F.col("word").alias(side), F.col("lean").alias(f"lean_{side}"))), side, "left")
     first = F.coalesce("lean_one", F.lit(0.0)) - F.coalesce("lean_two", F.lit(0.0)) >= -0.5
     asked = asked.select("name", "n", F.lit("p").alias("kind"), F.when(first, F.col("two")).otherwise(F.col("one")).alias("surname"), F.when(first, F.col("one")).otherwise(F.col("two")).alias("given"), F.lit(False).alias("short"), "inits")
     people = told.select("name", "n", "kind", "surname", "given", "short", "inits").unionByName(asked)
     usual = spark.createDataFrame(list(NICKNAMES.items()), "given string, formal string").select("given", "formal", F.lit(0).cast("bigint").alias("count"))
     nicks = told.where("nick is not null and given is not null and not short").groupBy(F.col("nick").alias("given"), F.col("given").alias("formal")).count().unionByName(usual)
     nicks = nicks.groupBy("given").agg(F.max(F.struct("count", "formal")).alias("best")).select("given", F.col("best.formal").alias("formal"))
-    people = people.join(nicks, "given", "left").withColumn("given", F.when(~F.col("short"), F.coalesce("formal", "given")).otherwise(F.col("given"))).drop("formal")
+    people = people.join(_merge(nicks), "given", "left").withColumn("given", F.when(~F.col("short"), F.coalesce("formal", "given")).otherwise(F.col("given"))).drop("formal")
     everyone = people.unionByName(parsed.where("kind = 'o'").select(*people.columns))
     spelled = everyone.groupBy(F.col("kind").alias("block"), F.col("surname").alias("word")).agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"))
     roots = attach(spelled, 5).select(F.col("block").alias("kind"), F.col("word").alias("surname"), "root")
-    everyone = cut(everyone.join(roots, ["kind", "surname"]))
+    everyone = cut(everyone.join(_merge(roots), ["kind", "surname"]))
     full = everyone.where("kind = 'p' and given is not null and not short")
     given = attach(full.groupBy(F.col("root").alias("block"), F.col("given").alias("word")).agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")), 3)
     given = given.select(F.col("block").alias("root"), F.col("word").alias("given"), F.col("root").alias("formal"))
-    full = full.join(given, ["root", "given"])
+    pool = cut(given.groupBy(F.lit("g").alias("block"), F.col("formal").alias("word")).agg(F.count(F.lit(1)).alias("forms"), F.count(F.lit(1)).alias("n")))
+    usual_given = attach(pool, 4, POOLED).where("word != root").select(F.col("word").alias("formal"), F.col("root").alias("common"))
+    given = given.join(_merge(usual_given), "formal", "left").select("root", "given", F.coalesce("common", "formal").alias("formal"))
+    full = cut(full.join(_merge(given), ["root", "given"]))
     known = full.groupBy("root", "formal").agg(F.sum("n").alias("prior"), F.max("inits").alias("middle")).withColumn("initial", F.substring("formal", 1, 1))
     full = full.select("name", F.concat_ws("|", F.lit("p"), "root", "formal").alias("entity"))
     brief = everyone.where("kind = 'p' and (given is null or short)").withColumn("letters", F.concat(F.when(F.col("short"), F.substring("given", 1, 1)).otherwise(""), "inits")).withColumn("initial", F.substring("letters", 1, 1))
@@ -214,7 +288,7 @@ def link_names(names: DataFrame) -> DataFrame:
     own = F.substring("letters", 2, 9)
     middle = F.when((own == "") | (F.col("middle") == ""), F.lit(0.0)).when(own == F.col("middle"), F.lit(3.0)).otherwise(F.lit(-6.0))
     posterior = F.when(fits, F.log("prior") + middle)
-    best = brief.join(known, ["root", "initial"], "left").groupBy("name", "root", "letters").agg(F.max(F.when(fits, F.struct(posterior.alias("p"), F.col("formal").alias("formal")))).alias("best"))
+    best = brief.join(_merge(known), ["root", "initial"], "left").groupBy("name", "root", "letters").agg(F.max(F.when(fits, F.struct(posterior.alias("p"), F.col("formal").alias("formal")))).alias("best"))
     brief = best.select("name", F.concat_ws("|", F.lit("p"), "root", F.coalesce("best.formal", F.substring("letters", 1, 1))).alias("entity"))
     orgs = everyone.where("kind = 'o'").select("name", F.concat_ws("|", F.lit("o"), "root", "given").alias("entity"))
     return full.unionAll(brief).unionAll(orgs)
@@ -230,12 +304,12 @@ def same_names(final: DataFrame) -> DataFrame:
     """(name_a, name_b): each pair of different strings that name the same, the smaller by UTF-8 bytes first."""
     linked = cut(link_names(typed_names(final)))
     other = linked.select("entity", F.col("name").alias("name_b"))
-    return linked.select("entity", F.col("name").alias("name_a")).join(other, "entity").where("name_a < name_b").select("name_a", "name_b")
+    return linked.select("entity", F.col("name").alias("name_a")).join(_merge(other), "entity").where("name_a < name_b").select("name_a", "name_b")
 
 
 def canonical_names(final: DataFrame) -> DataFrame:
-    """(name, canonical): each spelling with the most frequent spelling of its entity."""
-    counted = typed_names(final)
-    linked = link_names(counted).join(counted, "name")
-    top = linked.groupBy("entity").agg(F.max(F.struct("n", "name")).alias("top")).select("entity", F.col("top.name").alias("canonical"))
-    return linked.join(top, "entity").select("name", "canonical")
+    """(name, canonical, links): each spelling with the most frequent one of its entity and how many others it is linked to."""
+    counted = cut(typed_names(final))
+    linked = cut(link_names(counted).join(_merge(counted), "name"))
+    top = linked.groupBy("entity").agg(F.max(F.struct("n", "name")).alias("top"), (F.count(F.lit(1)) - 1).alias("links")).select("entity", F.col("top.name").alias("canonical"), "links")
+    return linked.join(_merge(top), "entity").select("name", "canonical", "links")

@@ -115,6 +115,44 @@ def test_linked_names(spark):
     assert len(set(canonical.values())) == len(PEOPLE) and set(canonical) == set(names)
 
 
+def test_titles_that_are_given_names(spark):
+    """Beside a surname alone, what looks like a title is a given name or initials."""
+    names = ["Ingrid Zematesksen", "Zematesksen, Ingrid", "Ing. Zematesksen", "I. Zematesksen", "Zematesksen, D. R.", "Daniela Zematesksen", "Zematesksen DR", "Dr. Daniela Zematesksen"]
+    got: dict = {}
+    for r in N.canonical_names(spark.createDataFrame([(n, None) for n in names], "collected_by string, identified_by string")).collect():
+        got.setdefault(r.canonical, set()).add(r.name)
+        assert r.links == 3
+    assert sorted(map(sorted, got.values())) == [sorted(names[4:]), sorted(names[:4])]
+
+
+def test_distortion():
+    """Log-likelihoods against the least number of errors, and what they are made of."""
+    c = N.Channel()
+    assert N.distortion("hesopituti", "hesoiptuti") == c.usual and N.distortion("hesopituti", "heesopituti") == c.usual and N.distortion("hesopituti", "hespituti") == c.usual
+    assert N.distortion("hesopituti", "hesoxituti") == c.rare and N.distortion("hesopituti", "ehsopituti") == c.usual + c.head
+    assert abs(N.distortion("hesopituti", "heosiptuti") - 2 * c.usual - c.second) < 1e-9 and N.distortion("hesopituti", "heosiptui") == -float("inf")
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(4, 8)))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(b))
+            b[i : i + 1] = rng.choice([[], [b[i], b[i]], ["d"], [b[i], "d"]])
+        if not b or abs(len(a) - len(b)) > 2:
+            continue
+        e, ll = distance(a, "".join(b)), N.distortion(a, "".join(b))
+        assert (ll > -float("inf")) == (e <= 2) and (ll == 0) == (e == 0)
+
+
+def test_spellings_with_two_errors_and_long_chains(spark):
+    words = [("hesopituti", 9), ("heosiptuti", 1), ("hespittuti", 1), ("zzzzzzzzzz", 1)]
+    df = spark.createDataFrame([("p", w, f, f) for w, f in words], "block string, word string, forms bigint, n bigint")
+    assert {r.word: r.root for r in N.attach(df, 5).collect()} == {"hesopituti": "hesopituti", "heosiptuti": "hesopituti", "hespittuti": "hesopituti", "zzzzzzzzzz": "zzzzzzzzzz"}
+    chain = ["q" * k + "abcdefg" for k in range(1, 21)]
+    df = spark.createDataFrame([("p", w, 3**k, 1) for k, w in enumerate(chain)], "block string, word string, forms bigint, n bigint")
+    assert {r.root for r in N.attach(df, 5, N.Channel(long=99)).collect()} == {chain[-1]}
+
+
 def test_name_edges(spark):
     empty = spark.createDataFrame([], "collected_by string, identified_by string, name string, entity string")
     assert N.same_names(empty).count() == 0
