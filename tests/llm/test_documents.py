@@ -106,17 +106,48 @@ def test_mix_reaches_its_shares(spark):
     assert mixing.mix(df.limit(0), target).count() == 0 and mixing.mix(df, target.limit(0)).count() == 0
 
 
+def test_hidden_and_wrong_sources_are_mixed_by_their_words(spark):
+    """A third of the sources is not stated, and some are wrong: the shares of the true sources still meet their targets."""
+    rng = random.Random(2)
+    words = {"a": ["worm", "gill", "palp", "seta"], "b": ["court", "permit", "clause", "treaty"], "c": ["loop", "parser", "cache", "build"]}
+    rows, truth = [], {}
+    for i in range(3000):
+        s = rng.choices("abc", (5, 3, 2))[0]
+        truth[i] = s
+        stated = rng.choice([None, "?", s]) if i % 2 else s if rng.random() > 0.03 else rng.choice("abc")
+        rows.append((i, " ".join(rng.choice(words[s] + ["and", "the", "of"]) for _ in range(rng.randint(8, 60))), stated, "en", -1))
+    df = spark.createDataFrame(rows, DOCS)
+    share = {"a": 0.3, "b": 0.4, "c": 0.3}
+    mixed = mixing.mix(df, spark.createDataFrame([(s, x, 3) for s, x in share.items()], "source string, target_share double, max_repeats int")).collect()
+    total = sum(r.tokens * r.copies for r in mixed)
+    for s, x in share.items():
+        assert abs(sum(r.tokens * r.copies for r in mixed if truth[r.doc_id] == s) / total - x) < 0.015
+    hidden = [r for r in mixed if rows[r.doc_id][2] in (None, "?")]
+    assert len(hidden) > 500 and sum(r.source == truth[r.doc_id] for r in hidden) / len(hidden) > 0.99
+    assert all(r.source == rows[r.doc_id][2] for r in mixed if rows[r.doc_id][2] in share)
+
+
+def test_judged_labels(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["worm gill palp", "court permit clause"][i % 2].split() + ["the"]) for _ in range(30)), ("ab"[i % 2] if rng.random() > 0.1 else "ab"[1 - i % 2])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    model = mixing.MixModel()
+    sample = mixing.labelled_sample(df, ["a", "b"], model)
+    soft, wrong = mixing.judge(sample, mixing.fit_sources(sample, ["a", "b"], model), ["a", "b"], model)
+    few = mixing.labelled_sample(df, ["a", "b"], mixing.MixModel(labelled=500)).count()
+    assert 0.03 < wrong < 0.2 or soft > 1 and abs(few - 500) < 100
+    assert mixing.membership(np.array([0.01, 0.99]), 0, 0.1)[1] > 0.5 > mixing.membership(np.array([0.4, 0.6]), 0, 0.1)[1] and mixing.membership(np.array([0.2, 0.8]), None, 0.1)[1] == 0.8
+
+
 def test_rates_solve_the_least_squares_problem():
     rng = np.random.default_rng(5)
     n = rng.integers(10, 100, 300).astype(float)
     p = rng.dirichlet([0.2, 0.2, 0.2], 300)
     there, share, repeats = n @ p, np.array([0.5, 0.3, 0.2]), np.array([2.0, 2.0, 3.0])
-    total = (there * repeats / share).min() * 0.8
-    steps = []
-    for _ in range(200):
-        steps.append((mixing.rates(p, p @ repeats, steps, 0.9) * n @ p - share * total) / there)
+    goal = share * (there * repeats / share).min() * 0.8
+    steps = mixing.descend(n, p, repeats, goal, mixing.MixModel(steps=200))
     r = mixing.rates(p, p @ repeats, steps, 0.9)
-    assert np.abs((r * n) @ p - share * total).max() < 0.01 * total and (r >= 0).all() and (r <= p @ repeats + 1e-9).all()
+    assert np.abs((r * n) @ p - goal).max() < 0.01 * goal.sum() and (r >= 0).all() and (r <= p @ repeats + 1e-9).all()
 
 
 TEXT = {
