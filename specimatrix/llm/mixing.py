@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specimatrix.llm.tokens import TOKENIZER, encoding
+from specimatrix.llm.tokens import TOKENIZER, encoding, offer
 from specimatrix.session import cut, fixed_rows, width
 
 
@@ -179,6 +179,7 @@ def mix(documents: DataFrame, source_target: DataFrame, model: MixModel = MixMod
     share = np.array([r.share for r in targets], dtype=float)
     share /= share.sum()
     repeats = np.array([r.repeats for r in targets], dtype=float)
+    offer(spark, path)
     sample = cut(labelled_sample(documents, sources, model))
     log_p = fit_sources(sample, sources, model)
     soft, wrong = judge(sample, log_p, sources, model)

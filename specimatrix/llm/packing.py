@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specimatrix.llm.tokens import TOKENIZER, sized
-from specimatrix.session import cut
+from specimatrix.session import cut, fixed_rows
 
 
 @dataclass(frozen=True)
@@ -95,11 +95,12 @@ def fill_containers(documents: DataFrame, container_size: DataFrame, limits: Pac
     """(container_kind, container_id, doc_id, piece, parts, start_token, tokens, loss_tokens) of every text for each kind.
 
     A text is split only if it exceeds the capacity, then into as few pieces of equal size as the loss limit allows. A
-    whole text may exceed the loss limit; then no other loss-bearing token is in its container. A null text has no row, an empty one is a segment of 0 tokens. Repeated rows are items of their own. Kinds with a null
-    or non-positive capacity are left out. Extra columns are not read. Empty tables: empty result.
+    whole text may exceed the loss limit; then no other loss-bearing token is in its container. A null text has no row, an
+    empty one is a segment of 0 tokens. Repeated rows are items of their own. Kinds with a null or non-positive capacity
+    are left out; more kinds than a fixed table has are refused. Extra columns are not read. Empty tables: empty result.
     """
     found = container_size.where("capacity_tokens > 0 and container_kind is not null").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity"))
-    kinds = [(r.container_kind, int(r.capacity)) for r in found.orderBy("container_kind").limit(1000).collect()]  # a fixed table
+    kinds = sorted((r.container_kind, int(r.capacity)) for r in fixed_rows(found, "kinds of containers"))
     if not kinds:
         return documents.sparkSession.createDataFrame([], "container_kind string, container_id string, doc_id bigint, piece int, parts int, start_token bigint, tokens bigint, loss_tokens bigint")
     pieces = cut(_pieces(sized(documents, path=path), kinds, limits))
@@ -110,6 +111,6 @@ def fill_containers(documents: DataFrame, container_size: DataFrame, limits: Pac
 
 def filling(packed: DataFrame, container_size: DataFrame) -> DataFrame:
     """Per kind of container: how many were used, at least needed, and which share of their room is filled."""
-    kinds = container_size.select("container_kind", "capacity_tokens")
+    kinds = container_size.groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity_tokens"))
     used = packed.groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.count(F.lit(1)).alias("segments"), F.sum("tokens").alias("tokens"))
-    return used.join(F.broadcast(kinds.limit(1000)), "container_kind").select("container_kind", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"), "segments", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))
+    return used.join(kinds, "container_kind").select("container_kind", "containers", F.ceil(F.col("tokens") / F.col("capacity_tokens")).alias("least_containers"), "segments", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("filled"))

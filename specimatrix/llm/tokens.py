@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specimatrix.session import width
 
-#: Vocabulary file; a path that every executor can read.
+#: Vocabulary file on the driver; executors that have no such path get it with the application's files.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE divides a text before merging; as published with the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -20,12 +21,21 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 @lru_cache(maxsize=4)
 def encoding(path: str):
     import tiktoken
+    from pyspark import SparkFiles
 
-    with open(path, "rb") as lines:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def offer(spark: SparkSession, path: str) -> None:
+    """Sends the vocabulary file along, once for each application."""
+    sent = getattr(spark.sparkContext, "_specimatrix_files", set())
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        spark.sparkContext._specimatrix_files = sent | {path}
+
+
 def first_part(text: str) -> str:
     """What comes before the loss-bearing part of a training example: the first line, or its first sentence."""
     line = text.lstrip().partition("\n")[0]
@@ -44,6 +54,7 @@ def sized(documents: DataFrame, keep: tuple[str, ...] = (), path: str = TOKENIZE
             f["prompt_tokens"] = [min(n, len(code.encode_ordinary(first_part(t)))) for t, n in zip(texts, f["tokens"])]
             yield f
 
+    offer(documents.sparkSession, path)
     kinds = dict(documents.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("doc_id", *keep)) + ", tokens bigint, prompt_tokens bigint"
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", *keep, "text")
