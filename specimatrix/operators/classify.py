@@ -199,10 +199,8 @@ def _ribosomal(genes: Column) -> Column:
     return out
 
 
-def round_one(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The first round with its conflict check: diagnostics before the record's own columns."""
-    own = list(df.columns)
-    df = prepared(df, rules)
+def _first_look(df: DataFrame, rules: Rules) -> tuple[DataFrame, dict[str, Column]]:
+    """Prepared records with what the first round needs, and its diagnostics."""
     n, d = F.col("_n"), F.col("_def")
     mg, mn = _group_match(rules.mitochondrial, ("mtgenome",), rules.mito_length, rules)
     ng, nn = _group_match(rules.nuclear, ("18-28s", "its1-its2"), rules.nuclear_length, rules)
@@ -246,7 +244,7 @@ def round_one(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "conflict_reason": F.when(found, conflict).otherwise(""),
         "assignment_reason": reasons,
     }
-    return _with_diagnostics(df, values, own, rules)
+    return df, values
 
 
 def _with_diagnostics(df: DataFrame, values: dict[str, Column], own: list[str], rules: Rules) -> DataFrame:
@@ -254,16 +252,21 @@ def _with_diagnostics(df: DataFrame, values: dict[str, Column], own: list[str],
     return df.select(*[values[c].alias(c) for c in kept], *[F.col(c) for c in own if c not in DIAGNOSTICS])
 
 
-def round_two(df: DataFrame, rules: Rules = Rules(), filter_length: bool = True) -> DataFrame:
-    """The second look at records that the first round left without a marker."""
-    own = list(df.columns)
-    if filter_length:
-        (a, b), (c, e) = interval(rules.mito_length), interval(rules.nuclear_length)
-        n = length_of(F.col(rules.length))
-        df = df.where(n >= min(a or 0, c or 0))
-        if b and e:
-            df = df.where(n <= max(b, e))
-    df = prepared(df, rules)
+def names_primer(text: Column, names: str) -> Column:
+    """True if a forward or reverse primer of one of the names (a pattern) is given."""
+    return text.rlike(rf"(?i)(?:fwd|rev)_name:\s*(?:{names})")
+
+
+def _second_range(rules: Rules) -> Column:
+    """The lengths that the second round looks at: the union of both groups' ranges."""
+    (a, b), (c, e) = interval(rules.mito_length), interval(rules.nuclear_length)
+    n = length_of(F.col(rules.length))
+    return (n >= min(a or 0, c or 0)) & ((n <= max(b, e)) if b and e else F.lit(True))
+
+
+def _second_look(df: DataFrame, rules: Rules, gate: Column | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """Prepared records with what the second round needs, and its diagnostics; nothing is evaluated where ``gate`` is false."""
+    only = (lambda c: F.when(gate, c)) if gate is not None else (lambda c: c)
     n, d = F.col("_n"), F.col("_def")
     in_def = d.rlike("mitochondri(?:on|al|a)")
     in_org = F.col("_org").rlike("mitochondri(?:on|al|a)")
@@ -272,38 +275,49 @@ def round_two(df: DataFrame, rules: Rules = Rules(), filter_length: bool = True)
     listed = [g for g, p in rules.dictionary.items() if p]
     by_phrase = F.array_compact(F.array(*[F.when(whole if g == "mtgenome" else _hit(g, rules), F.lit(g)) for g in listed]))
     told = F.array_compact(F.array(*[F.when(whole, say("whole")) if g == "mtgenome" else F.when(_hit(g, rules), say("keyword", g=g)) for g in listed]))
-    primer = lambda names: F.col("_pcr").rlike(rf"(?i)(?:fwd|rev)_name:\s*(?:{names})")
-    coi, s28 = primer("HCO2198|lc01490|LCO1490"), primer("28SC1")
+    coi, s28 = names_primer(F.col("_pcr"), "HCO2198|lc01490|LCO1490"), names_primer(F.col("_pcr"), "28SC1")
     by_primer = F.array_compact(F.array(F.when(coi, F.lit("coi")), F.when(s28, F.lit("28s"))))
     primer_notes = F.array_compact(F.array(F.when(coi, say("primer_coi")), F.when(s28, say("primer_28s"))))
-    df = computed(df, {"_by": by_phrase, "_told": told})
+    df = computed(df, {"_by": only(by_phrase), "_told": only(told)})
     genes = F.when(circular, F.array(F.lit("mtgenome"))).when(F.size("_by") > 0, F.col("_by")).otherwise(by_primer)
     notes = F.when(circular, F.array(say("circular"))).when(F.size("_by") > 0, F.col("_told")).otherwise(primer_notes)
-    df = computed(df, {"_genes": F.array_sort(genes), "_notes": notes})
-    k, one = F.size("_genes"), F.get(F.col("_genes"), F.lit(0))
+    df = computed(df, {"_genes2": only(F.array_sort(genes)), "_notes2": only(notes)})
+    k, one = F.size("_genes2"), F.get(F.col("_genes2"), F.lit(0))
     true_false = lambda c: F.when(c, "True").otherwise("False")
     unmet = F.when(~circular & _hit("mtgenome", rules) & ~whole, say("unmet", n=n, m=F.col("_mol"), d=true_false(in_def), o=true_false(in_org)))
     mito = in_def | in_org
     against = F.array_compact(
         F.array(
             unmet,
-            F.when(k > 1, say("multiple", t=F.array_join("_genes", ", "))),
+            F.when(k > 1, say("multiple", t=F.array_join("_genes2", ", "))),
             F.when((k == 1) & one.isin(*rules.mitochondrial) & ~mito, say("mito", t=one)),
             F.when((k == 1) & one.isin(*rules.nuclear) & mito, say("nuclear", t=one)),
         )
     )
-    df = computed(df, {"_against": against})
+    df = computed(df, {"_against": only(against)})
     conflict = (F.size("_against") > 0) & (k > 0)
-    joined = F.array_join("_genes", ",")
+    joined = F.array_join("_genes2", ",")
     values = {
         "gene_type": joined,
         "match_source": F.when(k > 0, "recheck_mode").otherwise(""),
         "original_match": joined,
         "has_conflict": conflict,
         "conflict_reason": F.when(conflict, F.array_join("_against", "; ")).otherwise(""),
-        "assignment_reason": F.array_join("_notes", "; "),
+        "assignment_reason": F.array_join("_notes2", "; "),
     }
-    return _with_diagnostics(df, values, own, rules)
+    return df, values
+
+
+def round_one(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The first round with its conflict check: diagnostics before the record's own columns."""
+    looked, values = _first_look(prepared(df, rules), rules)
+    return _with_diagnostics(looked, values, df.columns, rules)
+
+
+def round_two(df: DataFrame, rules: Rules = Rules(), filter_length: bool = True) -> DataFrame:
+    """The second look at records that the first round left without a marker."""
+    looked, values = _second_look(prepared(df.where(_second_range(rules)) if filter_length else df, rules), rules)
+    return _with_diagnostics(looked, values, df.columns, rules)
 
 
 def first_round(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -328,14 +342,21 @@ def conflicting(classified: DataFrame) -> DataFrame:
     return classified.where("has_conflict")
 
 
-def classify(df: DataFrame, rules: Rules = Rules(), recheck: bool = True) -> DataFrame:
-    """Both rounds: the records with a marker, those of the second round after leftovers were looked at again."""
-    one = first_round(df, rules)
+def classify(df: DataFrame, rules: Rules = Rules(), recheck: bool = True, filter_length: bool = True) -> DataFrame:
+    """Both rounds: the records with a marker, those of the second round after leftovers were looked at again.
+
+    Both looks are expressions over the same prepared row, so records are read and brought together once.
+    """
     if not recheck:
-        return matched(one)
-    own = [c for c in df.columns if c not in DIAGNOSTICS]
-    two = round_two(unmatched(one).select(*own), rules)
-    return matched(one).unionByName(matched(two), allowMissingColumns=True)
+        return matched(first_round(df, rules))
+    rows = keep_first(overall_length(df, rules), rules.locus, rules.order)
+    looked, first = _first_look(prepared(rows, rules), rules)
+    looked = computed(looked, {"_one": F.struct(*[c.alias(n) for n, c in first.items()])})
+    left = F.col("_one.gene_type") == ""
+    looked, second = _second_look(looked, rules, left & F.coalesce(_second_range(rules), F.lit(False)) if filter_length else left)
+    values = {n: F.when(left, second[n]).otherwise(F.col("_one")[n]) for n in DIAGNOSTICS}
+    looked = computed(looked, {"_both": F.struct(*[c.alias(n) for n, c in values.items()])}).where("_both.gene_type != ''")
+    return _with_diagnostics(looked, {n: F.col("_both")[n] for n in DIAGNOSTICS}, df.columns, rules)
 
 
 def category(definition: Column) -> Column:

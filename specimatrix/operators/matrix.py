@@ -19,7 +19,11 @@ MODES = ("first_nonempty", "all", "per_gene", "advanced")
 
 @dataclass(frozen=True)
 class MatrixRules:
-    """Parameters; ``order`` is the unique column that tells which record comes first."""
+    """Parameters; ``order`` is the unique column that tells which record comes first.
+
+    Records without a key are one group, UNKNOWN, whose cells grow with their number; with ``separate_unknown`` each is a
+    row of its own, ``UNKNOWN`` and its order, so that no cell grows with the data.
+    """
 
     group: str = "species_voucher_new"
     organism: str = "organism"
@@ -32,6 +36,8 @@ class MatrixRules:
     tail: tuple[str, ...] = ("taxonid",)
     extra: tuple[str, ...] = ()
     prefer_reference: bool = False
+    reference: str = "NC_"  # how preferred loci begin
+    separate_unknown: bool = False
     spread_cluster: bool = True
     spread_genome: bool = True
     includes: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"18-28s": ("18s", "28s", "its1-its2")})
@@ -44,7 +50,8 @@ class MatrixRules:
 
 
 def group_key(rules: MatrixRules) -> Column:
-    return F.coalesce(F.col(rules.group), F.lit("UNKNOWN"))
+    unknown = F.concat(F.lit("UNKNOWN "), F.col(rules.order).cast("string")) if rules.separate_unknown else F.lit("UNKNOWN")
+    return F.coalesce(F.col(rules.group), unknown)
 
 
 def gene_of(text: Column) -> Column:
@@ -68,7 +75,7 @@ def locus_lists(df: DataFrame, rules: MatrixRules) -> DataFrame:
     col = {g: F.col(f"g{i}") for i, g in enumerate(rules.genes)}
     if rules.prefer_reference and "mtgenome" in col:
         ids = col["mtgenome"]
-        reference = F.filter(ids, lambda x: F.upper(x).startswith("NC_"))
+        reference = F.filter(ids, lambda x: F.upper(x).startswith(rules.reference))
         col["mtgenome"] = F.when((F.size(ids) > 1) & (F.size(reference) > 0), reference).otherwise(ids)
     for parent, on in (("18-28s", rules.spread_cluster), ("mtgenome", rules.spread_genome)):
         if on and parent in col:

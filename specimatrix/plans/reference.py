@@ -75,10 +75,11 @@ def q_phrase_join(spark, base):
     return phrase_join(_final(spark, base), as_table(spark, DICTIONARY))
 
 
-@query("SELECT row_id, CASE WHEN regexp_matches(pcr_primers, '(?i)fwd_name:\\s*\\w+-F') THEN 'forward' ELSE 'other' END AS primer FROM final WHERE pcr_primers IS NOT NULL AND trim(pcr_primers) <> ''")
+@query("SELECT row_id, CASE WHEN regexp_matches(pcr_primers, '(?i)(fwd|rev)_name:\\s*(ZvCO-|SetH-)') THEN 'named' ELSE 'other' END AS primer, regexp_matches(pcr_primers, '(?i)(fwd|rev)_name:\\s*28SC1') AS is_28s FROM final WHERE pcr_primers IS NOT NULL")
 def q_primer_match(spark, base):
-    named = F.col("pcr_primers").rlike(r"(?i)fwd_name:\s*\w+-F")
-    return _final(spark, base).where("trim(pcr_primers) != ''").select("row_id", F.when(named, "forward").otherwise("other").alias("primer"))
+    """The predicate of the second round, with primers that these tables have."""
+    named = C.names_primer(F.col("pcr_primers"), "ZvCO-|SetH-")
+    return _final(spark, base).where("pcr_primers is not null").select("row_id", F.when(named, "named").otherwise("other").alias("primer"), C.names_primer(F.col("pcr_primers"), "28SC1").alias("is_28s"))
 
 
 # Classification
@@ -111,11 +112,7 @@ def q_multi_match(spark, base):
 
 @query(f"{_ALL} SELECT DISTINCT gene_type, conflict_reason FROM al WHERE has_conflict")
 def q_conflict_union(spark, base):
-    one = C.first_round(_final(spark, base))
-    own = [c for c in one.columns if c not in C.DIAGNOSTICS]
-    two = C.round_two(C.unmatched(one).select(*own))
-    cols = ["gene_type", "conflict_reason"]
-    return C.conflicting(one).select(*cols).unionByName(C.conflicting(two).select(*cols)).distinct()
+    return C.conflicting(C.classify(_final(spark, base))).select("gene_type", "conflict_reason").distinct()
 
 
 @query("SELECT locusid, min(row_id) AS row_id FROM final GROUP BY locusid")
@@ -182,8 +179,9 @@ def q_gene_list(spark, base):
 
 
 def _sanitized(c: str) -> str:
-    """SQL of the cleaning for texts that compatibility forms leave alone."""
-    gone = f"replace(replace(replace(replace(trim({c}), '''', ''), '\"', ''), '(', ''), ')', '')"
+    """SQL of the cleaning, with those compatibility forms that these tables have."""
+    plain = f"translate({c}, '\uff1a\u00a0\u3000', ':  ')"
+    gone = f"replace(replace(replace(replace(trim({plain}), '''', ''), '\"', ''), '(', ''), ')', '')"
     return f"trim(regexp_replace(regexp_replace(replace({gone}, ' ', '_'), '[<>:./\\\\|?*]+', '_', 'g'), '_+', '_', 'g'), '_')"
 
 
@@ -192,21 +190,27 @@ def q_sanitize(spark, base):
     return _final(spark, base).select("row_id", K.sanitize(F.col("organism")).alias("organism_key"), K.sanitize(F.col("definition")).alias("definition_key"))
 
 
-_ASCII = "coalesce(specimen_voucher, isolate, culture_collection, clone_name, strain, accession)"
+_FIRST_ID = "coalesce(specimen_voucher, isolate, culture_collection, clone_name, strain, accession)"
+_KEY_FORMS = {
+    "species_name+pse": f"concat_ws('_', nullif({_sanitized('organism')}, ''), nullif({_sanitized(_FIRST_ID)}, ''))",
+    "pse+species_name": f"concat_ws('_', nullif({_sanitized(_FIRST_ID)}, ''), nullif({_sanitized('organism')}, ''))",
+    "pse_only": f"coalesce({_sanitized(_FIRST_ID)}, '')",
+}
 
 
-@query(f"SELECT row_id, {_ASCII} AS species_voucher_pse, CASE WHEN {_sanitized(_ASCII)} = '' THEN {_sanitized('organism')} ELSE {_sanitized('organism')} || '_' || {_sanitized(_ASCII)} END AS species_voucher_new FROM final WHERE NOT regexp_matches({_ASCII}, '[^ -~]')")
+@query(f"SELECT row_id, {_FIRST_ID} AS species_voucher_pse, {_KEY_FORMS['species_name+pse']} AS species_voucher_new FROM final")
 def q_coalesce_voucher(spark, base):
-    """The rows of ``q_coalesce_voucher_all`` with an identifier in ASCII: SQL has no compatibility forms."""
-    return q_coalesce_voucher_all(spark, base).where(F.col("species_voucher_pse").rlike(r"^[ -~]*$"))
-
-
-@query()
-def q_coalesce_voucher_all(spark, base):
     """Over all rows, in any script."""
     return K.voucher_columns(_final(spark, base)).select("row_id", "species_voucher_pse", "species_voucher_new")
 
 
+@query(f"SELECT row_id, {_KEY_FORMS['pse+species_name']} AS after_identifier, {_KEY_FORMS['pse_only']} AS identifier_only FROM final")
+def q_voucher_modes(spark, base):
+    """The two other ways to combine species and identifier."""
+    rows = K.voucher_columns(_final(spark, base), K.VoucherRules(combine="pse+species_name", name="after_identifier"))
+    return K.voucher_columns(rows.drop("filled_from"), K.VoucherRules(combine="pse_only", name="identifier_only")).select("row_id", "after_identifier", "identifier_only")
+
+
 @query("SELECT count(*) FILTER (s = 1) AS from_priority, CAST(0 AS BIGINT) AS from_haplotype, count(*) FILTER (s = 2) AS from_fallback, count(*) FILTER (s = 0) AS still_empty, CAST(0 AS BIGINT) AS empty_keys FROM (SELECT CASE WHEN coalesce(specimen_voucher, isolate, culture_collection, clone_name, strain) IS NOT NULL THEN 1 WHEN accession IS NOT NULL THEN 2 ELSE 0 END AS s FROM final)")
 def q_voucher_fill(spark, base):
     return K.fill_report(K.voucher_columns(_final(spark, base)))
@@ -295,6 +299,12 @@ def q_matrix(spark, base):
     return M.matrix(_vouchers(spark, base))
 
 
+@query(f"{_matrix_sql(True, prefer=True)} SELECT h.k AS species_voucher_new, h.organism, {_CELLS} FROM h LEFT JOIN c USING (k)")
+def q_matrix_prefer(spark, base):
+    """Of several genomes of a specimen those whose locus begins in a given way; these tables' loci have no NC_."""
+    return M.matrix(_vouchers(spark, base), M.MatrixRules(metadata=(), tail=(), prefer_reference=True, reference="ZY0000"))
+
+
 @query(f"{_matrix_sql(False)} SELECT h.k AS species_voucher_new, h.organism, {_CELLS} FROM h LEFT JOIN c USING (k)")
 def q_matrix_plain(spark, base):
     rules = M.MatrixRules(metadata=(), tail=(), spread_cluster=False, spread_genome=False)
@@ -324,55 +334,41 @@ t AS (SELECT k, c, CASE WHEN max(vals) = 1 THEN max(v) ELSE string_agg(CASE WHEN
 SELECT kk.k AS species_voucher_new, {', '.join(f"coalesce(replace(max(t) FILTER (c = {R.quoted(c)}), {R.quoted(unlinked or '~~~')}, ''), '') AS {c}" for c in columns)} FROM (SELECT DISTINCT {_KEYS} AS k FROM updated_species_voucher) kk LEFT JOIN t USING (k) GROUP BY kk.k"""
 
 
-_PG = ("country", "collection_date")
-_PAIRS = " UNION ALL ".join(f"SELECT k, g, {R.quoted(c)} AS c, trim({c}) AS v FROM gm WHERE trim({c}) <> ''" for c in _PG)
-
-
-@query(_labelled_sql(f"WITH gm AS (SELECT {_KEYS} AS k, country, collection_date, unnest(list_distinct(list_transform(string_split(gene_type, ','), lambda x: regexp_replace(trim(x), '[#?]+$', '')))) AS g FROM updated_species_voucher WHERE gene_type IS NOT NULL), p AS (SELECT * FROM ({_PAIRS}) WHERE g IN ({', '.join(map(R.quoted, MARKERS))}))", _PG))
-def q_meta_per_gene(spark, base):
-    rules = M.MatrixRules(mode="per_gene", metadata=_PG, tail=())
-    return M.matrix(_vouchers(spark, base), rules).select("species_voucher_new", *_PG)
-
-
 _DEFAULT = M.MatrixRules().metadata
-_ALLPAIRS = " UNION ALL ".join(f"SELECT k, g, {R.quoted(c)} AS c, trim({c}) AS v FROM gm WHERE trim({c}) <> ''" for c in _DEFAULT)
+_OF = lambda table, columns, more="": " UNION ALL ".join(f"SELECT k, {more}{R.quoted(c)} AS c, trim({c}) AS v FROM {table} WHERE trim({c}) <> ''" for c in columns)
 
 
-@query(_labelled_sql(f"WITH gm AS (SELECT {_KEYS} AS k, {', '.join(_DEFAULT)}, unnest(list_distinct(list_transform(string_split(gene_type, ','), lambda x: regexp_replace(trim(x), '[#?]+$', '')))) AS g FROM updated_species_voucher WHERE gene_type IS NOT NULL), p AS (SELECT * FROM ({_ALLPAIRS}) WHERE g IN ({', '.join(map(R.quoted, MARKERS))}))", _DEFAULT))
-def q_meta_per_gene_all(spark, base):
+@query(_labelled_sql(f"WITH gm AS (SELECT {_KEYS} AS k, {', '.join(_DEFAULT)}, unnest(list_distinct(list_transform(string_split(gene_type, ','), lambda x: regexp_replace(trim(x), '[#?]+$', '')))) AS g FROM updated_species_voucher WHERE gene_type IS NOT NULL), p AS (SELECT * FROM ({_OF('gm', _DEFAULT, 'g, ')}) WHERE g IN ({', '.join(map(R.quoted, MARKERS))}))", _DEFAULT))
+def q_meta_per_gene(spark, base):
     """Over all metadata columns of the matrix."""
     return M.matrix(_vouchers(spark, base), M.MatrixRules(mode="per_gene")).select("species_voucher_new", *_DEFAULT)
 
 
 @query(
     _labelled_sql(
-        f"""{_matrix_sql(True)}, tx AS (SELECT DISTINCT {_KEYS} AS k, trim(locusid) AS l, 'country' AS c, trim(country) AS v FROM updated_species_voucher WHERE trim(country) <> '' AND trim(locusid) <> '' UNION SELECT DISTINCT {_KEYS}, trim(locusid), 'taxonid', trim(taxonid) FROM updated_species_voucher WHERE trim(taxonid) <> '' AND trim(locusid) <> ''),
+        f"""{_matrix_sql(True)}, uu AS (SELECT {_KEYS} AS k, trim(locusid) AS l, row_id, {', '.join(_DEFAULT)} FROM updated_species_voucher WHERE trim(locusid) <> ''),
+fv AS (SELECT k, l, c, v, min(row_id) AS o FROM ({_OF('uu', _DEFAULT, 'l, row_id, ')}) GROUP BY k, l, c, v),
+jv AS (SELECT k, l, c, list_reduce(list(v ORDER BY o), lambda acc, x: CASE WHEN contains(acc, x) THEN acc ELSE acc || ';' || x END) AS t FROM fv GROUP BY k, l, c),
+tx AS (SELECT DISTINCT k, l, c, v FROM (SELECT k, l, c, trim(unnest(string_split(t, ';'))) AS v FROM jv) WHERE v <> ''),
 p AS (SELECT tx.k, coalesce(x.g, '_unlinked') AS g, c, v FROM tx LEFT JOIN x ON tx.k = x.k AND tx.l = x.l)""",
-        ("country", "taxonid"),
+        _DEFAULT,
         "_unlinked:",
     )
 )
 def q_meta_advanced(spark, base):
-    rules = M.MatrixRules(mode="advanced", metadata=("country", "taxonid"), tail=())
-    return M.matrix(_vouchers(spark, base), rules).select("species_voucher_new", "country", "taxonid")
-
-
-@query()
-def q_meta_advanced_all(spark, base):
-    """Over all metadata columns of the matrix and its tail."""
-    rules = M.MatrixRules(mode="advanced")
-    return M.matrix(_vouchers(spark, base), rules).select("species_voucher_new", *rules.metadata, *rules.tail)
+    """Over all metadata columns of the matrix."""
+    return M.matrix(_vouchers(spark, base), M.MatrixRules(mode="advanced")).select("species_voucher_new", *_DEFAULT)
 
 
 # Enrichment
 
-_LIT = "lit AS (SELECT row_id, accession, country, geo_loc_name AS state, altitude AS municipality, host AS locality, CAST(row_id % 90 AS VARCHAR) AS n, CAST((row_id % 360) - 180 AS VARCHAR) AS e, collection_date AS coll_date, collected_by AS leg, specimen_voucher AS voucher, note AS habitat FROM final WHERE accession IS NOT NULL)"
+_LIT = "lit AS (SELECT row_id, accession, country, geo_loc_name AS state, altitude AS municipality, host AS locality, CAST(row_id % 90 AS VARCHAR) AS n, CAST((row_id % 360) - 180 AS VARCHAR) AS e, coalesce(collection_date, record_date) AS coll_date, collected_by AS leg, coalesce(specimen_voucher, culture_collection, strain, accession) AS voucher, note AS habitat FROM final WHERE accession IS NOT NULL)"
 
 
-def _literature(spark, base, coll_date="collection_date", voucher="specimen_voucher"):
+def _literature(spark, base):
     """A literature sheet made of the records: their own texts under a sheet's names, and coordinates by rule."""
     f = _final(spark, base).where("accession is not null")
-    return f.select("row_id", "accession", "country", F.col("geo_loc_name").alias("state"), F.col("altitude").alias("municipality"), F.col("host").alias("locality"), (F.col("row_id") % 90).cast("string").alias("n"), ((F.col("row_id") % 360) - 180).cast("string").alias("e"), F.expr(coll_date).alias("coll_date"), F.col("collected_by").alias("leg"), F.expr(voucher).alias("voucher"), F.col("note").alias("habitat"))
+    return f.select("row_id", "accession", "country", F.col("geo_loc_name").alias("state"), F.col("altitude").alias("municipality"), F.col("host").alias("locality"), (F.col("row_id") % 90).cast("string").alias("n"), ((F.col("row_id") % 360) - 180).cast("string").alias("e"), F.coalesce("collection_date", "record_date").alias("coll_date"), F.col("collected_by").alias("leg"), F.coalesce("specimen_voucher", "culture_collection", "strain", "accession").alias("voucher"), F.col("note").alias("habitat"))
 
 
 @query("WITH o AS (SELECT accession, arg_min(country, row_id) AS c, arg_min(collection_date, row_id) AS d FROM final WHERE country IS NOT NULL OR collection_date IS NOT NULL GROUP BY 1) SELECT v.row_id, CASE WHEN coalesce(trim(v.country), '') IN ('', 'nan') THEN CASE WHEN coalesce(trim(c), '') IN ('', 'nan') THEN '' ELSE trim(c) END ELSE v.country END AS country, CASE WHEN coalesce(trim(v.collection_date), '') IN ('', 'nan') THEN CASE WHEN coalesce(trim(d), '') IN ('', 'nan') THEN '' ELSE trim(d) END ELSE v.collection_date END AS collection_date FROM updated_species_voucher v LEFT JOIN o USING (accession)")
@@ -401,58 +397,44 @@ def q_unpivot(spark, base):
 _T = lambda c: f"CASE WHEN coalesce(trim({c}), '') = 'nan' THEN '' ELSE coalesce(trim({c}), '') END"
 
 
+_FULL = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_NAMED = lambda w: f"CASE {' '.join(f'WHEN rtrim(lower({w}), {R.quoted(chr(46))}) IN ({R.quoted(m[:3])}, {R.quoted(m)}{chr(44) + R.quoted(m[:4]) if m == _FULL[8] else str()}) THEN {R.quoted(m[:3].title())}' for m in _FULL)} ELSE upper(({w})[1]) || rtrim(lower(({w})[2:]), '.') END"
+_FORMS = (r"(\d{1,2})\s+(\w+\.?)\s+(\d{4})", r"(\d{1,2})-\d{1,2}\s+(\w+\.?)\s+(\d{4})")
+
+
+def _date_sql(t: str) -> str:
+    days = " ".join(f"WHEN regexp_full_match({t}, '{p}') THEN lpad(regexp_extract({t}, '{p}', 1), 2, '0') || '-' || {_NAMED(f'regexp_extract({t}, {R.quoted(p)}, 2)')} || '-' || right({t}, 4)" for p in _FORMS)
+    return rf"CASE WHEN {t} IN ('', 'nan') THEN '' WHEN regexp_full_match({t}, '\w{{3}}(-\w{{3}})?\s+\d{{4}}') THEN {_NAMED(f'({t})[1:3]')} || '-' || right({t}, 4) {days} ELSE {t} END"
+
+
+_BLANK = r"[\s\pZ\x{1c}-\x{1f}\x{85}]"
+
+
+def _voucher_sql(c: str) -> str:
+    t = f"regexp_replace(regexp_replace(coalesce({c}, ''), '^{_BLANK}+|{_BLANK}+$', '', 'g'), '(?i){_BLANK}+(Holotype|Paratype)$', '')"
+    return rf"CASE WHEN {t} IN ('', 'nan') OR lower({t}) = 'no voucher' THEN '' WHEN contains({t}, ':') THEN {t} ELSE regexp_replace({t}, '^(\pL+){_BLANK}+', '\1:') END"
+
+
 UPDATE_SQL = f"""WITH {_LIT}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY row_id DESC) AS rn FROM lit) WHERE rn = 1),
-g AS (SELECT accession, geo_loc_name AS geo, lat_lon AS ll, collected_by AS cb, note AS iso FROM (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY row_id DESC) AS rn FROM final WHERE accession IS NOT NULL) WHERE rn = 1),
+g AS (SELECT accession, geo_loc_name AS geo, lat_lon AS ll, collected_by AS cb, note AS iso, collection_date AS cd, specimen_voucher AS sv, isolate AS il FROM (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY row_id DESC) AS rn FROM final WHERE accession IS NOT NULL) WHERE rn = 1),
 u AS (SELECT accession, CASE WHEN {_T('geo')} = '' THEN CASE WHEN concat_ws(', ', nullif({_T('state')}, ''), nullif({_T('municipality')}, ''), nullif({_T('locality')}, '')) <> '' THEN {_T('l.country')} || ': ' || concat_ws(', ', nullif({_T('state')}, ''), nullif({_T('municipality')}, ''), nullif({_T('locality')}, '')) ELSE {_T('l.country')} END ELSE '' END AS geo_loc_name,
 CASE WHEN {_T('ll')} = '' THEN printf('%.4f %s %.4f %s', abs(CAST(n AS DOUBLE)), CASE WHEN CAST(n AS DOUBLE) >= 0 THEN 'N' ELSE 'S' END, abs(CAST(e AS DOUBLE)), CASE WHEN CAST(e AS DOUBLE) >= 0 THEN 'E' ELSE 'W' END) ELSE '' END AS lat_lon,
-CASE WHEN {_T('cb')} = '' THEN {_T('leg')} ELSE '' END AS collected_by, CASE WHEN {_T('iso')} = '' THEN {_T('habitat')} ELSE '' END AS isolation_source FROM l JOIN g USING (accession))
-SELECT accession, geo_loc_name, lat_lon, collected_by, isolation_source FROM u WHERE geo_loc_name || lat_lon || collected_by || isolation_source <> ''"""
+CASE WHEN {_T('cd')} = '' THEN {_date_sql("coalesce(trim(coll_date), '')")} ELSE '' END AS collection_date, CASE WHEN {_T('cb')} = '' THEN {_T('leg')} ELSE '' END AS collected_by,
+CASE WHEN {_T('sv')} = '' AND {_T('il')} = '' THEN {_voucher_sql('voucher')} ELSE '' END AS specimen_voucher, CASE WHEN {_T('iso')} = '' THEN {_T('habitat')} ELSE '' END AS isolation_source FROM l JOIN g USING (accession))
+SELECT * FROM u WHERE geo_loc_name || lat_lon || collection_date || collected_by || specimen_voucher || isolation_source <> ''"""
 
 
 @query(UPDATE_SQL)
 def q_update_table(spark, base):
-    records = _final(spark, base).withColumn("isolation_source", F.col("note"))
-    literature = _literature(spark, base).withColumns({"coll_date": F.lit(""), "voucher": F.lit("")})
-    return E.update_rows(literature, records, "row_id").select("accession", "geo_loc_name", "lat_lon", "collected_by", "isolation_source")
-
-
-@query()
-def q_update_table_all(spark, base):
     """All six fields; where the sheet has no date or voucher, the record's date and its collection or accession stand in."""
     records = _final(spark, base).withColumn("isolation_source", F.col("note"))
-    return E.update_rows(_literature(spark, base, "coalesce(collection_date, record_date)", "coalesce(specimen_voucher, culture_collection, strain, accession)"), records, "row_id")
+    return E.update_rows(_literature(spark, base), records, "row_id")
 
 
-@query(
-    r"""SELECT row_id, CASE WHEN t IN ('', 'nan') THEN '' WHEN regexp_matches(t, '^\d{4}$') OR regexp_matches(t, '^\d{1,2}-\w{3}-\d{4}$') THEN t
- WHEN regexp_matches(t, '^\w{3}\s+\d{4}$') THEN upper(t[1]) || lower(t[2:3]) || '-' || t[-4:]
- WHEN regexp_matches(t, '^\d{1,2}\s+\w{3}\.?\s+\d{4}$') THEN lpad(regexp_extract(t, '^\d+'), 2, '0') || '-' || upper(regexp_extract(t, '\s(\w)', 1)) || lower(regexp_extract(t, '\s\w(\w\w)', 1)) || '-' || t[-4:]
- WHEN regexp_matches(t, '^\d{1,2}-\d{1,2}\s+\w{3}\s+\d{4}$') THEN lpad(regexp_extract(t, '^\d+'), 2, '0') || '-' || regexp_extract(t, '\s(\w{3})', 1) || '-' || t[-4:]
- WHEN regexp_matches(t, '^\w{3}-\w{3}\s+\d{4}$') THEN upper(t[1]) || lower(t[2:3]) || '-' || t[-4:] ELSE t END AS d
-FROM (SELECT row_id, coalesce(trim(collection_date), '') AS t FROM final WHERE NOT regexp_matches(coalesce(collection_date, ''), '[A-Za-z]{4}|\b[ivxIVX]+\b'))"""
-)
+@query(f"SELECT row_id, {_date_sql('t')} AS d FROM (SELECT row_id, coalesce(trim(collection_date), '') AS t FROM final)")
 def q_date_format(spark, base):
-    """Over months of three letters, as in this SQL; ``q_date_format_all`` covers full names, numerals and other words."""
-    return _date_forms(_final(spark, base).where(~F.coalesce(F.col("collection_date"), F.lit("")).rlike(r"[A-Za-z]{4}|\b[ivxIVX]+\b")))
-
-
-_FULL = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-_NAMED = lambda w: f"CASE {' '.join(f'WHEN rtrim(lower({w}), {R.quoted(chr(46))}) IN ({R.quoted(m[:3])}, {R.quoted(m)}{chr(44) + R.quoted(m[:4]) if m == _FULL[8] else str()}) THEN {R.quoted(m[:3].title())}' for m in _FULL)} ELSE upper(({w})[1]) || rtrim(lower(({w})[2:]), '.') END"
-_FORMS = (r"(\d{1,2})\s+(\w+\.?)\s+(\d{4})", r"(\d{1,2})-\d{1,2}\s+(\w+\.?)\s+(\d{4})")
-_DAYS = " ".join(f"WHEN regexp_full_match(t, '{p}') THEN lpad(regexp_extract(t, '{p}', 1), 2, '0') || '-' || {_NAMED(f'regexp_extract(t, {R.quoted(p)}, 2)')} || '-' || right(t, 4)" for p in _FORMS)
-
-
-@query(
-    rf"""SELECT row_id, CASE WHEN t IN ('', 'nan') THEN '' WHEN regexp_full_match(t, '\w{{3}}(-\w{{3}})?\s+\d{{4}}') THEN {_NAMED('t[1:3]')} || '-' || right(t, 4) {_DAYS} ELSE t END AS d
-FROM (SELECT row_id, coalesce(trim(collection_date), '') AS t FROM final)"""
-)
-def q_date_format_all(spark, base):
     """Over all rows, whatever words the dates have."""
-    return _date_forms(_final(spark, base))
-
-
-def _date_forms(rows):
-    return rows.select("row_id", E.submission_date(F.col("collection_date")).alias("d"))
+    return _final(spark, base).select("row_id", E.submission_date(F.col("collection_date")).alias("d"))
 
 
 @query(f"SELECT row_id, CASE WHEN concat_ws(', ', nullif({_T('host')}, ''), nullif({_T('altitude')}, '')) <> '' THEN {_T('country')} || ': ' || concat_ws(', ', nullif({_T('host')}, ''), nullif({_T('altitude')}, '')) ELSE {_T('country')} END AS place FROM final")
@@ -460,30 +442,21 @@ def q_geo_format(spark, base):
     return _final(spark, base).select("row_id", E.geo_name(F.col("country"), F.col("host"), F.col("altitude")).alias("place"))
 
 
-@query("SELECT s_suppkey, printf('%.4f %s %.4f %s', abs(s_acctbal / 100), CASE WHEN s_acctbal >= 0 THEN 'N' ELSE 'S' END, abs(s_nationkey - 12.0), CASE WHEN s_nationkey - 12.0 >= 0 THEN 'E' ELSE 'W' END) AS position FROM supplier")
-def q_lat_lon_format(spark, base):
-    s = table(spark, base, "supplier")
-    return s.select("s_suppkey", E.lat_lon(F.col("s_acctbal") / 100, F.col("s_nationkey") - 12.0).alias("position"))
-
+_PAIR = r"^\s*(-?\d+(?:\.\d+)?)\s*[,;]\s*(-?\d+(?:\.\d+)?)\s*$"
 
-@query(r"""SELECT row_id, CASE WHEN t IN ('', 'nan') OR lower(t) = 'no voucher' THEN '' WHEN t LIKE '%:%' THEN t WHEN regexp_matches(t, '^[A-Za-z]+ +[^ ]') THEN regexp_replace(t, '^([A-Za-z]+) +', '\1:') ELSE t END AS voucher FROM (SELECT row_id, coalesce(trim(specimen_voucher), '') AS t FROM final WHERE NOT regexp_matches(coalesce(specimen_voucher, ''), '[^ -~]'))""")
-def q_voucher_format(spark, base):
-    """Over vouchers in ASCII, as this SQL knows no other letters and blanks; ``q_voucher_format_all`` covers all."""
-    return _voucher_forms(_final(spark, base).where(F.coalesce(F.col("specimen_voucher"), F.lit("")).rlike(r"^[ -~]*$")))
 
-
-_BLANK = r"[\s\pZ\x{1c}-\x{1f}\x{85}]"
+@query(rf"""WITH a AS (SELECT row_id, TRY_CAST(regexp_extract(lat_lon, '{_PAIR}', 1) AS DOUBLE) AS n, TRY_CAST(regexp_extract(lat_lon, '{_PAIR}', 2) AS DOUBLE) AS e FROM final)
+SELECT row_id, coalesce(CASE WHEN n IS NOT NULL AND e IS NOT NULL THEN printf('%.4f %s %.4f %s', abs(n), CASE WHEN n >= 0 THEN 'N' ELSE 'S' END, abs(e), CASE WHEN e >= 0 THEN 'E' ELSE 'W' END) END, '') AS position FROM a""")
+def q_lat_lon_format(spark, base):
+    """The records' positions; those not written as two numbers have no form."""
+    part = lambda i: F.regexp_extract(F.coalesce("lat_lon", F.lit("")), _PAIR, i)
+    return _final(spark, base).select("row_id", E.lat_lon(part(1), part(2)).alias("position"))
 
 
-@query(rf"""SELECT row_id, CASE WHEN t IN ('', 'nan') OR lower(t) = 'no voucher' THEN '' WHEN contains(t, ':') THEN t ELSE regexp_replace(t, '^(\pL+){_BLANK}+', '\1:') END AS voucher
-FROM (SELECT row_id, regexp_replace(regexp_replace(coalesce(specimen_voucher, ''), '^{_BLANK}+|{_BLANK}+$', '', 'g'), '(?i){_BLANK}+(Holotype|Paratype)$', '') AS t FROM final)""")
-def q_voucher_format_all(spark, base):
+@query(f"SELECT row_id, {_voucher_sql('specimen_voucher')} AS voucher FROM final")
+def q_voucher_format(spark, base):
     """Over all rows, in any script."""
-    return _voucher_forms(_final(spark, base))
-
-
-def _voucher_forms(rows):
-    return rows.select("row_id", E.submission_voucher(F.col("specimen_voucher")).alias("voucher"))
+    return _final(spark, base).select("row_id", E.submission_voucher(F.col("specimen_voucher")).alias("voucher"))
 
 
 # Validation
@@ -532,6 +505,30 @@ def q_fuzzy_match(spark, base):
     return V.match_species(names, t.select("organism"))
 
 
+@query(
+    """WITH p AS (SELECT DISTINCT organism, split_part(lower(organism), ' ', 1) AS g, split_part(lower(organism), ' ', 2) AS e FROM taxonomy WHERE organism IS NOT NULL),
+n AS (SELECT DISTINCT 'Olda' || g || ' ' || e AS name, lower('Olda' || g || ' ' || e) AS key, 'olda' || g AS og, e, g FROM p WHERE e <> ''),
+o AS (SELECT DISTINCT organism, lower(organism) AS ok FROM taxonomy), pre AS (SELECT *, split_part(ok, ' ', 1) || ' ' || substring(split_part(ok, ' ', 2), 1, 4) AS op FROM o),
+h AS (SELECT name, 2 AS r, organism, 'remap' AS m FROM n JOIN pre ON g || ' ' || e = ok UNION ALL SELECT name, 3, organism, 'remap' FROM n JOIN pre ON g || ' ' || substring(e, 1, 4) = op),
+b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY r, organism) AS rn FROM h) SELECT n.name, b.organism, coalesce(m, 'none') AS method FROM (SELECT DISTINCT name FROM n) n LEFT JOIN b ON n.name = b.name AND rn = 1"""
+)
+def q_species_remap(spark, base):
+    """Species under an older genus, found by a table of genera that were renamed."""
+    p = F.split(F.lower("organism"), " ")
+    old = table(spark, base, "taxonomy").where("organism is not null").select(p[0].alias("g"), F.get(p, F.lit(1)).alias("epithet")).where("epithet is not null and epithet != ''").distinct()
+    names = old.select(F.concat(F.lit("Olda"), "g", F.lit(" "), "epithet").alias("name"))
+    remap = old.select(F.concat(F.lit("olda"), "g").alias("genus"), "epithet", F.col("g").alias("new_genus"))
+    return V.match_species(names, table(spark, base, "taxonomy").select("organism"), remap)
+
+
+@query("SELECT row_id, coalesce(len(list_filter(list_transform(string_split(coalesce(locusid, '') || ';' || coalesce(accession, ''), ';'), lambda x: trim(x)), lambda x: x = split_part(locusid, '.', 1) OR starts_with(x, split_part(locusid, '.', 1) || '.'))) > 0, false) AS there FROM updated_species_voucher")
+def q_accession_cells(spark, base):
+    """Whether a cell of two ids holds an accession, with or without its version."""
+    cell = F.concat_ws(";", F.coalesce("locusid", F.lit("")), F.coalesce("accession", F.lit("")))
+    there = V.accession_in(cell, F.substring_index("locusid", ".", 1))
+    return _vouchers(spark, base).select("row_id", F.coalesce(there, F.lit(False)).alias("there"))
+
+
 @query("WITH w AS (SELECT DISTINCT accession FROM assembly WHERE accession IS NOT NULL), r AS (SELECT upper(trim(locusid)) AS id, organism FROM final WHERE locusid IS NOT NULL UNION SELECT upper(trim(accession)), organism FROM final WHERE accession IS NOT NULL), c AS (SELECT accession, 0 AS k, upper(trim(accession)) AS id FROM w UNION ALL SELECT accession, 1, split_part(upper(trim(accession)), '.', 1) FROM w UNION ALL SELECT accession, 2, split_part(upper(trim(accession)), '.', 1) || '.1' FROM w), b AS (SELECT accession, organism, row_number() OVER (PARTITION BY accession ORDER BY k, organism NULLS FIRST) AS rn FROM c JOIN r USING (id)) SELECT w.accession, coalesce(b.organism, '') AS organism FROM w LEFT JOIN b ON w.accession = b.accession AND rn = 1")
 def q_accession_lookup(spark, base):
     return V.find_accessions(table(spark, base, "assembly").where("accession is not null"), _final(spark, base))
@@ -624,9 +621,32 @@ def q_flatfile_roundtrip(spark, base):
     return roundtrip(_final(spark, base))
 
 
-@query()
+@query(f"SELECT locusid, {_FLAT('ref1authors').replace('AS ref1', 'AS ')}, {_FLAT('ref1title').replace('AS ref1', 'AS ')}, {_FLAT('ref1journal').replace('AS ref1', 'AS ')} FROM final")
+def q_flatfile_references(spark, base):
+    """The first reference of records written as flat files and parsed again."""
+    from specimatrix.plans.roundtrip import references
+
+    return references(_final(spark, base))
+
+
+_ASM = "(assembly_method || assembly_name || sequencing_technology || genome_coverage || expected_final_version)"
+
+
+@query(
+    f"""WITH a AS (SELECT trim(accession) AS accession, {', '.join(map(_FLAT, _FIVE.split(', ')))} FROM assembly),
+o AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY {_FIVE}) AS rn FROM a)
+SELECT f.accession, {_FIVE}, CASE WHEN row_id % 2 = 0 THEN 'structured_comment' ELSE 'comment_text' END AS assembly_source FROM final f JOIN o ON f.accession = o.accession AND rn = 1 WHERE {_ASM} <> ''"""
+)
+def q_flatfile_assembly(spark, base):
+    """The assemblies of records written as flat files, as structured comments and as text, and found again."""
+    from specimatrix.plans.roundtrip import assembled
+
+    return assembled(_final(spark, base), table(spark, base, "assembly"))
+
+
+@query(f"WITH {R.first_round()} SELECT {DIAG} FROM r1")
 def q_stream_classify(spark, base):
-    """The same classification over a stream of table files, until all that is there has been read."""
+    """The first round over a stream of table files, until all that is there has been read; the SQL is that of the batch."""
     from specimatrix.streaming.folder import classify_available
 
     return classify_available(spark, f"{base}/final.parquet")

@@ -9,14 +9,35 @@ from pyspark.sql import functions as F
 
 from specimatrix.operators.classify import length_of
 from specimatrix.session import shared_dir
-from specimatrix.sources.flatfile import flat_view, parse_records, read_records, write_flat
+from specimatrix.sources.flatfile import ASSEMBLY_FIELDS, assemblies, flat_view, parse_records, read_records, write_flat
 
 
-def roundtrip(final: DataFrame) -> DataFrame:
-    """(locusid, accession, length, definition, organism, taxonid) of all records, written as flat files and parsed."""
+def parsed_again(final: DataFrame) -> DataFrame:
+    """All records, written as flat files and parsed."""
     spark = final.sparkSession
     path = f"{shared_dir(spark)}/specimatrix-scratch/{uuid.uuid4().hex}"
     write_flat(final.withColumn("n", F.coalesce(length_of(F.col("seq_length")), F.lit(0))), path)
-    parsed = parse_records(read_records(spark, path, r"\.txt$"))
-    flat = flat_view(parsed, extra=[])
+    return parse_records(read_records(spark, path, r"\.txt$"))
+
+
+def roundtrip(final: DataFrame) -> DataFrame:
+    """(locusid, accession, length, definition, organism, taxonid, isolate, specimen_voucher) of all records."""
+    flat = flat_view(parsed_again(final), extra=[])
     return flat.select(F.col("LocusID").alias("locusid"), F.col("ACCESSION").alias("accession"), F.col("Length").alias("length"), F.col("Definition").alias("definition"), F.col("organism"), F.col("TaxonID").alias("taxonid"), F.col("isolate"), F.col("specimen_voucher"))
+
+
+def references(final: DataFrame) -> DataFrame:
+    """(locusid, authors, title, journal) of the first reference of all records."""
+    flat = flat_view(parsed_again(final), extra=["Ref1Authors", "Ref1Title", "Ref1Journal"])
+    return flat.select(F.col("LocusID").alias("locusid"), *[F.col(f"Ref1{c.title()}").alias(c) for c in ("authors", "title", "journal")])
+
+
+def assembled(final: DataFrame, assembly: DataFrame) -> DataFrame:
+    """(accession, the assembly's fields, assembly_source) of all records whose accession has an assembly.
+
+    Of repeated assemblies the smallest is written; records in turn state theirs as structured comment and as text.
+    """
+    names = [f.lower().replace(" ", "_") for f in ASSEMBLY_FIELDS]
+    one = assembly.groupBy(F.trim("accession").alias("accession")).agg(F.min(F.struct(*[F.coalesce(n, F.lit("")).alias(n) for n in names])).alias("_a"))
+    rows = final.join(one, "accession", "left").select(final["*"], *[F.col("_a")[n].alias(f) for n, f in zip(names, ASSEMBLY_FIELDS)], (F.col("row_id") % 2 == 1).alias("as_text"))
+    return assemblies(parsed_again(rows)).select(F.col("ACCESSION").alias("accession"), *[F.col(f"`{f}`").alias(n) for f, n in zip(ASSEMBLY_FIELDS, names)], "assembly_source")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specimatrix.functions.text import python_title, squeeze
+from specimatrix.session import computed, fixed_rows
 
 PATTERN = r"(?i).*\.(gb|gbk|genbank|gbff)$"
 
@@ -137,20 +138,20 @@ def assemblies(parsed: DataFrame) -> DataFrame:
 
     A structured comment is looked at first, then the comment's text, then a raw block within it.
     """
-    sc = F.coalesce(*[F.try_element_at("structured_comment", F.lit(k)) for k in ASSEMBLY_KEYS])
+    rows = parsed.select(F.col("accession").alias("ACCESSION"), "comment", "structured_comment")
+    rows = computed(rows, {"_sc": F.coalesce(*[F.try_element_at("structured_comment", F.lit(k)) for k in ASSEMBLY_KEYS]), "_block": F.regexp_extract("comment", r"(?s)##Assembly-Data-START##(.*?)##Assembly-Data-END##", 1)})
     variants = lambda f: dict.fromkeys((f, f.replace(" ", "_"), *([f.replace(" ", "")] if f != "Expected Final Version" else [])))
-    told = lambda f: F.nullif(squeeze(F.coalesce(*[F.try_element_at(sc, F.lit(v)) for v in variants(f)])), F.lit(""))
-    block = F.regexp_extract("comment", r"(?s)##Assembly-Data-START##(.*?)##Assembly-Data-END##", 1)
-    ways = [("structured_comment", told), ("comment_text", lambda f: _flexible(F.col("comment"), f)), ("regex_block", lambda f: _flexible(block, f))]
-    found = [F.struct(*[way(f).alias(f) for f in ASSEMBLY_FIELDS], F.lit(name).alias("assembly_source")) for name, way in ways]
-    any_of = lambda way: F.coalesce(*[way(f) for f in ASSEMBLY_FIELDS]).isNotNull()
-    first = F.coalesce(*[F.when(any_of(way), s) for s, (_, way) in zip(found, ways)])
-    return parsed.select(F.col("accession").alias("ACCESSION"), first.alias("_a")).where("_a is not null").select("ACCESSION", *[F.coalesce(F.col("_a")[f], F.lit("")).alias(f) for f in ASSEMBLY_FIELDS], F.col("_a.assembly_source").alias("assembly_source"))
+    told = lambda f: F.nullif(squeeze(F.coalesce(*[F.try_element_at("_sc", F.lit(v)) for v in variants(f)])), F.lit(""))
+    ways = {"structured_comment": told, "comment_text": lambda f: _flexible(F.col("comment"), f), "regex_block": lambda f: _flexible(F.col("_block"), f)}
+    rows = computed(rows, {f"_{name}": F.struct(*[way(f).alias(f) for f in ASSEMBLY_FIELDS], F.lit(name).alias("assembly_source")) for name, way in ways.items()})
+    any_of = lambda name: F.coalesce(*[F.col(f"_{name}")[f] for f in ASSEMBLY_FIELDS]).isNotNull()
+    rows = computed(rows, {"_a": F.coalesce(*[F.when(any_of(name), F.col(f"_{name}")) for name in ways])})
+    return rows.where("_a is not null").select("ACCESSION", *[F.coalesce(F.col("_a")[f], F.lit("")).alias(f) for f in ASSEMBLY_FIELDS], F.col("_a.assembly_source").alias("assembly_source"))
 
 
 def discovered_columns(parsed: DataFrame) -> list[str]:
     """Columns of the flat view beyond the base ones: source qualifiers and reference slots, sorted."""
-    keys = [r[0] for r in parsed.select(F.explode(F.map_keys("source"))).distinct().limit(10_000).collect()]  # names of qualifiers
+    keys = [r[0] for r in fixed_rows(parsed.select(F.explode(F.map_keys("source"))).distinct(), "kinds of qualifiers", 10_000)]
     slots = parsed.agg(F.max(F.size("refs"))).first()[0] or 0
     refs = [f"Ref{i}{s}" for i in range(1, slots + 1) for s in ("Authors", "Title", "Journal", "PubMed", "Remark")]
     return sorted(k for k in {*keys, *refs} if k not in BASE_COLUMNS)
@@ -205,12 +206,25 @@ def run_summary(report: DataFrame) -> DataFrame:
 
 
 def write_flat(records: DataFrame, path: str) -> None:
-    """Rows with ``locusid``, ``definition`` and the usual columns as flat files; what ``read_records`` reads back."""
-    v = lambda c: F.coalesce(F.col(c), F.lit(""))
-    qualifier = lambda c: F.when(v(c) != "", F.concat(F.lit(f"\n                     /{c}=\""), F.replace(v(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise("")
+    """Rows with ``locusid``, ``definition`` and the usual columns as flat files; what ``read_records`` reads back.
+
+    The first reference is written where its columns are there, and an assembly where its fields are: as a structured
+    comment, or as plain text where ``as_text`` is true.
+    """
+    v = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in records.columns else F.lit("")
+    given = lambda c, text: F.when(v(c) != "", text).otherwise("")
+    qualifier = lambda c: given(c, F.concat(F.lit(f"\n                     /{c}=\""), F.replace(v(c), F.lit('"'), F.lit('""')), F.lit('"')))
+    part = lambda c, k: given(c, F.concat(F.lit(f"\n  {k:<10}"), v(c)))
+    reference = F.concat(*[part(f"ref1{c}", c.upper()) for c in ("authors", "title", "journal")])
+    line = lambda f, sign: given(f, F.concat(F.lit(f"\n            {f}{sign} "), v(f)))
+    block = F.concat(*[line(f, " ::") for f in ASSEMBLY_FIELDS])
+    plain = F.concat(*[line(f, ":") for f in ASSEMBLY_FIELDS])
+    structured = F.concat(F.lit("\nCOMMENT     ##Assembly-Data-START##"), block, F.lit("\n            ##Assembly-Data-END##"))
+    comment = F.when(block == "", F.lit("")).when(F.coalesce(F.col("as_text"), F.lit(False)) if "as_text" in records.columns else F.lit(False), F.concat(F.lit("\nCOMMENT     Notes on the assembly."), plain)).otherwise(structured)
     text = F.concat(
         F.rpad(F.concat(F.lit("LOCUS       "), v("accession")), 28, " "), F.lit(" "), v("n").cast("string"), F.lit(" bp    DNA     linear   INV "), v("record_date"),
-        F.lit("\nDEFINITION  "), v("definition"), F.lit(".\nACCESSION   "), v("accession"), F.lit("\nVERSION     "), v("locusid"), F.lit("\nKEYWORDS    .\nSOURCE      "), v("organism"), F.lit("\n  ORGANISM  "), v("organism"), F.lit("\n            Animalia; Vermes.\nFEATURES             Location/Qualifiers\n     source          1.."), v("n").cast("string"),
+        F.lit("\nDEFINITION  "), v("definition"), F.lit(".\nACCESSION   "), v("accession"), F.lit("\nVERSION     "), v("locusid"), F.lit("\nKEYWORDS    .\nSOURCE      "), v("organism"), F.lit("\n  ORGANISM  "), v("organism"), F.lit("\n            Animalia; Vermes."),
+        F.when(reference != "", F.concat(F.lit("\nREFERENCE   1"), reference)).otherwise(""), comment, F.lit("\nFEATURES             Location/Qualifiers\n     source          1.."), v("n").cast("string"),
         *[qualifier(c) for c in ("organism", "mol_type", "organelle", "isolate", "specimen_voucher", "country", "collected_by")],
         F.when(v("taxonid") != "", F.concat(F.lit('\n                     /db_xref="taxon:'), v("taxonid"), F.lit('"'))).otherwise(""), F.lit("\n//"),
     )
