@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import json
 import re
 from functools import reduce
 from pathlib import Path
@@ -102,7 +103,7 @@ def load_dictionary(path: str) -> dict[str, tuple[str, ...]]:
             if m := re.match(r"^ {2}([^\s#:][^:]*):\s*$", line):
                 marker = m[1].strip("'\"")
             elif (m := re.match(r"^\s+-\s+(.*\S)\s*$", line)) and marker:
-                found.setdefault(marker, []).append(m[1].strip("'\""))
+                found.setdefault(marker, []).append(json.loads(m[1]) if m[1].startswith('"') and m[1].endswith('"') else m[1].strip("'\""))
     else:
         from specimatrix.sources.tables import UnsupportedFormatError
 
@@ -110,6 +111,62 @@ def load_dictionary(path: str) -> dict[str, tuple[str, ...]]:
     return merge(found)
 
 
+# Synonyms that are too short or too vague to tell a marker, and the least length of one.
+VAGUE = ("I", "COX", "CO", "ND", "ATP", "rbcL")
+LEAST = 3
+
+
+def read_synonyms(path: str) -> list[str]:
+    """The first column of a tab-separated synonym table with header, without vague and very short ones."""
+    with open(path, encoding="utf-8", newline="") as f:
+        names = [row[0].strip() for row in csv.reader(f, delimiter="\t") if row][1:]
+    return [n for n in names if len(n) >= LEAST and n not in VAGUE]
+
+
+def _useful(names) -> tuple[str, ...]:
+    """Synonyms that are neither vague nor very short, in order; the first of several that differ in case."""
+    kept: dict[str, str] = {}
+    for n in names:
+        if len(n) >= LEAST and n not in VAGUE:
+            kept.setdefault(n.lower(), n)
+    return tuple(kept.values())
+
+
+def extended(base: dict, mitochondrial: dict | None = None, chloroplast: dict | None = None) -> dict[str, dict]:
+    """A dictionary of the second form: marker -> category, scope and synonyms.
+
+    Synonyms of ``mitochondrial`` join those of the same marker or make a new one; a ``chloroplast`` marker whose name is
+    taken gets the prefix ``cp_``. Vague and very short synonyms are left out; the first of several that differ in case
+    stays.
+    """
+    animals, plants = ("metazoa", "fungi"), ("viridiplantae",)
+    out: dict[str, dict] = {}
+    for marker, names in base.items():
+        kind = "mitochondrial" if marker in MITOCHONDRIAL else "nuclear" if marker in NUCLEAR else "unknown"
+        scope = {"mitochondrial": animals, "nuclear": ("metazoa", *plants, "fungi")}.get(kind, ("all",))
+        out[marker] = {"category": kind, "scope": scope, "synonyms": _useful([*names, *(mitochondrial or {}).get(marker, ())])}
+    for marker, names in (mitochondrial or {}).items():
+        out.setdefault(marker, {"category": "mitochondrial", "scope": animals, "synonyms": _useful(names)})
+    for name, names in sorted((chloroplast or {}).items()):
+        if kept := _useful(names):
+            marker = name.lower()
+            out[marker if marker not in out else f"cp_{marker}"] = {"category": "chloroplast", "scope": plants, "synonyms": kept}
+    return out
+
+
+def write_yaml(dictionary: dict[str, dict], path: str) -> str:
+    """A dictionary of the second form as YAML, by category, then name; ``load_dictionary`` reads it back."""
+    rank = ("mitochondrial", "chloroplast", "nuclear")
+    order = sorted(dictionary, key=lambda m: (rank.index(c) if (c := dictionary[m]["category"]) in rank else len(rank), m))
+    quoted = lambda text: json.dumps(text, ensure_ascii=False) if re.search(r"[^\w ()-]|^\W", text) else text
+    lines = ['version: "2.0"', "metadata:", '  description: "Marker dictionary with category and scope"', "gene_types:"]
+    for m in order:
+        d = dictionary[m]
+        lines += [f"  {m}:", f"    category: {d['category']}", f"    scope: [{', '.join(d['scope'])}]", "    synonyms:", *[f"      - {quoted(s)}" for s in d["synonyms"]]]
+    Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")
+    return path
+
+
 def as_table(spark, dictionary: dict) -> DataFrame:
     """(marker, phrase) rows of a dictionary."""
     return spark.createDataFrame([(m, p.lower()) for m, ps in dictionary.items() for p in dict.fromkeys(x.lower() for x in ps)], "marker string, phrase string")

@@ -6,6 +6,8 @@ completed result lies on disk is read instead of computed.
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,7 @@ from specimatrix.operators import classify as C
 from specimatrix.operators import matrix as M
 from specimatrix.operators import reports as R
 from specimatrix.operators import voucher as K
-from specimatrix.session import ship
+from specimatrix.session import cut, ship
 from specimatrix.sources import flatfile as FF
 from specimatrix.sources.tables import PipelineStepError, checked_columns, normalise_columns, read_table, valid_output, write_json_report, write_table, write_text_report
 
@@ -47,22 +49,42 @@ class PipelineResult:
         return list(self.steps)
 
 
-def extract(spark: SparkSession, path: str, taxonomy: DataFrame | None = None) -> DataFrame:
-    """Flat files below ``path`` as the metadata table with assemblies, empty texts null, ``row_id`` in file order."""
-    parsed = FF.parse_records(FF.read_records(spark, path)).where("parse_error is null")
+def parsed_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All records of flat files, those that could not be read too."""
+    return FF.parse_records(FF.read_records(spark, path))
+
+
+def extract(spark: SparkSession, path: str | list[str], taxonomy: DataFrame | None = None, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Flat files below ``path`` as the metadata table with assemblies, empty texts null, ``row_id`` in file order.
+
+    ``each`` is applied to the parsed records before they are flattened: it may change, drop or add to them.
+    """
+    parsed = parsed_records(spark, path).where("parse_error is null")
+    parsed = each(parsed) if each else parsed
     flat = FF.with_assembly(FF.flat_view(parsed, taxonomy), FF.assemblies(parsed))
     names = [c for c in flat.columns if c not in ("file_path", "at")]
     texts = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(RENAMES.get(c, c)) for c in names]
     return flat.select(F.col("at._id").alias("row_id"), *texts)  # unique, and in order within a file
 
 
+def write_extraction_reports(spark: SparkSession, path: str | list[str], out: str, seconds: float = 0.0) -> None:
+    """What became of each file and record: errors, tracking, status of files, totals; failed files are copied."""
+    parsed = cut(parsed_records(spark, path))
+    report = cut(FF.file_report(spark, path, parsed))
+    write_table(FF.record_errors(parsed), f"{out}/record_errors")
+    write_table(FF.record_tracking(parsed), f"{out}/record_tracking")
+    write_json_report(report, f"{out}/files")
+    write_json_report(FF.run_totals(report, FF.assemblies(parsed.where("parse_error is null")), seconds), f"{out}/totals")
+    FF.archive_failed(report, f"{out}/failed_extract")
+
+
 def voucher(classified: DataFrame, rules: K.VoucherRules = K.VoucherRules()) -> DataFrame:
     return K.voucher_columns(classified, rules)
 
 
 def run(
     spark: SparkSession,
-    inputs: str | DataFrame,
+    inputs: str | list[str] | DataFrame,
     out: str | None = None,
     resume: bool = False,
     skip: tuple[str, ...] = (),
@@ -73,26 +95,32 @@ def run(
     normalize_columns: bool = False,
     filters: dict[str, str] | None = None,
     csv: bool = False,
+    recheck: bool = True,
+    each: Callable[[DataFrame], DataFrame] | None = None,
 ) -> PipelineResult:
-    """Flat files (a path), a delimited table (a path) or a DataFrame to the specimen-by-marker matrix.
+    """Flat files (one path or several), a delimited table (a path) or a DataFrame to the specimen-by-marker matrix.
 
-    ``out`` writes each step as Parquet below it, and the matrix as CSV too if ``csv``. ``skip`` reads the named steps'
-    results, which must then be there.
+    ``out`` writes each step as Parquet below it, the matrix sorted by specimen, and as CSV too if ``csv``; for flat files
+    also which records and files failed. ``skip`` reads the named steps' results, which must then be there. ``each`` is
+    applied to parsed records.
     """
     ship(spark)
+    began = time.time()
     result = PipelineResult()
 
     def source() -> DataFrame:
         if isinstance(inputs, DataFrame):
             return inputs
-        if inputs.lower().endswith((".csv", ".tsv", ".txt", ".xls", ".xlsx")):
+        if isinstance(inputs, str) and inputs.lower().endswith((".csv", ".tsv", ".txt", ".xls", ".xlsx")):
             table = read_table(spark, inputs)
             return table if "row_id" in table.columns else table.withColumn("row_id", F.monotonically_increasing_id())
-        return extract(spark, inputs, taxonomy)
+        return extract(spark, inputs, taxonomy, each)
+
+    flat_input = not isinstance(inputs, DataFrame) and not (isinstance(inputs, str) and inputs.lower().endswith((".csv", ".tsv", ".txt", ".xls", ".xlsx")))
 
     makers = {
         "extract": lambda _: normalise_columns(source()) if normalize_columns else source(),
-        "classify": lambda df: C.classify(C.attribute_filter(df, **(filters or {})), rules),
+        "classify": lambda df: C.classify(C.attribute_filter(df, **(filters or {})), rules, recheck),
         "voucher": lambda df: voucher(df, vouchers),
         "organize": lambda df: M.matrix(checked_columns(df, [matrix.group, matrix.organism, matrix.gene_type, matrix.locus]), matrix),
     }
@@ -109,11 +137,15 @@ def run(
                 continue
             df = makers[step](df)
             if path:
-                df.write.mode("overwrite").parquet(path)
+                (df.orderBy(matrix.group) if step == "organize" else df).write.mode("overwrite").parquet(path)
                 df = spark.read.parquet(path)
+                if step == "extract" and flat_input:
+                    write_extraction_reports(spark, inputs, f"{out}/extract_reports", time.time() - began)
+            elif step == "extract" and not isinstance(inputs, DataFrame):
+                df = cut(df)  # row ids are given once, for all that is joined by them
             result.steps[step] = StepResult(step, df, path)
         if out and csv:
-            write_table(df, f"{out}/organized_species_voucher.csv", single=True)
+            write_table(df, f"{out}/organized_species_voucher.csv", by=matrix.group)
     except PipelineStepError as e:
         result.success, result.error = False, str(e)
     return result

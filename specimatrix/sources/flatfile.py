@@ -6,14 +6,17 @@ nested and typed; the flat view of the pipeline's tables is made from it at the
 
 from __future__ import annotations
 
+import logging
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specimatrix.functions.text import python_title, squeeze
 from specimatrix.session import computed, fixed_rows
 
+log = logging.getLogger(__name__)
 PATTERN = r"(?i).*\.(gb|gbk|genbank|gbff)$"
 
 # Columns of the flat view before those that are found in the data.
@@ -23,18 +26,51 @@ ASSEMBLY_FIELDS = ("Assembly Method", "Assembly Name", "Sequencing Technology",
 ASSEMBLY_KEYS = ("Assembly-Data", "Assembly-data", "assembly-data", "Genome-Assembly-Data", "Genome-assembly-data")
 
 
-def flat_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, length) of the flat files below a folder, any case of the extension, empty ones too.
+@dataclass(frozen=True)
+class Discovery:
+    """The flat files below some paths, how many files there are in all, how many are of other kinds, and lost paths."""
 
-    The folder is listed through the file system, as a scan's planning does; Spark's file sources leave out empty files.
+    files: DataFrame
+    total: int
+    skipped: int
+    missing: tuple[str, ...]
+
+
+def discover(spark: SparkSession, paths: str | list[str]) -> Discovery:
+    """(file_path, length) of the flat files below folders or of single files, any case of the extension, empty ones too.
+
+    Files with content are listed by Spark, in parallel for many folders; its sources leave out empty files, which the
+    file system's own listing adds. Paths that do not exist are told and warned of.
     """
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found, rows = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
-    while found.hasNext():
-        f = found.next()
-        if re.match(PATTERN, name := f.getPath().toUri().toString()):
-            rows.append((name, f.getLen()))
-    return spark.createDataFrame(rows, "file_path string, length bigint").withColumn("file_path", _plain_uri(F.col("file_path")))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    empty, there, missing, total, fit = [], [], [], 0, 0
+    for path in [paths] if isinstance(paths, str) else paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        if not fs.exists(at):
+            log.warning("No such path: %s", path)
+            missing.append(path)
+            continue
+        there.append(path)
+        found = fs.listFiles(at, True)
+        while found.hasNext():
+            f = found.next()
+            total += 1
+            if re.match(PATTERN, name := f.getPath().toUri().toString()):
+                fit += 1
+                if f.getLen() == 0:
+                    empty.append((name, 0))
+    schema = "file_path string, length bigint"
+    files = spark.createDataFrame(empty, schema)
+    if there:
+        full = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there).select(F.col("path").alias("file_path"), "length")
+        files = full.where(F.col("file_path").rlike(PATTERN) & (F.col("length") > 0)).unionAll(files)
+    return Discovery(files.withColumn("file_path", _plain_uri(F.col("file_path"))), total, total - fit, tuple(missing))
+
+
+def flat_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file_path, length) of the flat files below a folder or several."""
+    return discover(spark, path).files
 
 
 def _plain_uri(c: Column) -> Column:
@@ -42,7 +78,7 @@ def _plain_uri(c: Column) -> Column:
     return F.regexp_replace(c, "^file:/+", "file:///")
 
 
-def read_records(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], pattern: str = PATTERN) -> DataFrame:
     """(file_path, at, text) of every record in files whose path matches; ``at`` orders the records of a file.
 
     The order comes from a record's place in the file's splits, so that 'first' means first in the file.
@@ -191,13 +227,17 @@ def with_assembly(metadata: DataFrame, assembly: DataFrame, key: str = "ACCESSIO
     return metadata.withColumn("_acc", F.trim(key)).join(right, "_acc", "left").drop("_acc")
 
 
-def file_report(spark: SparkSession, path: str, parsed: DataFrame) -> DataFrame:
-    """Per file: size, records, failed records and status (empty, invalid, failed, partial, success)."""
-    counts = parsed.groupBy("file_path").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("parse_error").isNotNull()).alias("failed"))
+def file_report(spark: SparkSession, path: str | list[str], parsed: DataFrame) -> DataFrame:
+    """Per file: size, records, failed records, status (empty, invalid, failed, partial, success) and what is wrong.
+
+    A file is invalid if it has no record or its first one does not begin with a LOCUS line.
+    """
+    counts = parsed.groupBy("file_path").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("parse_error").isNotNull()).alias("failed"), F.min_by(F.col("parse_error").isNull(), F.col("at")).alias("_head"))
     files = flat_files(spark, path).join(counts, "file_path", "left")
-    n, bad = F.coalesce("records", F.lit(0)), F.coalesce("failed", F.lit(0))
-    status = F.when(F.col("length") == 0, "empty").when(n == 0, "invalid").when(bad == n, "failed").when(bad > 0, "partial").otherwise("success")
-    return files.select("file_path", "length", n.alias("records"), bad.alias("failed"), status.alias("status"))
+    n, bad, head = F.coalesce("records", F.lit(0)), F.coalesce("failed", F.lit(0)), F.coalesce("_head", F.lit(False))
+    status = F.when(F.col("length") == 0, "empty").when(n == 0, "invalid").when(bad == n, "failed").when(~head, "invalid").when(bad > 0, "partial").otherwise("success")
+    wrong = F.when(F.col("length") == 0, "empty file").when(n == 0, "no content").when(~head, "does not start with LOCUS").otherwise("")
+    return files.select("file_path", "length", n.alias("records"), bad.alias("failed"), status.alias("status"), wrong.alias("error"))
 
 
 def run_summary(report: DataFrame) -> DataFrame:
@@ -205,6 +245,64 @@ def run_summary(report: DataFrame) -> DataFrame:
     return report.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.sum("records").alias("records"), F.sum("failed").alias("failed"))
 
 
+def run_totals(report: DataFrame, assembly: DataFrame, seconds: float) -> DataFrame:
+    """One row for a run: files by status, records read and failed, assemblies by the way they were found, and rates."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    files = report.agg(F.count(F.lit(1)).alias("files"), *[of(s).alias(s) for s in ("success", "partial", "failed", "invalid", "empty")], F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed_records"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    ways = assembly.agg(F.count(F.lit(1)).alias("assemblies"), *[F.count_if(F.col("assembly_source") == w).alias(f"by_{w}") for w in ("structured_comment", "comment_text", "regex_block")])
+    rate = F.lit(1.0 / max(seconds, 1e-9))
+    both = files.join(ways)  # a row each
+    return both.select("*", F.lit(float(seconds)).alias("seconds"), F.round(F.col("records") * rate, 1).alias("records_per_second"), F.round(F.col("bytes") * rate, 1).alias("bytes_per_second"), F.round(F.col("assemblies") * 100.0 / F.greatest("records", F.lit(1)), 1).alias("assembly_percent"))
+
+
+def numbered(parsed: DataFrame) -> DataFrame:
+    """Records with ``record_index``, their place in their file from 1.
+
+    Places within a part of a file follow from its first; what is before a part is summed over the few parts of a file.
+    """
+    block, one = F.col("at._block"), F.col("at._id")
+    parts = parsed.groupBy("file_path", block.alias("_b")).agg(F.min(one).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file_path").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("file_path", "_b", "_first", before.alias("_before"))
+    return parsed.withColumn("_b", block).join(parts, ["file_path", "_b"]).withColumn("record_index", F.col("_before") + one - F.col("_first") + 1).drop("_b", "_first", "_before")
+
+
+def record_errors(parsed: DataFrame) -> DataFrame:
+    """(file_name, record_index, accession, error_type, error_message, phase) of the records that could not be read."""
+    bad = numbered(parsed).where("parse_error is not null")
+    return bad.select(F.substring_index("file_path", "/", -1).alias("file_name"), "record_index", F.coalesce("accession", F.lit("")).alias("accession"), F.lit("ParseError").alias("error_type"), F.col("parse_error").alias("error_message"), F.lit("parse").alias("phase"))
+
+
+def record_tracking(parsed: DataFrame) -> DataFrame:
+    """(file_name, record_index, accession, metadata_ok, assembly_ok, assembly_source, has_assembly_data, error_message) of all records."""
+    one = assemblies(parsed).groupBy(F.col("ACCESSION").alias("_acc")).agg(F.min("assembly_source").alias("assembly_source"))
+    j = numbered(parsed).join(one, F.col("accession") == F.col("_acc"), "left")
+    ok = F.col("parse_error").isNull()
+    return j.select(F.substring_index("file_path", "/", -1).alias("file_name"), "record_index", "accession", ok.alias("metadata_ok"), ok.alias("assembly_ok"), F.coalesce("assembly_source", F.lit("")).alias("assembly_source"), F.col("assembly_source").isNotNull().alias("has_assembly_data"), F.coalesce("parse_error", F.lit("")).alias("error_message"))
+
+
+def archive_failed(report: DataFrame, folder: str) -> int:
+    """Copies the files that failed or are invalid or empty to ``folder``; of equal names the later get ``_1``, ``_2``.
+
+    Gives how many were copied. Files are taken one by one from the report, so their number is not bounded by memory.
+    """
+    spark = report.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    home = path(folder)
+    fs, copied = home.getFileSystem(conf), 0
+    for r in report.where(F.col("status").isin("failed", "invalid", "empty")).select("file_path").orderBy("file_path").toLocalIterator():
+        source = path(r.file_path)
+        stem, dot, end = source.getName().rpartition(".")
+        to, k = path(home, source.getName()), 0
+        while fs.exists(to):
+            k += 1
+            to = path(home, f"{stem}_{k}{dot}{end}")
+        if jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, fs, to, False, conf):
+            copied += 1
+    return copied
+
+
 def write_flat(records: DataFrame, path: str) -> None:
     """Rows with ``locusid``, ``definition`` and the usual columns as flat files; what ``read_records`` reads back.
 

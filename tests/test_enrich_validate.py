@@ -66,3 +66,51 @@ def test_difference_and_reports(spark, rows):
     counts = R.category_counts(left)
     assert rows(counts) == [("a", 3, 75.0), ("b", 1, 25.0)] and [r.value for r in R.report_lines(counts).collect()] == ["a: 3 (75.0%)", "b: 1 (25.0%)"]
     assert len(R.category_samples(left, top=1, each=2).collect()) == 2 and len(R.category_samples(left).first()["sample"]) == 100
+
+
+def test_literature_and_update(spark, tmp_path):
+    from specimatrix.operators import enrich as E
+
+    line = lambda sp, **k: ",".join(k.get(c, "") if c != "species" else sp for c in E.LITERATURE)
+    (tmp_path / "sheet.csv").write_text("\n".join(["title", ",,", "", "Species,No", "units", line("Aus bus", country="Peru", coll_date="8 April 2009", voucher="ZM 5", coi="C2", **{"16s": "C1"}), line("Cus dus", country="Chile", coi="C2"), line("Eus", coi="nan")]) + "\n")
+    sheet = E.read_literature(spark, str(tmp_path / "sheet.csv"))
+    assert [r.species for r in sheet.orderBy("row_id").collect()] == ["Aus bus", "Cus dus", "Eus"]
+    lit = E.literature_accessions(sheet)
+    assert {(r.accession, r.marker, r.country) for r in lit.collect()} == {("C1", "16s", "Peru"), ("C2", "coi", "Peru")}
+    schema = "row_id bigint, accession string, geo_loc_name string, lat_lon string, collection_date string, collected_by string, specimen_voucher string, isolate string, isolation_source string"
+    records = spark.createDataFrame([(1, "C2", None, None, None, None, None, None, None), (2, "C1", None, None, "2001", None, "v", None, None)], schema)
+    updates = E.update_rows(lit, records, "row_id")
+    counts = E.update_counts(updates).first()
+    assert (counts.updated, counts.geo_loc_name, counts.collection_date, counts.specimen_voucher, counts.lat_lon) == (2, 2, 1, 1, 0)
+    path = E.write_update(updates.repartition(3), str(tmp_path / "update"))
+    lines = [line.value for line in spark.read.text(path).collect() if not line.value.startswith("acc. num.")]
+    assert lines == ["C1\tPeru\t\t\t\t\t", "C2\tPeru\t\t08-Apr-2009\t\tZM:5\t"]
+
+
+def test_species_names_word_by_word(spark):
+    from pyspark.sql import functions as F
+
+    from specimatrix.operators import validate as V
+
+    names = {"Aus bus": "aus bus", "Aus cf. bus": "aus bus", "Aus bus Han, 2023": "aus bus", "Aus bus Han, Zhou & Wang, 2023": "aus bus", "Aus (Bus) cus (Linnaeus, 1758)": "aus (bus) cus", "Aus sp. nov. 3": "aus", "Gen. nov. aus": "aus", "Aus bus sensu Smith": "aus bus", "Aus sp. 3": "aus sp. 3", "  Aus   bus ": "aus bus", "": "", "Aus Bus": "aus bus"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.k for r in df.select("n", V.species_key(F.col("n")).alias("k")).collect()} == names
+    pairs = [("Aus gen. et sp. n.", "Aus sp.", "new name, provisional in the record"), ("Insulidrilus a", "Insulodrilus a", "spelling"), ("Aus cf. bus", "Aus bus", "cf. only"), ("Aus bus", "Cus dus", "another species")]
+    got = spark.createDataFrame(pairs, "e string, f string, r string").select("r", V.mismatch_reason(F.col("e"), F.col("f"), (("insulidrilus", "insulodrilus"),)).alias("g")).collect()
+    assert all(r.r == r.g for r in got)
+
+
+def test_species_report_and_verdicts(spark):
+    from specimatrix.operators import validate as V
+
+    expected = spark.createDataFrame([("Aus bus", "coi", "A1.1"), ("Aus bus", "16s", "A2"), ("Cus dus Han, 2020", "coi", "B1*"), ("Eus fus", "coi", "-"), ("Gus hus", "coi", "Z9*"), ("Olda kus", "coi", "K1"), ("Ius jus", "16s", "M1")], "species string, gene string, accession string")
+    matrix = spark.createDataFrame([("Aus bus", "A1;A3", "A2", ""), ("Cus dus", "", "", "B1"), ("Kus lus", "K1", "", ""), ("Ius jus", "J1", "", "")], "organism string, coi string, `16s` string, mtgenome string")
+    records = spark.createDataFrame([("K1.1", "K1", "Kus lus", "coi"), ("A1", "A1", "Aus bus", "coi"), ("A2", "A2", "Aus bus", "16s"), ("J1", "J1", "Ius jus", "coi")], "locusid string, accession string, organism string, gene_type string")
+    report = V.species_report(expected, matrix, records)
+    assert {r.species: (r.organism, r.method, r.expected, r.covered, r.right, r.filled, r.status) for r in report.collect()} == {
+        "Aus bus": ("Aus bus", "exact", 2, 2, 2, 0, "MATCH"), "Cus dus Han, 2020": ("Cus dus", "exact", 1, 1, 1, 1, "MATCH"), "Eus fus": (None, "none", 0, 0, 0, 0, "NO_LIT_DATA"),
+        "Gus hus": (None, "none", 1, 0, 0, 0, "NOT_FOUND"), "Olda kus": ("Kus lus", "accession_lookup", 1, 1, 1, 0, "MATCH"), "Ius jus": ("Ius jus", "exact", 1, 0, 0, 0, "PARTIAL"),
+    }
+    assert {r.status: r.percent for r in V.report_rates(report).collect()} == {"MATCH": 50.0, "NO_LIT_DATA": 16.7, "NOT_FOUND": 16.7, "PARTIAL": 16.7}
+    verdicts = V.species_verdicts(expected.where("accession != 'A1.1'"), records)
+    assert {r.species: r.verdict for r in verdicts.collect()} == {"Aus bus": "same", "Cus dus Han, 2020": "not found", "Eus fus": "no data", "Gus hus": "not found", "Olda kus": "not found", "Ius jus": "different"}

@@ -182,3 +182,76 @@ def test_scratch(spark):
     clear_scratch(spark)
     with pytest.raises(Exception, match="."):
         spark.read.parquet(df.inputFiles()[0])
+
+
+def test_failed_records_and_files(spark, tmp_path, rows):
+    """Errors, tracking, totals, archive: what could not be read is told, not dropped."""
+    from specimatrix.operators.classify import Rules
+    from specimatrix.plans.pipeline import run
+    from specimatrix.sources import flatfile as FF
+
+    record = lambda i: f"LOCUS       A{i}  5 bp    DNA     linear   INV 01-JAN-2020\nDEFINITION  COI gene.\nACCESSION   A{i}\nVERSION     A{i}.1\nFEATURES             Location/Qualifiers\n     source          1..5\n                     /organism=\"Aus bus\"\nORIGIN\n        1 acgta\n//\n"
+    home = tmp_path / "in"
+    (home / "sub").mkdir(parents=True)
+    (home / "a.gb").write_text(record(1) + "no locus here\nDEFINITION  x\n//\n" + record(2))
+    (home / "bad.GB").write_text("nothing\n//\n")
+    (home / "sub" / "bad.GB").write_text("nothing\n//\n")
+    (home / "late.gb").write_text("junk\n//\n" + record(3))
+    (home / "empty.gbk").write_text("")
+    (home / "notes.txt").write_text("x")
+    found = FF.discover(spark, [str(home), str(tmp_path / "lost")])
+    assert (found.total, found.skipped, found.missing) == (6, 1, (str(tmp_path / "lost"),)) and found.files.count() == 5
+    short = Rules(overall="1:50000", mito_length="1:50000", nuclear_length="1:50000")
+    result = run(spark, [str(home)], str(tmp_path / "out"), csv=True, rules=short)
+    assert result.success and result.steps["extract"].table.count() == 3
+    errors = spark.read.csv(str(tmp_path / "out/extract_reports/record_errors"), header=True)
+    assert rows(errors, "file_name", "record_index", "error_message") == [("a.gb", "2", "no LOCUS line"), ("bad.GB", "1", "no LOCUS line"), ("bad.GB", "1", "no LOCUS line"), ("late.gb", "1", "no LOCUS line")]
+    tracked = spark.read.csv(str(tmp_path / "out/extract_reports/record_tracking"), header=True)
+    assert tracked.count() == 7 and [tuple(r) for r in tracked.where("file_name = 'a.gb'").orderBy("record_index").select("record_index", "accession", "metadata_ok").collect()] == [("1", "A1", "true"), ("2", None, "false"), ("3", "A2", "true")]
+    files = {r.file_path.rsplit("/", 1)[1]: (r.status, r.error) for r in spark.read.json(str(tmp_path / "out/extract_reports/files")).collect()}
+    assert files == {"a.gb": ("partial", ""), "bad.GB": ("failed", "does not start with LOCUS"), "late.gb": ("invalid", "does not start with LOCUS"), "empty.gbk": ("empty", "empty file")}
+    totals = spark.read.json(str(tmp_path / "out/extract_reports/totals")).first()
+    assert (totals.files, totals.records, totals.failed_records, totals.assemblies) == (5, 7, 4, 0) and totals.records_per_second > 0
+    assert sorted(p.name for p in (tmp_path / "out/extract_reports/failed_extract").iterdir() if not p.name.startswith(".")) == ["bad.GB", "bad_1.GB", "empty.gbk", "late.gb"]
+    keys = [r[0] for r in spark.read.parquet(str(tmp_path / "out/organize")).select("species_voucher_new").collect()]
+    assert keys == sorted(keys) and len(keys) == 3
+    changed = run(spark, str(home), each=lambda df: df.where("locus_id != 'A1.1'"))
+    assert changed.steps["extract"].table.count() == 2
+
+
+def test_steps_of_the_command_line(spark, tmp_path):
+    from specimatrix.cli import lacking, main
+
+    (tmp_path / "final.csv").write_text("row_id,locusid,accession,definition,seq_length,organelle,moleculetype,topology,organism,specimen_voucher,isolate\n1,L1,A1,COI gene,600,mitochondrion,DNA,linear,Aus bus,V 1,\n2,L2,A2,16S ribosomal RNA,500,mitochondrion,DNA,linear,Aus bus,V 1,\n3,L3,A3,nothing,500,,DNA,linear,Aus cus,,i\n")
+    out = str(tmp_path / "o")
+    assert main(["classify", str(tmp_path / "final.csv"), out, "--genes", "coi", "--gene-length", "16s=501:900", "--recheck", "no"]) == 0
+    done = spark.read.parquet(f"{out}/assigned_genes_types_all")
+    assert [r.gene_type for r in done.collect()] == ["coi"] and spark.read.csv(f"{out}/unmatched_sequences", header=True).count() == 2
+    assert main(["classify", str(tmp_path / "final.csv"), out, "--mitochondrial", "coi,16s", "--reasons", "no"]) == 0
+    assert main(["voucher", f"{out}/assigned_genes_types_all", out, "--combine", "pse_only"]) == 0
+    assert {r.species_voucher_new for r in spark.read.parquet(f"{out}/updated_species_voucher").collect()} == {"V_1"}
+    assert spark.read.parquet(f"{out}/species_voucher_groups").count() == 2
+    assert main(["organize", f"{out}/updated_species_voucher", out, "--genes", "coi,16s", "--metadata", "isolate", "--mode", "all"]) == 0
+    row = spark.read.csv(f"{out}/organized_species_voucher.csv", header=True).first()
+    assert (row.species_voucher_new, row.coi, row["16s"]) == ("V_1", "L1", "L2")
+    assert lacking()[0] == []
+
+
+def test_sizes_newest_and_dictionaries(spark, tmp_path):
+    import os
+
+    from specimatrix.functions.phrases import extended, load_dictionary, read_synonyms, write_yaml
+    from specimatrix.sources.tables import format_size, newest
+
+    assert [format_size(x) for x in (None, 0, 1023, 1536, 5 * 1024**6)] == ["0.0 B", "0.0 B", "1023.0 B", "1.5 KB", "5120.0 PB"]
+    for k, (name, text) in enumerate((("a.csv", "x"), ("b.csv", "y"), ("c.csv", ""))):
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (k, k))
+    assert newest(spark, str(tmp_path / "*.csv")).endswith("b.csv") and newest(spark, str(tmp_path / "*.tsv")) is None
+    (tmp_path / "ND5.tsv").write_text("Full Name\tx\nNADH dehydrogenase 5\t1\nND\t2\nnadh Dehydrogenase 5\t3\n\t4\n")
+    names = read_synonyms(str(tmp_path / "ND5.tsv"))
+    assert names == ["NADH dehydrogenase 5", "nadh Dehydrogenase 5"]
+    d = extended({"coi": ("COI", "CO", "coi gene"), "h3": ("histone H3",), "zz": ("zzz",)}, {"coi": ["coi", "COX1: a"], "nd5": names}, {"COI": ["plastid coi"], "rbcL": ["rbcL", "I"], "matK": ["mat \"K\" gene"]})
+    assert {m: (x["category"], x["synonyms"]) for m, x in d.items()} == {"coi": ("mitochondrial", ("COI", "coi gene", "COX1: a")), "h3": ("nuclear", ("histone H3",)), "zz": ("unknown", ("zzz",)), "nd5": ("mitochondrial", ("NADH dehydrogenase 5",)), "cp_coi": ("chloroplast", ("plastid coi",)), "matk": ("chloroplast", ('mat "K" gene',))}
+    path = write_yaml(d, str(tmp_path / "d.yaml"))
+    assert list(load_dictionary(path)) == ["coi", "nd5", "cp_coi", "matk", "h3", "zz"] and {m: x["synonyms"] for m, x in d.items()} == load_dictionary(path)
