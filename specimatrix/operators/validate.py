@@ -153,7 +153,7 @@ def species_report(expected: DataFrame, matrix_rows: DataFrame, records: DataFra
     genome = has.where("gene = 'mtgenome'").select("found", F.col("ids").alias("whole"))
     j = e.join(who, "species").join(has, ["found", "gene"], "left").join(genome, "found", "left")
     ids = F.coalesce("ids", F.col("whole") if fill else F.lit(None).cast("array<string>"))
-    right = F.exists(ids, lambda x: (F.upper(x) == F.col("acc")) | F.upper(x).startswith(F.concat(F.substring_index("acc", ".", 1), F.lit("."))))
+    right = F.exists(ids, lambda x: F.upper(accession_base(x)) == accession_base(F.col("acc")))
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     told = F.col("acc").isNotNull()
     counts = j.groupBy("species").agg(F.first("found").alias("organism"), F.first("method").alias("method"), n(told).alias("expected"), n(told & ids.isNotNull()).alias("covered"), n(told & right).alias("right"), n(told & F.col("ids").isNull() & ids.isNotNull()).alias("filled"), F.max("early").alias("_early"))
