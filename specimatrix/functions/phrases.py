@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specimatrix.functions.text import quote_regex
+from specimatrix.session import bounded
 
 # Marker -> phrases that tell it.
 DICTIONARY: dict[str, tuple[str, ...]] = {
@@ -175,7 +176,8 @@ def as_table(spark, dictionary: dict) -> DataFrame:
 def phrase_join(rows: DataFrame, dictionary: DataFrame, text: str = "definition", row_id: str = "row_id") -> DataFrame:
     """(row_id, marker) for a dictionary that is a table of any size: an equi-join on the phrases' first words.
 
-    Only texts that contain a phrase's first word meet the phrase, where the whole of it is then compared.
+    Only texts that contain a phrase's first word meet the phrase, where the whole of it is then compared. A dictionary of
+    a checked size goes to the texts, which then are not moved; beyond that size the words meet by a shuffle.
     """
     low = F.lower(F.col(text))
     first = lambda c: F.regexp_extract(c, r"([\p{L}\p{N}_]+)", 1)
@@ -183,6 +185,6 @@ def phrase_join(rows: DataFrame, dictionary: DataFrame, text: str = "definition"
     edge = r"(^|[^\p{L}\p{N}_])"
     escaped = F.regexp_replace(F.col("phrase"), r"([\\.\[\]{}()*+?^$|-])", r"\\$1")
     pattern = F.concat(F.lit(edge), escaped, F.lit(r"([^\p{L}\p{N}_]|$)"))
-    phrases = dictionary.select("marker", "phrase", first(F.col("phrase")).alias("_word"), pattern.alias("_pattern"))
+    phrases = bounded(dictionary.select("marker", "phrase", first(F.col("phrase")).alias("_word"), pattern.alias("_pattern")))
     hit = F.col("_text").contains(F.col("phrase")) & F.expr("_text rlike _pattern")
     return words.join(phrases, "_word").where(hit).select("row_id", "marker").distinct()

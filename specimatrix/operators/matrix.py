@@ -1,7 +1,7 @@
 """The specimen-by-marker matrix: one row per specimen, the records of each marker in order, and its metadata.
 
-One shuffle on the specimen brings everything together. Before it, repeated (specimen, marker, record) triples are
-reduced where they are read; what a cell then holds is what the result has to show.
+Repeated (specimen, marker, record) triples are reduced in a first shuffle; lists of records and metadata are then brought
+together by specimen, each in one more. What a cell holds is what the result has to show.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from specimatrix.functions.phrases import MARKERS
 from specimatrix.functions.text import strip
+from specimatrix.session import cut
 
 MODES = ("first_nonempty", "all", "per_gene", "advanced")
 
@@ -108,12 +109,11 @@ def labelled_values(pairs: DataFrame, columns: list[str]) -> DataFrame:
 
     One value stands alone, and so do values that all active markers share; others carry the markers that have them.
     """
-    unique = pairs.distinct()
-    active = unique.groupBy("_key", "_column").agg(F.countDistinct("_gene").alias("_active"))
-    by_value = unique.groupBy("_key", "_column", "_value").agg(F.array_sort(F.collect_list("_gene")).alias("_genes"))
-    text = F.when(F.size("_genes") == F.col("_active"), F.col("_value")).otherwise(F.concat(F.array_join("_genes", ","), F.lit(":"), F.col("_value")))
-    joined = by_value.join(active, ["_key", "_column"]).groupBy("_key", "_column").agg(F.array_sort(F.collect_list(F.struct("_value", text.alias("t")))).alias("v"))
-    lines = joined.select("_key", "_column", F.when(F.size("v") == 1, F.col("v")[0]["_value"]).otherwise(F.array_join(F.transform("v", lambda x: x["t"]), ";")).alias("t"))
+    by_value = pairs.groupBy("_key", "_column", "_value").agg(F.array_sort(F.collect_set("_gene")).alias("_genes")).repartition("_key")  # all that follows is by this key
+    text = lambda x, n: F.when(F.size(x["_genes"]) == n, x["_value"]).otherwise(F.concat(F.array_join(x["_genes"], ","), F.lit(":"), x["_value"]))
+    held = by_value.groupBy("_key", "_column").agg(F.array_sort(F.collect_list(F.struct("_value", "_genes"))).alias("v"))
+    held = held.withColumn("_active", F.size(F.array_distinct(F.flatten(F.transform("v", lambda x: x["_genes"])))))
+    lines = held.select("_key", "_column", F.when(F.size("v") == 1, F.col("v")[0]["_value"]).otherwise(F.array_join(F.transform("v", lambda x: text(x, F.col("_active"))), ";")).alias("t"))
     return lines.groupBy("_key").agg(*[F.coalesce(F.max(F.when(F.col("_column") == c, F.col("t"))), F.lit("")).alias(c) for c in columns])
 
 
@@ -134,7 +134,7 @@ def advanced_values(df: DataFrame, rules: MatrixRules, columns: list[str], lists
     lists come out without a marker.
     """
     rows = df.select(group_key(rules).alias("_key"), strip(F.col(rules.locus)).alias("_locus"), F.col(rules.order).alias("_ord"), *columns).where("_locus is not null and _locus != ''")
-    firsts = _long(rows, columns, "_key", "_locus", "_ord").groupBy("_key", "_locus", "_column", "_value").agg(F.min("_ord").alias("_ord"))
+    firsts = _long(rows, columns, "_key", "_locus", "_ord").groupBy("_key", "_locus", "_column", "_value").agg(F.min("_ord").alias("_ord")).repartition("_key", "_locus")
     ordered = firsts.groupBy("_key", "_locus", "_column").agg(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "_value"))), lambda x: x["_value"]).alias("v"))
     joined = F.aggregate("v", F.lit(""), lambda acc, x: F.when(acc == "", x).when(F.contains(acc, x), acc).otherwise(F.concat(acc, F.lit(";"), x)))
     texts = ordered.select("_key", "_locus", "_column", F.explode(_parts(joined)).alias("_value"))
@@ -154,6 +154,7 @@ def matrix(df: DataFrame, rules: MatrixRules = MatrixRules()) -> DataFrame:
     if rules.mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     lists = locus_lists(df, rules)
+    lists = cut(lists) if rules.mode == "advanced" else lists  # read twice there
     if rules.mode == "all":
         own = {rules.group, rules.organism, rules.gene_type, rules.locus, rules.order, *rules.genes}
         wanted = [c for c, t in df.dtypes if c not in own and t == "string"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specimatrix.session import cut
+
 
 def category_counts(rows: DataFrame) -> DataFrame:
     """(category, n, percent) of rows with a ``category``; the window runs over the few categories."""
@@ -17,6 +19,7 @@ def category_samples(rows: DataFrame, top: int = 5, each: int = 3, letters: int
 
     The first rows of a category are found by a limited window, which every task applies before the shuffle.
     """
+    rows = cut(rows.select("category", order, "definition"))
     counts = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category").limit(top)
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(order))).where(F.col("rank") <= each)
     return ranked.join(F.broadcast(counts), "category").select("category", "n", "rank", F.substring("definition", 1, letters).alias("sample"))

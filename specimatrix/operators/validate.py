@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specimatrix.functions.text import squeeze, strip
+from specimatrix.session import computed, cut
 
 
 def accession_base(c: Column) -> Column:
@@ -69,8 +70,8 @@ def match_species(names: DataFrame, organisms: DataFrame, remap: DataFrame | Non
     ``remap`` has (genus, epithet, new_genus). Each way is an equi-join; the first way that finds any holds, and of its
     organisms the alphabetically first.
     """
-    n = names.select("name").distinct().withColumn("key", species_key(F.col("name")))
-    o = organisms.select("organism").distinct().withColumn("o_key", species_key(F.col("organism"))).withColumn("o_prefix", species_prefix(F.col("o_key")))
+    n = cut(computed(names.select("name").distinct(), {"key": species_key(F.col("name"))}))
+    o = cut(computed(organisms.select("organism").distinct(), {"o_key": species_key(F.col("organism"))}).withColumn("o_prefix", species_prefix(F.col("o_key"))))
     ways = [(n, 0, "exact", "prefix")]
     if remap is not None:
         p = F.split("key", " ")

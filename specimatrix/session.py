@@ -91,6 +91,12 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
     return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
 
 
+def spread_null(df: DataFrame, key: Column, parts: int = 1024) -> Column:
+    """A text key for an outer join in which rows without one do not all meet in one task; they match nothing, as before."""
+    plain = [c for c, t in df.dtypes if t in ("string", "bigint", "int", "double", "boolean", "date", "timestamp")]
+    return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(parts)).cast("string")))
+
+
 def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """``df`` with columns that are evaluated once.
 

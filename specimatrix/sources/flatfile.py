@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specimatrix.functions.text import python_title, squeeze
-from specimatrix.session import computed, fixed_rows
+from specimatrix.session import computed, fixed_rows, spread_null
 
 log = logging.getLogger(__name__)
 PATTERN = r"(?i).*\.(gb|gbk|genbank|gbff)$"
@@ -223,8 +223,8 @@ def flat_view(parsed: DataFrame, taxonomy: DataFrame | None = None, extra: list[
 
 def with_assembly(metadata: DataFrame, assembly: DataFrame, key: str = "ACCESSION") -> DataFrame:
     """Metadata with the assembly of its accession, if any; accessions are trimmed, repeated assemblies repeat rows."""
-    right = assembly.withColumn("_acc", F.trim(key)).drop(key)
-    return metadata.withColumn("_acc", F.trim(key)).join(right, "_acc", "left").drop("_acc")
+    right = assembly.withColumn("_acc", F.trim(key)).drop(key).where("_acc is not null")
+    return metadata.withColumn("_acc", spread_null(metadata, F.trim(key))).join(right, "_acc", "left").drop("_acc")
 
 
 def file_report(spark: SparkSession, path: str | list[str], parsed: DataFrame) -> DataFrame:
