@@ -644,6 +644,69 @@ def q_flatfile_assembly(spark, base):
     return assembled(_final(spark, base), table(spark, base, "assembly"))
 
 
+@query(
+    f"""WITH a AS (SELECT trim(accession) AS accession, {', '.join(map(_FLAT, _FIVE.split(', ')))} FROM assembly),
+o AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY {_FIVE}) AS rn FROM a),
+s AS (SELECT f.accession, f.row_id, {_ASM} <> '' AS has FROM final f LEFT JOIN o ON f.accession = o.accession AND rn = 1), b AS (SELECT accession, min(CASE WHEN row_id % 2 = 0 THEN 'structured_comment' ELSE 'comment_text' END) AS w FROM s WHERE has GROUP BY 1)
+SELECT s.accession, true AS metadata_ok, coalesce(w, '') AS assembly_source, w IS NOT NULL AS has_assembly_data, '' AS error_message FROM s LEFT JOIN b USING (accession)"""
+)
+def q_record_tracking(spark, base):
+    """What became of each record that was written as a flat file and parsed again."""
+    from specimatrix.plans.roundtrip import tracked
+
+    return tracked(_final(spark, base), table(spark, base, "assembly")).select("accession", "metadata_ok", "assembly_source", "has_assembly_data", "error_message")
+
+
+_TEXTS = ("definition", "collection_date", "geo_loc_name", "collected_by", "specimen_voucher", "pcr_primers", "note")
+_READ = lambda c: f"CASE WHEN {c} IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') THEN NULL ELSE {c} END AS {c}"
+
+
+@query(f"SELECT CAST(row_id AS VARCHAR) AS row_id, {', '.join(map(_READ, _TEXTS))} FROM final")
+def q_csv_roundtrip(spark, base):
+    """A table written with commas and read again, missing texts as nulls."""
+    from specimatrix.plans.roundtrip import delimited
+
+    return delimited(_final(spark, base).select("row_id", *_TEXTS), ".csv", ",")
+
+
+@query(f"SELECT CAST(row_id AS VARCHAR) AS row_id, {', '.join(map(_READ, _TEXTS))} FROM final")
+def q_tsv_roundtrip(spark, base):
+    """A table written with tabs and read again."""
+    from specimatrix.plans.roundtrip import delimited
+
+    return delimited(_final(spark, base).select("row_id", *_TEXTS), ".tsv", "\t")
+
+
+@query(f"WITH {R.first_round()} SELECT row_id, gene_type, match_source, original_match, has_conflict FROM r1")
+def q_classify_plain(spark, base):
+    """The first round without its explanations, whose columns are then not there."""
+    out = C.first_round(_final(spark, base), C.Rules(reasons=False, conflicts=False))
+    return out.select("row_id", *[c for c in C.DIAGNOSTICS if c in out.columns])
+
+
+@query("""SELECT row_id, CASE WHEN e LIKE '%gen. et sp.%' THEN 'new name, provisional in the record' WHEN e LIKE '%aus%' AND f LIKE '%aos%' THEN 'spelling' WHEN contains(f, regexp_replace(e, 'cf\\. ?', '', 'g')) OR contains(e, regexp_replace(f, 'cf\\. ?', '', 'g')) THEN 'cf. only' ELSE 'another species' END AS reason
+FROM (SELECT f.row_id, lower(trim(t.organism)) AS e, lower(trim(f.organism)) AS f FROM final f JOIN taxonomy t USING (taxonid) WHERE f.organism IS NOT NULL AND t.organism IS NOT NULL AND f.organism <> t.organism)""")
+def q_mismatch_reason(spark, base):
+    """Why a record's species differs from that of its taxon."""
+    t = table(spark, base, "taxonomy").select("taxonid", F.col("organism").alias("known"))
+    j = _final(spark, base).join(bounded(t), "taxonid").where(F.col("organism") != F.col("known"))
+    return j.select("row_id", V.mismatch_reason(F.col("known"), F.col("organism"), (("aus", "aos"),)).alias("reason"))
+
+
+@query(f"SELECT count(*) AS updated, {', '.join(f'count(*) FILTER ({c} <> ' + chr(39) * 2 + f') AS {c}' for c in E.UPDATE_NAMES if c != 'accession')} FROM ({UPDATE_SQL})")
+def q_update_counts(spark, base):
+    """How many fields of each kind the update fills."""
+    return E.update_counts(q_update_table(spark, base))
+
+
+@query(f"WITH m AS (SELECT marker, phrase FROM (VALUES {', '.join(f'({R.quoted(g)}, {R.quoted(p.lower())})' for g, ps in DICTIONARY.items() for p in ps)}) v(marker, phrase)) SELECT marker, string_agg(DISTINCT phrase, '|' ORDER BY phrase) AS phrases FROM m GROUP BY 1")
+def q_dictionary_order(spark, base):
+    """The dictionary by kind of marker, then name; a fixed table."""
+    from specimatrix.operators.reports import ordered_dictionary
+
+    return ordered_dictionary(as_table(spark, DICTIONARY)).select("marker", F.array_join("phrases", "|").alias("phrases"))
+
+
 @query(f"WITH {R.first_round()} SELECT {DIAG} FROM r1")
 def q_stream_classify(spark, base):
     """The first round over a stream of table files, until all that is there has been read; the SQL is that of the batch."""

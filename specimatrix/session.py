@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -119,15 +121,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new name in this application's part of the shared folder, which is removed when the driver ends."""
+    context = spark.sparkContext
+    home = f"{shared_dir(spark)}/specimatrix-scratch/{context.applicationId}"
+    if not getattr(context, "_specimatrix_scratch", False):
+        context._specimatrix_scratch = True
+        atexit.register(_remove_quietly, spark)
+    return f"{home}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from a table in the shared folder: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/specimatrix-scratch/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Removes all tables that ``cut`` wrote; results that were not yet read are lost with them."""
+    """Removes all tables that this application's ``cut`` wrote; results that were not yet read are lost with them."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/specimatrix-scratch")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/specimatrix-scratch/{spark.sparkContext.applicationId}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_quietly(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        clear_scratch(spark)

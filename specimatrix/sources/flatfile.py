@@ -165,6 +165,7 @@ def parse_records(records: DataFrame) -> DataFrame:
 
 def _flexible(text: Column, field: str) -> Column:
     """A field's value from free comment text: after one or two colons to the line's end."""
+    # Fixed value: the shape in which comments state a field.
     pattern = r"(?i)" + field.replace(" ", r"\s+") + r"\s*::?\s*(.*?)(?:\n|$)"
     return F.nullif(F.trim(F.regexp_replace(F.trim(F.regexp_extract(text, pattern, 1)), ";+$", "")), F.lit(""))
 

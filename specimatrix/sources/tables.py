@@ -106,7 +106,7 @@ def write_table(df: DataFrame, path: str, sep: str = ",", by: str | None = None,
     ``single`` leaves one part file, for results that are small by their nature.
     """
     df = df.orderBy(by) if by else df
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', encoding="UTF-8")
+    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 

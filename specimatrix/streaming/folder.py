@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from specimatrix.operators.classify import DIAGNOSTICS, Rules, keep_first, overall_length, round_one
-from specimatrix.session import shared_dir
+from specimatrix.session import scratch
 
 
 def classified_stream(spark: SparkSession, folder: str, schema, rules: Rules = Rules(), event_time: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -41,7 +39,7 @@ def first_of(written: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def classify_available(spark: SparkSession, source: str, rules: Rules = Rules()) -> DataFrame:
     """(row_id, diagnostics) of the records in a table's files, read as a stream: each locus once, as in the batch."""
     schema = spark.read.parquet(source).schema
-    at = f"{shared_dir(spark)}/specimatrix-scratch/{uuid.uuid4().hex}"
+    at = scratch(spark)
     stream = classified_stream(spark, source, schema, rules).select(rules.order, rules.locus, *DIAGNOSTICS)
     start(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return first_of(spark.read.schema(stream.schema).parquet(f"{at}/out"), rules).select(rules.order, *DIAGNOSTICS)

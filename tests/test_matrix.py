@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,21 @@ def test_frequencies(spark, rows):
     assert rows(K.frequency_groups(df).groupBy("species_voucher_new", "frequency_group").count()) == [("a", 3, 3), ("b", 3, 3)]
     assert [r.value for r in K.count_lines(df).collect()][0] == "9 occurrences: 1"
     assert K.with_haplotype(df).count() == 0
+
+
+def test_records_without_a_key_as_rows_of_their_own(spark):
+    df = spark.createDataFrame([(1, None, "o", "coi", "A1"), (2, None, "o", "coi", "A2"), (3, "k", "o", "coi,16s", "A3")], "row_id bigint, species_voucher_new string, organism string, gene_type string, locusid string")
+    for mode in ("first_nonempty", "per_gene", "advanced", "all"):
+        rules = M.MatrixRules(genes=("coi", "16s"), metadata=("organism",), tail=(), mode=mode)
+        one = {r.species_voucher_new: (r.coi, r["16s"]) for r in M.matrix(df, rules).collect()}
+        assert one == {"UNKNOWN": ("A1;A2", ""), "k": ("A3", "A3")}
+        each = {r.species_voucher_new: (r.coi, r["16s"]) for r in M.matrix(df, replace(rules, separate_unknown=True)).collect()}
+        assert each == {"UNKNOWN 1": ("A1", ""), "UNKNOWN 2": ("A2", ""), "k": ("A3", "A3")}
+
+
+def test_null_keys_match_nothing(spark, rows):
+    from specimatrix.operators.enrich import fill_only_empty
+
+    left = spark.createDataFrame([(None, None), (None, "x"), ("a", None)], "k string, v string")
+    other = spark.createDataFrame([(1, None, "n"), (2, "a", "w")], "o bigint, k string, v string")
+    assert rows(fill_only_empty(left, other, "k", ["v"], "o")) == sorted([(None, ""), (None, "x"), ("a", "w")], key=str)
