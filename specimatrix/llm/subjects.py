@@ -9,10 +9,13 @@ readers labelled, others are free; after fitting, each topic's top terms decide
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,19 +65,22 @@ def cell(word: str, cells: int) -> int:
     return xxhash.xxh32_intdigest(word) % cells
 
 
+_LEAD = re.compile(r"[^\W\d_]+")
 _CAPITAL = re.compile(r"(?<=[\w)]) +(?=[^\W\d_a-z])([^\W\d_]+)")
 
 
 def openers(texts: list[str], cells: int) -> np.ndarray:
     """How often the words of each cell begin a sentence, and how often they stand capitalised within one (cells x 2)."""
-    out = np.zeros((cells, 2), dtype=np.int64)
+    first, within = Counter(), Counter()
     for t in texts:
         for s in sentences(t or ""):
-            if (m := re.match(r"[^\W\d_]+", s)) and m[0][0].isupper():
-                out[cell(m[0], cells), 0] += 1
-            for m in _CAPITAL.finditer(s):
-                if m[1][0].isupper():
-                    out[cell(m[1], cells), 1] += 1
+            if (m := _LEAD.match(s)) and m[0][0].isupper():
+                first[m[0]] += 1
+            within.update(w for w in _CAPITAL.findall(s) if w[0].isupper())
+    out = np.zeros((cells, 2), dtype=np.int64)
+    for k, counts in enumerate((first, within)):
+        for w, n in counts.items():
+            out[cell(w, cells), k] += n
     return out
 
 
@@ -97,13 +103,6 @@ def bags(texts: list[str], cells: int, begins: np.ndarray | None = None) -> list
     return [[b for s in sentences(t or "") for d in whole(s) if (b := sorted({at(w) for w in words(d)}))] for t in texts]
 
 
-def flat(docs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells, the sentence of each, and the document of each sentence."""
-    lengths = np.array([len(s) for d in docs for s in d], dtype=np.int64)
-    cells = np.array([c for d in docs for s in d for c in s], dtype=np.int64)
-    return cells, np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-
-
 def digamma(x: np.ndarray) -> np.ndarray:
     """Derivative of the log-gamma function for positive x: recurrence up to six, then the asymptotic series."""
     shift = np.zeros_like(x)
@@ -115,9 +114,31 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return shift + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i / 252))
 
 
-def expect(docs: list, log_beta: np.ndarray, alpha: np.ndarray, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Topic probabilities of every sentence given the topics (cells x topics), with the arrays of ``flat``."""
-    cells, of, doc = flat(docs)
+@dataclass(frozen=True)
+class Words:
+    """Documents as flat arrays: the cell and the sentence of each word, the document of each sentence."""
+
+    cells: np.ndarray
+    of: np.ndarray
+    doc: np.ndarray
+    documents: int
+
+
+def flat(batches, most: int = 200):
+    """(rows of a batch, their words), of at most ``most`` documents, so that memory stays bounded."""
+    for b in batches:
+        for a in range(0, b.num_rows, most):
+            part = b.slice(a, most)
+            cells, lengths = part.column("cells"), part.column("lengths")
+            sizes = lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = pc.list_value_length(lengths).to_numpy(zero_copy_only=False).astype(np.int64)
+            words_of = cells.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            yield part, Words(words_of, np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(part.num_rows), counts), part.num_rows)
+
+
+def expect(w: Words, log_beta: np.ndarray, alpha: np.ndarray, inner: int) -> np.ndarray:
+    """Topic probabilities of every sentence given the topics (cells x topics)."""
+    cells, of, doc = w.cells, w.of, w.doc
     k = log_beta.shape[1]
     like = np.zeros((len(doc), k))
     if len(cells):
@@ -126,16 +147,16 @@ def expect(docs: list, log_beta: np.ndarray, alpha: np.ndarray, inner: int) -> t
             part = starts[a : a + 2000]
             stop = starts[a + 2000] if a + 2000 < len(starts) else len(cells)
             like[of[part]] = np.add.reduceat(log_beta[cells[part[0] : stop]], part - part[0], axis=0)
-    gamma = np.tile(alpha, (len(docs), 1)) + 1.0
+    gamma = np.tile(alpha, (w.documents, 1)) + 1.0
     phi = np.zeros_like(like)
     for _ in range(inner):
         logit = like + digamma(gamma)[doc]
         logit -= logit.max(axis=1, keepdims=True) if len(logit) else 0
         phi = np.exp(logit)
         phi /= phi.sum(axis=1, keepdims=True) if len(phi) else 1
-        gamma = np.tile(alpha, (len(docs), 1))
+        gamma = np.tile(alpha, (w.documents, 1))
         add_rows(gamma, doc, phi)
-    return phi, cells, of, doc
+    return phi
 
 
 def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray, of: np.ndarray | None = None) -> None:
@@ -175,18 +196,18 @@ def count_openers(documents: DataFrame, model: SubjectModel) -> np.ndarray:
 
 
 def _counts(df: DataFrame, values, columns: int, model: SubjectModel) -> np.ndarray:
-    """Sums over all rows of ``values(frame)``, which gives cells x columns, in a fixed number of rows to the driver."""
+    """Sums over all rows of ``values(rows, words, total)``, which adds to cells x columns; a fixed number of rows comes to the driver."""
     names = [f"v{i}" for i in range(columns)]
 
-    def part(frames):
+    def part(batches):
         total = np.zeros((model.cells, columns))
-        for f in _slices(frames):
-            values(f, total)
+        for rows, w in flat(batches):
+            values(rows, w, total)
         used = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame(total[used], columns=names).assign(cell=used)[["cell", *names]]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[used, i]) for i in range(columns)]], names=["cell", *names])
 
     schema = "cell int, " + ", ".join(f"{n} double" for n in names)
-    found = df.mapInPandas(part, schema).groupBy("cell").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    found = df.mapInArrow(part, schema).groupBy("cell").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     out = np.zeros((model.cells, columns))
     out[found["cell"].to_numpy()] = found[names].to_numpy()
     return out
@@ -230,40 +251,39 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], model: Sub
 
     def bag(frames):
         for f in _slices(frames):
-            yield pd.DataFrame({"doc_id": f["doc_id"], "lang": [_language(x) for x in f["lang"]], "bag": bags(f["text"].tolist(), model.cells, begins.value)})
+            found = bags(f["text"].tolist(), model.cells, begins.value)
+            yield pd.DataFrame({"doc_id": f["doc_id"], "lang": [_language(x) for x in f["lang"]], "cells": [[c for s in d for c in s] for d in found], "lengths": [[len(s) for s in d] for d in found]})
 
-    docs = cut(documents.select("doc_id", "text", "lang").where("text is not null").repartition(width(spark)).mapInPandas(bag, "doc_id bigint, lang string, bag array<array<int>>"))
+    docs = cut(documents.select("doc_id", "text", "lang").where("text is not null").repartition(width(spark)).mapInPandas(bag, "doc_id bigint, lang string, cells array<int>, lengths array<int>"))
     spoken = sorted(((-r["count"], r.lang) for r in docs.groupBy("lang").count().collect()))  # a row for each code of two letters
     n = -sum(c for c, _ in spoken)
     langs = [lang for c, lang in spoken if lang and -c >= model.language_share * n][: model.languages]
     if len(langs) < sum(lang != "" for _, lang in spoken) or not langs:
         langs.append("")  # the further languages together
     read = labels.where(F.col("subject").isin(*subjects)).groupBy("doc_id", "subject").agg(F.countDistinct("reader").alias("votes"))
-    seeds = read.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "votes")).alias("votes")).orderBy("doc_id").limit(model.labelled)
-    seeds = docs.join(seeds, "doc_id").select("lang", "bag", "votes")
+    share = [F.coalesce(F.sum(F.when(F.col("subject") == x, F.col("votes"))), F.lit(0)) for x in subjects]
+    seeds = read.groupBy("doc_id").agg(F.array(*[c / F.sum("votes") for c in share]).alias("shares")).orderBy("doc_id").limit(model.labelled)
+    seeds = docs.join(seeds, "doc_id").select("lang", "cells", "lengths", "shares")
+    at = {lang: i for i, lang in enumerate(langs)}
 
-    def frequency(f, total):
-        for lang, b in zip(f["lang"], f["bag"]):
-            column = len(langs) if not lang else langs.index(lang) if lang in langs else len(langs) - 1
-            for s in b:
-                total[s, column] += 1
+    def frequency(rows, w, total):
+        column = np.array([len(langs) if not x else at.get(x, len(langs) - 1) for x in rows.column("lang").to_pylist()], dtype=np.int64)
+        np.add.at(total, (w.cells, column[w.doc[w.of]]), 1)
 
-    seen = _counts(docs.select("lang", "bag"), frequency, len(langs) + 1, model)
+    seen = _counts(docs.select("lang", "cells", "lengths"), frequency, len(langs) + 1, model)
     typical = np.log((seen[:, : len(langs)] + 0.5) / (seen[:, : len(langs)] + 0.5).sum(axis=0))
 
-    def group(lang, b) -> int:
-        """The language whose topics a labelled document shapes; where none is stated, the likeliest by its words."""
-        if lang:
-            return langs.index(lang) if lang in langs else len(langs) - 1
-        return int(sum((typical[s].sum(axis=0) for s in b), np.zeros(len(langs))).argmax())
-
-    def profile(f, total):
-        for lang, b, votes in zip(f["lang"], f["bag"], f["votes"]):
-            first = group(lang, b) * ns
-            for v in votes:
-                column = first + subjects.index(v["subject"])
-                for s in b:
-                    total[s, column] += v["votes"] / sum(x["votes"] for x in votes)
+    def profile(rows, w, total):
+        """Adds a labelled document's words to its language's subjects; where it states none, to those of the likeliest."""
+        shares = np.array(rows.column("shares").to_pylist(), dtype=float).reshape(w.documents, ns)
+        column = np.array([at.get(x, len(langs) - 1) if x else -1 for x in rows.column("lang").to_pylist()], dtype=np.int64)
+        like = np.zeros((w.documents, len(langs)))
+        add_rows(like, w.doc[w.of], typical[w.cells])
+        column = np.where(column < 0, like.argmax(axis=1), column)
+        mine = column[w.doc[w.of]]
+        for k in np.unique(mine):
+            here = mine == k
+            add_rows(total[:, k * ns : (k + 1) * ns], w.cells[here], shares[w.doc[w.of[here]]])
 
     profiles = _counts(seeds, profile, len(langs) * ns, model)
     each = ns + model.free_topics
@@ -281,11 +301,10 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], model: Sub
     for _ in range(model.iterations):
         shared = spark.sparkContext.broadcast(log_beta)
 
-        def gather(f, total, shared=shared):
-            phi, cells, of, _ = expect(f["bag"].tolist(), shared.value, prior, model.inner)
-            add_rows(total, cells, phi, of)
+        def gather(rows, w, total, shared=shared):
+            add_rows(total, w.cells, expect(w, shared.value, prior, model.inner), w.of)
 
-        lam = _counts(docs.select("bag"), gather, log_beta.shape[1], model) + model.eta
+        lam = _counts(docs.select("cells", "lengths"), gather, log_beta.shape[1], model) + model.eta
         log_beta = (digamma(lam) - digamma(lam.sum(axis=0, keepdims=True))).astype(np.float32)
         shared.unpersist()
     pooled = profiles.reshape(model.cells, len(langs), ns).sum(axis=1)
@@ -315,17 +334,17 @@ def assign_subjects(documents: DataFrame, labels: DataFrame, subject_list: DataF
     shared = documents.sparkSession.sparkContext.broadcast(log_beta)
     member = np.stack([named == s for s in range(len(subjects))], axis=1).astype(float)
 
-    def found(frames):
-        for f in _slices(frames):
-            phi, _, _, doc = expect(f["bag"].tolist(), shared.value, prior, model.inner)
-            share = phi @ member
-            counts = np.zeros((len(f), len(subjects)), dtype=int)
+    def found(batches):
+        for rows, w in flat(batches):
+            share = expect(w, shared.value, prior, model.inner) @ member
+            counts = np.zeros((w.documents, len(subjects)), dtype=int)
             if len(share):
                 sure = share.max(axis=1) > model.sure
-                np.add.at(counts, (doc[sure], share.argmax(axis=1)[sure]), 1)
-            long = np.array([sum(len(s) > 1 for s in d) for d in f["bag"]])  # a single word, as 'Reposted.', is no sentence
+                np.add.at(counts, (w.doc[sure], share.argmax(axis=1)[sure]), 1)
+            sizes = np.bincount(w.of, minlength=len(w.doc))
+            long = np.bincount(w.doc, weights=sizes > 1, minlength=w.documents)  # a single word, as 'Reposted.', is no sentence
             at, which = np.nonzero(decide(counts, long))
             if len(at):
-                yield pd.DataFrame({"doc_id": f["doc_id"].to_numpy()[at], "subject": [subjects[s] for s in which]})
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(at)), pa.array([subjects[s] for s in which])], names=["doc_id", "subject"])
 
-    return docs.select("doc_id", "bag").mapInPandas(found, "doc_id bigint, subject string")
+    return docs.select("doc_id", "cells", "lengths").mapInArrow(found, "doc_id bigint, subject string")
