@@ -104,12 +104,14 @@ def all_values(c: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(_present(c), _parts(c)))))), ";")
 
 
-def labelled_values(pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """(_key, _gene, _column, _value) -> one text per key and column.
+def labelled_values(pairs: DataFrame, columns: list[str], placed: bool = False) -> DataFrame:
+    """(_key, _genes, _column, _value) -> one text per key and column; ``placed`` if rows are already brought together by key.
 
     One value stands alone, and so do values that all active markers share; others carry the markers that have them.
     """
-    by_value = pairs.groupBy("_key", "_column", "_value").agg(F.array_sort(F.collect_set("_gene")).alias("_genes")).repartition("_key")  # all that follows is by this key
+    genes = F.array_sort(F.array_distinct(F.flatten(F.collect_set("_genes"))))
+    by_value = pairs.groupBy("_key", "_column", "_value").agg(genes.alias("_genes"))
+    by_value = by_value if placed else by_value.repartition("_key")  # all that follows is by this key
     text = lambda x, n: F.when(F.size(x["_genes"]) == n, x["_value"]).otherwise(F.concat(F.array_join(x["_genes"], ","), F.lit(":"), x["_value"]))
     held = by_value.groupBy("_key", "_column").agg(F.array_sort(F.collect_list(F.struct("_value", "_genes"))).alias("v"))
     held = held.withColumn("_active", F.size(F.array_distinct(F.flatten(F.transform("v", lambda x: x["_genes"])))))
@@ -124,7 +126,7 @@ def _long(rows: DataFrame, columns: list[str], *keys: str) -> DataFrame:
 
 def per_gene_values(df: DataFrame, rules: MatrixRules, columns: list[str]) -> DataFrame:
     """Each column's values with the markers of the records that have them."""
-    return labelled_values(_long(listed_genes(df, rules), columns, "_key", "_gene"), columns)
+    return labelled_values(_long(listed_genes(df, rules).withColumn("_genes", F.array("_gene")), columns, "_key", "_genes"), columns)
 
 
 def advanced_values(df: DataFrame, rules: MatrixRules, columns: list[str], lists: DataFrame) -> DataFrame:
@@ -133,15 +135,26 @@ def advanced_values(df: DataFrame, rules: MatrixRules, columns: list[str], lists
     A locus' texts are gathered in order, one that an earlier one contains is left out; values of loci that no marker
     lists come out without a marker.
     """
-    rows = df.select(group_key(rules).alias("_key"), strip(F.col(rules.locus)).alias("_locus"), F.col(rules.order).alias("_ord"), *columns).where("_locus is not null and _locus != ''")
-    firsts = _long(rows, columns, "_key", "_locus", "_ord").groupBy("_key", "_locus", "_column", "_value").agg(F.min("_ord").alias("_ord")).repartition("_key", "_locus")
-    ordered = firsts.groupBy("_key", "_locus", "_column").agg(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "_value"))), lambda x: x["_value"]).alias("v"))
-    joined = F.aggregate("v", F.lit(""), lambda acc, x: F.when(acc == "", x).when(F.contains(acc, x), acc).otherwise(F.concat(acc, F.lit(";"), x)))
-    texts = ordered.select("_key", "_locus", "_column", F.explode(_parts(joined)).alias("_value"))
+    texts = [strip(F.col(c).cast("string")).alias(f"_c{i}") for i, c in enumerate(columns)]
+    rows = df.select(group_key(rules).alias("_key"), strip(F.col(rules.locus)).alias("_locus"), F.col(rules.order).alias("_ord"), *texts).where("_locus is not null and _locus != ''")
+    names = [f"_c{i}" for i in range(len(columns))]
+    alike = rows.groupBy("_key", "_locus", *names).agg(F.min("_ord").alias("_ord"))  # repeated records are one from here
+    held = alike.groupBy("_key", "_locus").agg(F.array_sort(F.collect_list(F.struct("_ord", *names))).alias("_r"))
+
+    def joined(i: int) -> Column:
+        given = F.filter(F.transform("_r", lambda x: x[f"_c{i}"]), lambda v: F.coalesce(v, F.lit("")) != "")
+        return F.aggregate(given, F.lit(""), lambda acc, x: F.when(acc == "", x).when(F.contains(acc, x), acc).otherwise(F.concat(acc, F.lit(";"), x)))
+
+    def named(c: str):
+        return lambda v: F.struct(F.lit(c).alias("_column"), v.alias("_value"))
+
+    values = F.flatten(F.array(*[F.transform(_parts(joined(i)), named(c)) for i, c in enumerate(columns)]))
+    held = held.select("_key", "_locus", values.alias("_values"))
     listed = F.array(*[F.struct(F.lit(g).alias("_gene"), F.col(f"g{i}").alias("_ids")) for i, g in enumerate(rules.genes)])
-    links = lists.select("_key", F.inline(listed)).select("_key", "_gene", F.explode("_ids").alias("_locus"))
-    pairs = texts.join(links, ["_key", "_locus"], "left").select("_key", F.coalesce("_gene", F.lit("_unlinked")).alias("_gene"), "_column", "_value")
-    out = labelled_values(pairs, columns)
+    links = lists.select("_key", F.inline(listed)).select("_key", "_gene", F.explode("_ids").alias("_locus")).groupBy("_key", "_locus").agg(F.collect_set("_gene").alias("_genes"))
+    pairs = held.join(links, ["_key", "_locus"], "left").select("_key", F.coalesce("_genes", F.array(F.lit("_unlinked"))).alias("_genes"), "_values").repartition("_key")
+    pairs = pairs.select("_key", "_genes", F.inline("_values"))
+    out = labelled_values(pairs, columns, placed=True)
     return out.select("_key", *[F.replace(F.col(c), F.lit("_unlinked:"), F.lit("")).alias(c) for c in columns])
 
 
