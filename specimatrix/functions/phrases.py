@@ -83,12 +83,21 @@ def merge(*dictionaries: dict) -> dict[str, tuple[str, ...]]:
     return {m: tuple(ps.values()) for m, ps in out.items()}
 
 
+def _whole_text(path: str) -> str:
+    """A small file's text, from this machine or, by its URI, from any file system that the session reads."""
+    if re.match(r"\w+://", path):
+        from pyspark.sql import SparkSession
+
+        return SparkSession.active().read.text(path, wholetext=True).first()[0]
+    return Path(path).read_text(encoding="utf-8")
+
+
 def load_dictionary(path: str) -> dict[str, tuple[str, ...]]:
     """A dictionary file: ``marker: a, b`` lines (.txt), marker,synonyms rows (.csv) or a synonyms list per marker (.yaml).
 
     Python files are refused: a dictionary is data and is never executed.
     """
-    kind, text = Path(path).suffix.lower(), Path(path).read_text(encoding="utf-8")
+    kind, text = Path(path).suffix.lower(), _whole_text(path)
     found: dict[str, list[str]] = {}
     if kind == ".txt":
         for line in text.splitlines():
@@ -119,8 +128,7 @@ LEAST = 3
 
 def read_synonyms(path: str) -> list[str]:
     """The first column of a tab-separated synonym table with header, without vague and very short ones."""
-    with open(path, encoding="utf-8", newline="") as f:
-        names = [row[0].strip() for row in csv.reader(f, delimiter="\t") if row][1:]
+    names = [row[0].strip() for row in csv.reader(_whole_text(path).splitlines(), delimiter="\t") if row][1:]
     return [n for n in names if len(n) >= LEAST and n not in VAGUE]
 
 

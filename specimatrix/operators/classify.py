@@ -402,6 +402,12 @@ def gene_list(classified: DataFrame) -> DataFrame:
 
 def file_name(gene: str) -> str:
     """A marker as part of a file name."""
-    import re
+    return re.sub(_UNSAFE, "_", gene)
 
-    return re.sub(r"[^\w\-]", "_", gene)
+
+def safe_name(gene: Column) -> Column:
+    """``file_name`` of a column."""
+    return F.regexp_replace(gene, f"(?U){_UNSAFE}", "_")
+
+
+_UNSAFE = r"[^\w\-]"

@@ -165,4 +165,4 @@ def write_reports(result: PipelineResult, out: str, rules: C.Rules = C.Rules())
 
 def write_gene_tables(classified: DataFrame, out: str, genes: list[str] | None = None) -> None:
     """One folder per marker below ``out``, in one pass over the data."""
-    C.gene_rows(classified, genes).write.mode("overwrite").partitionBy("gene").option("header", True).csv(out)
+    C.gene_rows(classified, genes).withColumn("gene", C.safe_name(F.col("gene"))).write.mode("overwrite").partitionBy("gene").option("header", True).csv(out)

@@ -219,6 +219,21 @@ def test_failed_records_and_files(spark, tmp_path, rows):
     assert changed.steps["extract"].table.count() == 2
 
 
+def test_tables_of_markers_have_safe_names(spark, tmp_path):
+    from specimatrix.plans.pipeline import write_gene_tables
+
+    df = spark.createDataFrame([(1, "coi,18s/x y"), (2, "18-28s")], "row_id bigint, gene_type string")
+    write_gene_tables(df, str(tmp_path / "genes"))
+    assert sorted(p.name for p in (tmp_path / "genes").iterdir() if p.is_dir()) == ["gene=18-28s", "gene=18s_x_y", "gene=coi"]
+
+
+def test_dictionary_by_uri(spark, tmp_path):
+    from specimatrix.functions.phrases import load_dictionary
+
+    (tmp_path / "d.txt").write_text("coi: CO I, COI\n# note: x\nnad5: ND5\n")
+    assert load_dictionary(f"file://{tmp_path}/d.txt") == load_dictionary(str(tmp_path / "d.txt")) == {"coi": ("CO I", "COI"), "nad5": ("ND5",)}
+
+
 def test_steps_of_the_command_line(spark, tmp_path):
     from specimatrix.cli import lacking, main
 
