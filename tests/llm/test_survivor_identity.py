@@ -165,3 +165,18 @@ def test_identity_edges(spark, rows):
     assert I.copies(df.limit(0)).count() == 0
     assert rows(I.copies(spark.createDataFrame([(1, "a1", None), (1, "A 1", None)], "row_id bigint, specimen_voucher string, isolate string"))) == []
     assert I.glued(["ab", "1"], ["1ab"]) and not I.glued(["ab", "1"], ["ba1"]) and I.glued([], [])
+
+
+def test_hot_groups_come_out_whole(spark):
+    """A third of all rows in one identity, and in one specimen."""
+    data = [(i, "KLQN 5" if i % 3 == 0 else f"OMGU {i}", None) for i in range(3000)]
+    df = spark.createDataFrame(data, "row_id bigint, specimen_voucher string, isolate string").repartition(6)
+    got = I.copies(df).collect()
+    assert len(got) == 999 and {r.first_row_id for r in got} == {0}
+    sizes = {r.first_row_id: r.n_rows for r in I.collapsed(df).collect()}
+    assert sizes[0] == 1000 and len(sizes) == 2001
+    rows_of = table(spark, [(i, "hot" if i % 3 else f"s{i}", "1.25 N 2.25 E" if i == 1000 else "1 N 2 E", ["Peru", "Chile: a", "Peru: a, b"][i % 3], ["Peru", "Chile"][i % 2], 1 + i % 28) for i in range(3000)])
+    hot = [r for r in S.best_rows(rows_of).collect()]
+    assert [(r.group_row_id, r.lat_lon_row_id) for r in hot] == [(1, 1000)] and hot[0].geo_row_id % 3 == 2
+    one = [r for r in S.survivors(rows_of).collect() if r.n_rows > 1]
+    assert len(one) == 1 and one[0].n_rows == 2000 and one[0].country == "Peru"
