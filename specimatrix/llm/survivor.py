@@ -85,16 +85,22 @@ def choose_bundles(df: DataFrame, key: Column, row_id: str, bundles: list[Bundle
     are not read, so extra or clashing names do no harm. Empty table: empty result.
     """
     attributes = sorted({a for b in bundles for a in b.claims})
-    claim = lambda b: F.array(*[b.claims[a].cast("string") if a in b.claims else F.lit(None).cast("string") for a in attributes])
+    told_by = {(b.name, a): f"c{i}" for i, (b, a) in enumerate((b, a) for b in bundles for a in attributes if a in b.claims)}
     text = lambda b: F.struct(*[v.alias(n) for n, v in b.values.items()] or [F.lit(0).alias("_")])
-    offer = {
-        b.name: F.when(b.usable, F.struct(*[t.alias(f"t{i}") for i, t in enumerate(b.trust)], (-F.col(row_id)).alias("minus"), b.score.cast("double").alias("score"), claim(b).alias("claims"), text(b).alias("values")))
-        for b in bundles
-    }
-    rows = df.select(key.alias("_key"), F.col(row_id).alias("_row"), *[c.alias(f"b_{n}") for n, c in offer.items()]).where(F.col("_key") != "")
-    same = [F.col(f"b_{b.name}.claims").alias(f"c_{b.name}") for b in bundles if b.claims]
+    offer = {b.name: F.when(b.usable, F.struct(*[t.alias(f"t{i}") for i, t in enumerate(b.trust)], (-F.col(row_id)).alias("minus"), b.score.cast("double").alias("score"), text(b).alias("values"))) for b in bundles}
+    same = [F.when(b.usable, b.claims[a].cast("string")).alias(told_by[b.name, a]) for b in bundles for a in attributes if a in b.claims]
+    rows = df.select(key.alias("_key"), F.col(row_id).alias("_row"), *same, *[c.alias(f"b_{n}") for n, c in offer.items()]).where(F.col("_key") != "")
     top = [F.max(f"b_{b.name}").alias(f"b_{b.name}") for b in bundles]
-    told = rows.select("*", *same).groupBy("_key", *[f"c_{b.name}" for b in bundles if b.claims]).agg(F.min("_row").alias("_row"), F.count(F.lit(1)).alias("_n"), *top)
+    told = rows.groupBy("_key", *told_by.values()).agg(F.min("_row").alias("_row"), F.count(F.lit(1)).alias("_n"), *top)
+
+    def claiming(b: Bundle) -> Column:
+        """The bundle with its claims, which rows of one group have in common, after what trust compares."""
+        claims = F.array(*[F.col(told_by[b.name, a]) if (b.name, a) in told_by else F.lit(None).cast("string") for a in attributes])
+        own = F.col(f"b_{b.name}")
+        parts = [own[f"t{i}"].alias(f"t{i}") for i in range(len(b.trust))] + [own["minus"].alias("minus"), own["score"].alias("score"), claims.alias("claims"), own["values"].alias("values")]
+        return F.when(own.isNotNull(), F.struct(*parts))
+
+    told = told.select("_key", "_row", "_n", *[claiming(b).alias(f"b_{b.name}") for b in bundles])
     lists = [F.sort_array(F.collect_list(f"b_{b.name}"), asc=False).alias(f"b_{b.name}") for b in bundles]
     groups = told.groupBy("_key").agg(F.min("_row").alias("group_row_id"), F.sum("_n").alias("n_rows"), *lists).where(F.col("n_rows") >= least)
     first = lambda b: F.get(F.col(f"b_{b.name}"), F.lit(0))
